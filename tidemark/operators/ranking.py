@@ -80,12 +80,19 @@ def opportunity_theme(category: Column | str, text: Column) -> Column:
     return theme
 
 
+def with_theme(signals: DataFrame, normalize: bool = True) -> DataFrame:
+    """Adds ``theme``; the text is its own projection, so every keyword test reads one evaluated column."""
+    texted = signals.withColumn("theme_text", signal_text(normalize))
+    return texted.withColumn("theme", opportunity_theme("category", F.col("theme_text"))).drop("theme_text")
+
+
 def _evidence_identity() -> Column:
     """First of the identifying attributes found on any evidence, else the source record."""
 
     def attribute(key: str) -> Column:
+        first = F.try_element_at(F.get("evidence", 0)["attributes"], F.lit(key))
         found = F.filter(F.transform("evidence", lambda e: F.try_element_at(e["attributes"], F.lit(key))), lambda v: v.isNotNull())
-        return F.get(found, 0)
+        return F.coalesce(first, F.when(F.size("evidence") > 1, F.get(found, 0)))
 
     keys = ["projectId", "jobIdentity", "canonicalUrl", "url", "title"]
     return F.coalesce(*[attribute(k) for k in keys], F.concat(F.col("source_system"), F.lit(":"), F.col("source_record_id")))
@@ -99,7 +106,7 @@ def _material_content() -> Column:
         lambda e: F.struct(
             e["kind"].alias("kind"),
             e["summary"].alias("summary"),
-            F.array_sort(F.map_entries(F.map_filter(e["attributes"], lambda k, v: ~k.isin(ignored)))).alias("attributes"),
+            F.sort_array(F.map_entries(F.map_filter(e["attributes"], lambda k, v: ~k.isin(ignored)))).alias("attributes"),
         ),
     )
     return F.to_json(
@@ -110,7 +117,7 @@ def _material_content() -> Column:
 
 def with_event_key(signals: DataFrame, normalize: bool = True) -> DataFrame:
     """Adds ``theme`` and ``event_key``; all copies of one event share the key."""
-    themed = signals.withColumn("theme", opportunity_theme("category", signal_text(normalize)))
+    themed = with_theme(signals, normalize)
     return themed.withColumn(
         "event_key",
         F.sha2(F.concat_ws("|", "account_id", "theme", "category", _evidence_identity(), _material_content()), 256),

@@ -23,9 +23,18 @@ TABLE_SCHEMAS = {
 }
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table; timestamps are read as instants so that filters push down unwrapped."""
-    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One table; timestamps are read as instants so that filters push down unwrapped.
+
+    ``spread`` is for row-heavy work (hashing, regular expressions, parsing): a
+    table with fewer input splits than cores is spread over all of them. A large
+    table has more splits than cores and is read as it is, without a shuffle.
+    """
+    table = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

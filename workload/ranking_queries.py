@@ -20,9 +20,7 @@ def _signals(spark, folder):
     SELECT signal_id, category, theme FROM themed""",
 )
 def _theme(spark, folder):
-    found = _signals(spark, folder)
-    theme = ranking.opportunity_theme("category", ranking.signal_text(normalize=False))
-    return found.select("signal_id", "category", theme.alias("theme"))
+    return ranking.with_theme(_signals(spark, folder), normalize=False).select("signal_id", "category", "theme")
 
 
 @query(

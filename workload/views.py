@@ -92,7 +92,7 @@ usage_rows AS (
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     """line items as signals of the ordering customer."""
-    items = read_table(spark, folder, "lineitem")
+    items = read_table(spark, folder, "lineitem", spread=True)
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     kind = F.col("l_linenumber") % 4
     category = F.element_at(
