@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,6 +21,15 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    Keeps long derived columns small: without it a filter that Catalyst pushes
+    below a projection repeats the whole expression for every use of its column.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _utf8_normalizer(form: str):
     @F.arrow_udf(StringType())
     def normalize(values: pa.Array) -> pa.Array:
@@ -56,8 +66,9 @@ def clean(value: Column | str, normalize: bool = True) -> Column:
 
 def fold_plain(value: Column | str, normalize: bool = True) -> Column:
     """Lower case, everything but ``a-z0-9`` becomes a blank; accented letters are lost."""
-    cleaned = F.lower(clean(value, normalize))
-    return F.trim(F.regexp_replace(cleaned, "[^a-z0-9]+", " "))
+    value = F.coalesce(as_col(value), F.lit(""))
+    lower = F.lower(unicode_normal(value) if normalize else value)
+    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
 
 
 def fold_accents(value: Column | str) -> Column:

@@ -1,73 +1,80 @@
-"""URL columns built from regular expressions and array functions (no UDF)."""
+"""URL columns built from regular expressions and array functions (no UDF).
+
+Intermediate values that are needed more than once are bound by ``let``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import as_col, trim_all
+from tidemark.functions.text import as_col, let, trim_all
 
+_MARK = "\u0001"
 # scheme, authority, path, query; the fragment is dropped
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?.*$"
 # an IDN host would need punycode, so only plain host names and IPv4/IPv6 literals are taken
 _HOST = r"^(?:[a-z0-9_](?:[a-z0-9_.-]*[a-z0-9_])?\.?|\[[0-9a-f:.]+\])$"
 
 
-def scheme_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _PARTS, 1))
+def url_parts(url: Column | str) -> Column:
+    """Struct of scheme, host, site (host with a non-default port), path, query, credentials; NULL when unusable."""
+    marked = F.split(F.regexp_replace(as_col(url), _PARTS, f"$1{_MARK}$2{_MARK}$3{_MARK}$4"), _MARK)
+
+    def read(parts: Column) -> Column:
+        fields = F.struct(
+            F.lower(F.get(parts, 0)).alias("scheme"),
+            F.lower(F.regexp_replace(F.get(parts, 1), "^.*@", "")).alias("place"),
+            F.when(F.get(parts, 2) == "", F.lit("/")).otherwise(F.get(parts, 2)).alias("path"),
+            F.get(parts, 3).alias("query"),
+            F.get(parts, 1).rlike("^[^@]+@").alias("credentials"),
+        )
+        return F.when(F.size(parts) == 4, let(fields, finish))
+
+    def finish(p: Column) -> Column:
+        host = F.regexp_replace(p["place"], ":[0-9]*$", "")
+        default_port = F.when(p["scheme"] == "https", F.lit(":(443)?$")).otherwise(F.lit(":(80)?$"))
+        return let(
+            host,
+            lambda h: F.when(
+                h.rlike(_HOST),
+                F.struct(
+                    p["scheme"].alias("scheme"), h.alias("host"), F.regexp_replace(p["place"], default_port, F.lit("")).alias("site"),
+                    p["path"].alias("path"), p["query"].alias("query"), p["credentials"].alias("credentials"),
+                ),
+            ),
+        )
+
+    return let(marked, read)
 
 
-def _authority(url: Column) -> Column:
-    return F.regexp_extract(url, _PARTS, 2)
+def scheme_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
 
 
 def path_of(url: Column) -> Column:
-    path = F.regexp_extract(url, _PARTS, 3)
-    return F.when(path == "", F.lit("/")).otherwise(path)
-
-
-def has_credentials(url: Column) -> Column:
-    return _authority(url).rlike("^[^@]+@")
-
-
-def _host_port(url: Column) -> Column:
-    return F.lower(F.regexp_replace(_authority(url), "^.*@", ""))
-
-
-def host_raw(url: Column) -> Column:
-    """Lower-case host without the port; NULL when the URL is not usable."""
-    host = F.regexp_replace(_host_port(url), ":[0-9]*$", "")
-    return F.when(host.rlike(_HOST), host)
+    return url_parts(url)["path"]
 
 
 def host_of(url: Column | str) -> Column:
-    """Host without a leading ``www.``."""
-    return F.regexp_replace(host_raw(as_col(url)), r"^www\.", "")
+    """Lower-case host without port and leading ``www.``; NULL when the URL is not usable."""
+    return F.regexp_replace(url_parts(url)["host"], r"^www\.", "")
 
 
 def origin_of(url: Column | str) -> Column:
-    url = as_col(url)
-    return F.concat(scheme_of(url), F.lit("://"), _host_without_default_port(url))
-
-
-def _host_without_default_port(url: Column) -> Column:
-    port = F.when(scheme_of(url) == "https", F.regexp_replace(_host_port(url), ":(443)?$", "")).otherwise(
-        F.regexp_replace(_host_port(url), ":(80)?$", "")
-    )
-    return F.when(host_raw(url).isNotNull(), port)
+    return let(url_parts(url), lambda p: F.concat(p["scheme"], F.lit("://"), p["site"]))
 
 
-def _kept_query(url: Column, drop_parameters: str | None) -> Column:
-    query = F.regexp_extract(url, _PARTS, 4)
+def _kept_query(query: Column, drop_parameters: str | None) -> Column:
     if drop_parameters is None:
         return F.when(query == "?", F.lit("")).otherwise(query)
     pairs = F.filter(
-        F.split(F.substring(query, 2, 1_000_000), "&"),
-        lambda pair: (pair != "") & ~F.regexp_extract(pair, "^([^=]*)", 1).rlike(drop_parameters),
-    )
-    return F.when(query.isin("", "?"), F.lit("")).otherwise(
-        F.when(F.size(pairs) == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(pairs, "&")))
+        F.split(F.regexp_replace(query, r"^\?", ""), "&"),
+        lambda pair: (pair != "") & ~F.regexp_replace(pair, "(?s)=.*$", "").rlike(drop_parameters),
     )
+    return let(pairs, lambda kept: F.when(F.size(kept) == 0, F.lit("")).otherwise(F.concat(F.lit("?"), F.array_join(kept, "&"))))
 
 
 def canonical_url(
@@ -85,38 +92,44 @@ def canonical_url(
     (doubled slashes collapse, then one trailing slash goes). Percent escapes
     and dot segments stay as given.
     """
-    url = trim_all(as_col(url))
-    path = path_of(url)
-    if trim_slashes == "all":
-        path = F.regexp_replace(path, "/+$", "")
-    elif trim_slashes == "one":
-        path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    host = host_raw(url)
-    usable = host.isNotNull() & scheme_of(url).isin(*schemes)
-    if not allow_credentials:
-        usable = usable & ~has_credentials(url)
-    if excluded_host:
-        usable = usable & (host != excluded_host) & ~host.endswith(f".{excluded_host}")
-    text = F.concat(scheme_of(url), F.lit("://"), _host_without_default_port(url), path, _kept_query(url, drop_parameters))
-    return F.when(usable, text)
+
+    def build(p: Column) -> Column:
+        path = p["path"]
+        if trim_slashes == "all":
+            path = F.regexp_replace(path, "/+$", "")
+        elif trim_slashes == "one":
+            path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "/$", "")
+        path = F.regexp_replace(path, "^$", "/")
+        usable = p["scheme"].isin(*schemes)
+        if not allow_credentials:
+            usable = usable & ~p["credentials"]
+        if excluded_host:
+            usable = usable & (p["host"] != excluded_host) & ~p["host"].endswith(f".{excluded_host}")
+        return F.when(usable, F.concat(p["scheme"], F.lit("://"), p["site"], path, _kept_query(p["query"], drop_parameters)))
+
+    return let(url_parts(trim_all(as_col(url))), build)
 
 
 def host_in_domains(host: Column, domains: Column) -> Column:
     """Host equals a domain of the array or is a subdomain of one (row-local, no join)."""
 
-    def covers(domain: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(F.lower(domain), r"^www\.", ""), r"\.$", "")
-        return (host == bare) | host.endswith(F.concat(F.lit("."), bare))
+    def covers(h: Column) -> Callable[[Column], Column]:
+        return lambda domain: let(
+            F.regexp_replace(F.regexp_replace(F.lower(domain), r"^www\.", ""), r"\.$", ""),
+            lambda bare: (h == bare) | h.endswith(F.concat(F.lit("."), bare)),
+        )
 
-    return F.coalesce(F.exists(domains, covers), F.lit(False))
+    return F.coalesce(let(host, lambda h: F.exists(domains, covers(h))), F.lit(False))
 
 
 def host_in_list(host: Column, domains: list[str]) -> Column:
-    found = F.lit(False)
-    for domain in domains:
-        found = found | (host == domain) | host.endswith(f".{domain}")
-    return found
+    """As :func:`host_in_domains` for a fixed list: one of the host's own suffixes is listed."""
+    labels = F.split(host, r"\.")
+    suffixes = let(
+        labels,
+        lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), ".")),
+    )
+    return F.coalesce(F.exists(suffixes, lambda s: s.isin(*domains)), F.lit(False))
 
 
 def is_homepage(url: Column) -> Column:

@@ -14,6 +14,7 @@ from tidemark.functions.text import (
     fold_plain,
     instruction_like,
     iso_millis,
+    let,
     matched_terms,
     non_empty,
     trim_all,
@@ -233,22 +234,35 @@ def with_job_identity(jobs: DataFrame, normalize: bool = True) -> DataFrame:
 
     Columns: account_id, account_name, provider_id, job_id, title, company, url, ...
     """
-    provider = F.coalesce(F.nullif(clean("provider_id", normalize), F.lit("")), F.nullif(clean("job_id", normalize), F.lit("")))
-    company = F.coalesce(F.nullif(fold_plain("company", normalize), F.lit("")), F.nullif(fold_plain("account_name", normalize), F.lit("")))
-    folded = (
-        jobs.withColumn("provider_key", provider)
-        .withColumn("title_key", F.nullif(fold_plain("title", normalize), F.lit("")))
-        .withColumn("company_key", company)
-        .withColumn("url_key", job_url("url"))
-    )
-    by_title = F.concat(F.lit("title-company:"), F.col("title_key"), F.lit(":"), F.col("company_key"))
-    by_url = F.concat(F.lit("url:"), F.col("url_key"))
-    by_provider = F.when(F.col("provider_key").isNotNull(), F.concat(F.lit("provider:"), fold_plain("provider_key", False)))
-    return (
-        folded.withColumn("job_identity", F.coalesce(by_provider, F.when(F.col("title_key").isNotNull(), F.coalesce(by_title, by_url))))
-        .withColumn("job_aliases", F.array_distinct(F.array_compact(F.array(F.col("job_identity"), by_url, by_title))))
-        .drop("title_key", "company_key", "url_key")
+    def some(value: Column) -> Column:
+        return F.nullif(value, F.lit(""))
+
+    def aliases(k: Column) -> Column:
+        provider = F.coalesce(some(k["provider"]), some(k["job"]))
+        by_title = F.concat(F.lit("title-company:"), some(k["title"]), F.lit(":"), F.coalesce(some(k["company"]), some(k["account"])))
+        by_url = F.concat(F.lit("url:"), k["url"])
+        by_provider = F.concat(F.lit("provider:"), fold_plain(provider, False))
+        return let(
+            F.struct(provider.alias("provider"), F.when(provider.isNotNull(), by_provider).alias("own"), by_title.alias("by_title"), by_url.alias("by_url"),
+                     (k["title"] != "").alias("titled")),
+            identify,
+        )
+
+    def identify(m: Column) -> Column:
+        identity = F.coalesce(m["own"], F.when(m["titled"], F.coalesce(m["by_title"], m["by_url"])))
+        return let(identity, lambda own: F.struct(
+            m["provider"].alias("provider"), own.alias("identity"),
+            F.array_distinct(F.array_compact(F.array(own, m["by_url"], m["by_title"]))).alias("aliases"),
+        ))
+
+    parts = F.struct(
+        clean("provider_id", normalize).alias("provider"), clean("job_id", normalize).alias("job"), fold_plain("title", normalize).alias("title"),
+        fold_plain("company", normalize).alias("company"), fold_plain("account_name", normalize).alias("account"), job_url("url").alias("url"),
     )
+    named = jobs.withColumn("identified", let(parts, aliases))
+    return named.withColumns({
+        "provider_key": F.col("identified.provider"), "job_identity": F.col("identified.identity"), "job_aliases": F.col("identified.aliases"),
+    }).drop("identified")
 
 
 def duplicate_job_identities(identified: DataFrame) -> DataFrame:
@@ -274,46 +288,60 @@ def job_classify(jobs: DataFrame, taxonomy=None, non_it=None, normalize: bool =
     """Adds relevant, score, matched_terms and rationale; terms match as substrings."""
     rules = JOB_TAXONOMY if taxonomy is None else taxonomy
     rejected = NON_IT_TERMS if non_it is None else non_it
+
+    def judge(text: Column) -> Column:
+        points = F.lit(0)
+        for _, words, weight in rules:
+            points = points + F.when(contains_any(text, words), weight).otherwise(0)
+        terms = F.concat(*[matched_terms(text, words) for _, words, _ in rules])
+        return let(
+            F.struct(
+                instruction_like(text).alias("suspicious"), contains_any(text, rejected).alias("non_it"),
+                F.least(F.lit(100), points).alias("points"), F.sort_array(F.array_distinct(terms)).alias("terms"),
+            ),
+            conclude,
+        )
+
+    def conclude(c: Column) -> Column:
+        relevant = ~c["suspicious"] & ~c["non_it"] & (c["points"] >= JOB_RELEVANCE_MINIMUM)
+        out_of = F.concat(c["points"].cast("string"), F.lit("/100"))
+        rationale = (
+            F.when(c["suspicious"], F.lit("Rejected as untrusted instruction-like job content."))
+            .when(relevant, F.concat(F.lit("IT relevance score "), out_of, F.lit(" from "), F.array_join(c["terms"], ", "), F.lit(".")))
+            .when(c["non_it"], F.lit("Rejected as non-IT: matched a non-technical role term."))
+            .otherwise(F.concat(F.lit("Rejected as non-IT: no IT taxonomy terms matched (score "), out_of, F.lit(").")))
+        )
+        return F.struct(
+            relevant.alias("relevant"), F.when(c["suspicious"], F.lit(0)).otherwise(c["points"]).alias("score"),
+            F.when(c["suspicious"], F.array().cast("array<string>")).otherwise(c["terms"]).alias("matched_terms"), rationale.alias("rationale"),
+        )
+
     parts = [clean(c, normalize) for c in ("title", "department", "description")]
-    texted = jobs.withColumn("job_text", F.concat(F.lit(" "), F.lower(F.concat_ws(" ", *parts)), F.lit(" ")))
-    text = F.col("job_text")
-    score = F.lit(0)
-    for _, terms, weight in rules:
-        score = score + F.when(contains_any(text, terms), weight).otherwise(0)
-    terms = F.concat(*[matched_terms(text, words) for _, words, _ in rules])
-    scored = (
-        texted.withColumn("suspicious", instruction_like(text))
-        .withColumn("score", F.when(F.col("suspicious"), 0).otherwise(F.least(F.lit(100), score)))
-        .withColumn("non_it", contains_any(text, rejected))
-        .withColumn("matched_terms", F.when(F.col("suspicious"), F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(terms))))
-        .withColumn("relevant", ~F.col("suspicious") & ~F.col("non_it") & (F.col("score") >= JOB_RELEVANCE_MINIMUM))
-    )
-    points = F.concat(F.col("score").cast("string"), F.lit("/100"))
-    rationale = (
-        F.when(F.col("suspicious"), "Rejected as untrusted instruction-like job content.")
-        .when(F.col("relevant"), F.concat(F.lit("IT relevance score "), points, F.lit(" from "), F.array_join("matched_terms", ", "), F.lit(".")))
-        .when(F.col("non_it"), "Rejected as non-IT: matched a non-technical role term.")
-        .otherwise(F.concat(F.lit("Rejected as non-IT: no IT taxonomy terms matched (score "), points, F.lit(").")))
-    )
-    return scored.withColumn("rationale", rationale).drop("job_text", "suspicious", "non_it")
+    text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", *parts)), F.lit(" "))
+    found = jobs.withColumn("classified", let(text, judge))
+    return found.withColumns({c: F.col(f"classified.{c}") for c in ("relevant", "score", "matched_terms", "rationale")}).drop("classified")
 
 
 def hiring_signals(classified: DataFrame, collected_at: Column, system: str = "careers_page", normalize: bool = True) -> DataFrame:
     """Signals of relevant new postings; the id rests on the identity, not on the time."""
-    title = clean("title", normalize)
+    def some(name: str) -> Column:
+        return F.nullif(F.col(name), F.lit(""))
+
+    title = F.col("c_title")
     observed = F.coalesce("posted_at", collected_at)
-    company = F.coalesce(F.nullif(clean("company", normalize), F.lit("")), F.col("account_name"))
     attributes = F.map_filter(
         F.create_map(
-            F.lit("jobIdentity"), F.col("job_identity"), F.lit("title"), title, F.lit("company"), company,
+            F.lit("jobIdentity"), F.col("job_identity"), F.lit("title"), title,
+            F.lit("company"), F.coalesce(some("c_company"), F.col("account_name")),
             F.lit("relevanceScore"), F.col("score").cast("string"), F.lit("rationale"), F.col("rationale"),
-            F.lit("department"), F.nullif(clean("department", normalize), F.lit("")),
-            F.lit("location"), F.nullif(clean("location", normalize), F.lit("")),
+            F.lit("department"), some("c_department"), F.lit("location"), some("c_location"),
         ),
         lambda key, value: value.isNotNull(),
     )
+    texts = ("title", "company", "department", "location", "description")
+    cleaned = classified.filter("relevant").withColumns({f"c_{name}": clean(name, normalize) for name in texts})
     url = non_empty("url")
-    return classified.filter("relevant").select(
+    return cleaned.select(
         stable_id("signal", "account_id", F.lit("it_hiring"), F.lit(system), "job_identity", ascii_only=not normalize).alias("signal_id"),
         "account_id", "account_name",
         F.lit("it_hiring").alias("category"),
@@ -334,7 +362,7 @@ def hiring_signals(classified: DataFrame, collected_at: Column, system: str = "c
         F.array(F.struct(
             F.lit("job_posting").alias("kind"),
             F.concat(F.lit("IT job posting: "), title).alias("summary"),
-            F.nullif(clip(clean("description", normalize), 500), F.lit("")).alias("excerpt"),
+            F.nullif(clip(F.col("c_description"), 500), F.lit("")).alias("excerpt"),
             F.lit(system).alias("source_system"),
             url.alias("source_url"),
             attributes.alias("attributes"),

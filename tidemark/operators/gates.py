@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import WHITESPACE, as_col, clean, contains_any, instruction_like, non_empty, trim_all
+from tidemark.functions.text import WHITESPACE, as_col, clean, contains_any, instruction_like, let, non_empty, trim_all
 from tidemark.functions.urls import canonical_url, host_in_domains, host_of, origin_of, path_of
 from tidemark.functions.vocabulary import (
     DELIVERED_STATUS,
@@ -37,10 +37,13 @@ def watch_url(url: Column | str) -> Column:
 
 def job_url(url: Column | str) -> Column:
     """Canonical URL of a posting; text that is no URL is lower-cased without query and fragment."""
-    text = clean(url, False)
-    usable = canonical_url(text, drop_parameters=JOB_TRACKING_PARAMETERS, trim_slashes="one", allow_credentials=True)
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[?#].*$", ""), "/$", "")
-    return F.when(text != "", F.coalesce(usable, F.when(plain != "", plain)))
+
+    def build(text: Column) -> Column:
+        usable = canonical_url(text, drop_parameters=JOB_TRACKING_PARAMETERS, trim_slashes="one", allow_credentials=True)
+        plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[?#].*$", ""), "/$", "")
+        return F.coalesce(usable, F.nullif(plain, F.lit("")))
+
+    return let(clean(url, False), build)
 
 
 def url_canonicalize_dedupe(urls: DataFrame, url: str = "url", key: str = "page_id", canonical=news_url) -> DataFrame:

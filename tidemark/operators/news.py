@@ -17,6 +17,7 @@ from tidemark.functions.text import (
     collapse,
     fold_accents,
     instruction_like,
+    let,
     matched_terms,
     trim_all,
 )
@@ -52,41 +53,34 @@ def news_classify(items: DataFrame, taxonomy=None, normalize: bool = True) -> Da
     keyword never reaches the 0.7 that is required.
     """
     entries = NEWS_TAXONOMY if taxonomy is None else taxonomy
-    texted = items.withColumn("news_text", clean(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit(""))), normalize))
-    lower = F.lower(F.col("news_text"))
-    found = texted.withColumn("news_lower", lower).withColumn(
-        "hits",
-        F.array_sort(F.filter(
-            F.array(*[
-                F.struct(
-                    (-F.size(matched_terms(F.col("news_lower"), words))).alias("rank"),
-                    F.lit(category).alias("category"),
-                    F.lit(label).alias("label"),
-                    matched_terms(F.col("news_lower"), words).alias("words"),
-                )
-                for category, label, words, _, _ in entries
-            ]),
-            lambda h: h["rank"] < 0,
-        )),
-    )
-    best = F.get("hits", 0)
-    count, runner_up = -best["rank"], F.coalesce(-F.get("hits", 1)["rank"], F.lit(0))
-    confidence = F.least(F.lit(0.99), F.lit(0.45) + count * 0.16 + F.when(count > runner_up, 0.08).otherwise(0.0))
-    sure = best.isNotNull() & (confidence >= 0.7) & ~instruction_like(F.col("news_text")) & (F.col("news_text") != "")
-    at = F.instr(F.col("news_lower"), F.get(best["words"], 0))
-    start = F.greatest(F.lit(1), at - 100)
-    excerpt = trim_all(F.substr(F.col("news_text"), start, F.lit(300)))
-    return (
-        found.withColumn("sure", F.coalesce(sure, F.lit(False)))
-        .withColumn("news_category", F.when(F.col("sure"), best["category"]))
-        .withColumn("confidence", F.when(F.col("sure"), F.round(confidence, 2)))
-        .withColumn(
-            "rationale",
-            F.when(F.col("sure"), F.concat(F.lit("Deterministic taxonomy match for "), best["label"], F.lit(": "), F.array_join(best["words"], ", "), F.lit("."))),
-        )
-        .withColumn("excerpt", F.when(F.col("sure"), excerpt))
-        .drop("hits", "sure", "news_text", "news_lower")
-    )
+
+    def judge(text: Column) -> Column:
+        return let(F.lower(text), lambda lower: let(hits(lower), lambda found: conclude(text, lower, found)))
+
+    def hits(lower: Column) -> Column:
+        tried = [
+            let(matched_terms(lower, words), lambda m, c=category, n=label: F.struct(
+                (-F.size(m)).alias("rank"), F.lit(c).alias("category"), F.lit(n).alias("label"), m.alias("words")))
+            for category, label, words, _, _ in entries
+        ]
+        return F.sort_array(F.filter(F.array(*tried), lambda h: h["rank"] < 0))
+
+    def conclude(text: Column, lower: Column, found: Column) -> Column:
+        best = F.get(found, 0)
+        count, runner_up = -best["rank"], F.coalesce(-F.get(found, 1)["rank"], F.lit(0))
+        confidence = F.least(F.lit(0.99), F.lit(0.45) + count * 0.16 + F.when(count > runner_up, 0.08).otherwise(0.0))
+        start = F.greatest(F.lit(1), F.instr(lower, F.get(best["words"], 0)) - 100)
+        sure = best.isNotNull() & (confidence >= 0.7) & ~instruction_like(text)
+        return F.when(sure, F.struct(
+            best["category"].alias("news_category"),
+            F.round(confidence, 2).alias("confidence"),
+            F.concat(F.lit("Deterministic taxonomy match for "), best["label"], F.lit(": "), F.array_join(best["words"], ", "), F.lit(".")).alias("rationale"),
+            trim_all(F.substr(text, start, F.lit(300))).alias("excerpt"),
+        ))
+
+    text = clean(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit(""))), normalize)
+    found = items.withColumn("classified", let(text, judge))
+    return found.withColumns({c: F.col(f"classified.{c}") for c in ("news_category", "confidence", "rationale", "excerpt")}).drop("classified")
 
 
 def news_signals(items: DataFrame, accounts: DataFrame, stored: DataFrame, normalize: bool = True) -> DataFrame:

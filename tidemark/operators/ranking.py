@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import as_col, clean, contains_any
+from tidemark.functions.text import as_col, clean, contains_any, let
 from tidemark.functions.vocabulary import (
     CATEGORY_THEMES,
     HIRING_THEME_WORDS,
@@ -81,9 +81,8 @@ def opportunity_theme(category: Column | str, text: Column) -> Column:
 
 
 def with_theme(signals: DataFrame, normalize: bool = True) -> DataFrame:
-    """Adds ``theme``; the text is its own projection, so every keyword test reads one evaluated column."""
-    texted = signals.withColumn("theme_text", signal_text(normalize))
-    return texted.withColumn("theme", opportunity_theme("category", F.col("theme_text"))).drop("theme_text")
+    """Adds ``theme``; the text is built once per row however many keywords are tried."""
+    return signals.withColumn("theme", let(signal_text(normalize), lambda text: opportunity_theme("category", text)))
 
 
 def _evidence_identity() -> Column:

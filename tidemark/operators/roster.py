@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import STABLE_ID_PATTERN, account_id, owner_id
-from tidemark.functions.text import clean, trim_all
-from tidemark.functions.urls import canonical_url, has_credentials, host_of, path_of
+from tidemark.functions.text import clean, let, trim_all
+from tidemark.functions.urls import canonical_url, url_parts
 from tidemark.functions.vocabulary import (
     DIRECTIONS,
     OWNER_ROLE_ALIASES,
@@ -24,14 +24,20 @@ from tidemark.operators.ranking import choose
 
 def normalize_domain(value: Column, normalize: bool = True) -> Column:
     """Bare host of a domain or site URL; NULL unless it is a dotted host without path, query or user."""
+
+    def read(url: Column) -> Column:
+        plain = ~url.rlike(r"\?[^#]") & ~url.rlike("#.")
+        return let(
+            url_parts(url),
+            lambda p: F.when(
+                plain & p["scheme"].isin("http", "https") & ~p["credentials"] & (p["path"] == "/"),
+                F.regexp_replace(F.regexp_replace(p["host"], r"^www\.", ""), r"\.$", ""),
+            ),
+        )
+
     text = F.lower(clean(value, normalize))
-    url = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text))
-    bare = F.regexp_replace(host_of(url), r"\.$", "")
-    plain = (
-        url.rlike("^https?://") & ~has_credentials(url) & (path_of(url) == "/")
-        & ~url.rlike(r"\?[^#]") & ~url.rlike("#.") & bare.contains(".")
-    )
-    return F.when((text != "") & plain, bare)
+    host = let(text, lambda t: read(F.when(t.contains("://"), t).otherwise(F.concat(F.lit("https://"), t))))
+    return let(host, lambda h: F.when(h.contains("."), h))
 
 
 def normalize_site_url(value: Column, normalize: bool = True) -> Column:

@@ -116,14 +116,14 @@ def previous_baseline(probes: DataFrame, runs: DataFrame, bucket: str = "day") -
 def list_records(
     records: DataFrame, time_col: str, id_col: str, account_id: str | None = None, run_id: str | None = None, promoted: DataFrame | None = None
 ) -> DataFrame:
-    """Stored records, newest first; a run filter only sees promoted runs."""
+    """Stored records, newest first; with ``promoted`` only those of promoted runs."""
     chosen = records
     if account_id is not None:
         chosen = chosen.filter(F.col("account_id") == account_id)
     if run_id is not None:
         chosen = chosen.filter(F.col("run_id") == run_id)
-        if promoted is not None:
-            chosen = chosen.join(promoted.select("run_id"), "run_id", "left_semi")
+    if promoted is not None:
+        chosen = chosen.join(promoted.select("run_id"), "run_id", "left_semi")
     return chosen.orderBy(F.desc(time_col), id_col)
 
 

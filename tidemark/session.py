@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # no stack capture for every column expression while plans are built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,3 +2,6 @@
 
 import workload.usage_queries  # noqa: F401
 import workload.ranking_queries  # noqa: F401
+import workload.change_queries  # noqa: F401
+import workload.state_queries  # noqa: F401
+import workload.run_queries  # noqa: F401
