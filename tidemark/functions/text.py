@@ -27,7 +27,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     Keeps long derived columns small: without it a filter that Catalyst pushes
     below a projection repeats the whole expression for every use of its column.
     """
-    return F.get(F.transform(F.array(value), body), 0)
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), 0)
 
 
 def _utf8_normalizer(form: str):

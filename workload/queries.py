@@ -6,3 +6,4 @@ import workload.change_queries  # noqa: F401
 import workload.state_queries  # noqa: F401
 import workload.run_queries  # noqa: F401
 import workload.gate_queries  # noqa: F401
+import workload.news_queries  # noqa: F401
