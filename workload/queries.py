@@ -7,3 +7,4 @@ import workload.state_queries  # noqa: F401
 import workload.run_queries  # noqa: F401
 import workload.gate_queries  # noqa: F401
 import workload.news_queries  # noqa: F401
+import workload.schedule_queries  # noqa: F401
