@@ -8,3 +8,4 @@ import workload.run_queries  # noqa: F401
 import workload.gate_queries  # noqa: F401
 import workload.news_queries  # noqa: F401
 import workload.schedule_queries  # noqa: F401
+import workload.stream_queries  # noqa: F401
