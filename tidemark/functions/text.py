@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -14,7 +14,11 @@ from pyspark.sql.types import StringType
 # line ends and the byte order mark; Spark's own trim removes U+0020 only).
 WHITESPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
-NON_ASCII = r"[^\x00-\x7F]"
+ASCII_WHITESPACE = r"[\t\n\x0B\f\r ]"
+
+def is_ascii(value: Column) -> Column:
+    """As many bytes as characters; cheaper than a regular expression."""
+    return F.octet_length(value) == F.length(value)
 
 
 def as_col(value: Column | str) -> Column:
@@ -30,6 +34,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: body(bound)), 0)
 
 
+def computed(df: DataFrame, fields: Column) -> DataFrame:
+    """Appends the fields of a struct, evaluated once per row at this point of the plan.
+
+    A generator is a barrier: filters and inferred not-null conditions on the new
+    columns stay above it instead of being pushed below as repeated evaluations.
+    """
+    return df.select("*", F.inline(F.array(fields)))
+
+
 def _utf8_normalizer(form: str):
     @F.arrow_udf(StringType())
     def normalize(values: pa.Array) -> pa.Array:
@@ -45,7 +58,7 @@ _FORMS = {form: _utf8_normalizer(form) for form in ("NFKC", "NFKD")}
 def unicode_normal(value: Column | str, form: str = "NFKC") -> Column:
     """NFKC/NFKD. Spark has no built-in; only non-ASCII values reach Python, in Arrow batches."""
     value = as_col(value)
-    non_ascii = F.when(value.rlike(NON_ASCII), value)
+    non_ascii = F.when(~is_ascii(value), value)
     return F.coalesce(_FORMS[form](non_ascii), value)
 
 
@@ -55,7 +68,13 @@ def trim_all(value: Column | str) -> Column:
 
 def collapse(value: Column | str) -> Column:
     """Runs of white space become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(as_col(value), f"{WHITESPACE}+", " "))
+
+    def tidy(text: Column) -> Column:
+        # the wide class is slow to test per character and rarely needed
+        narrow = F.regexp_replace(text, f"{ASCII_WHITESPACE}+", " ")
+        return F.trim(F.when(is_ascii(text), narrow).otherwise(F.regexp_replace(text, f"{WHITESPACE}+", " ")))
+
+    return let(as_col(value), tidy)
 
 
 def clean(value: Column | str, normalize: bool = True) -> Column:

@@ -10,6 +10,7 @@ from tidemark.functions.text import (
     as_col,
     clean,
     clip,
+    computed,
     contains_any,
     fold_plain,
     instruction_like,
@@ -251,18 +252,15 @@ def with_job_identity(jobs: DataFrame, normalize: bool = True) -> DataFrame:
     def identify(m: Column) -> Column:
         identity = F.coalesce(m["own"], F.when(m["titled"], F.coalesce(m["by_title"], m["by_url"])))
         return let(identity, lambda own: F.struct(
-            m["provider"].alias("provider"), own.alias("identity"),
-            F.array_distinct(F.array_compact(F.array(own, m["by_url"], m["by_title"]))).alias("aliases"),
+            m["provider"].alias("provider_key"), own.alias("job_identity"),
+            F.array_distinct(F.array_compact(F.array(own, m["by_url"], m["by_title"]))).alias("job_aliases"),
         ))
 
     parts = F.struct(
         clean("provider_id", normalize).alias("provider"), clean("job_id", normalize).alias("job"), fold_plain("title", normalize).alias("title"),
         fold_plain("company", normalize).alias("company"), fold_plain("account_name", normalize).alias("account"), job_url("url").alias("url"),
     )
-    named = jobs.withColumn("identified", let(parts, aliases))
-    return named.withColumns({
-        "provider_key": F.col("identified.provider"), "job_identity": F.col("identified.identity"), "job_aliases": F.col("identified.aliases"),
-    }).drop("identified")
+    return computed(jobs, let(parts, aliases))
 
 
 def duplicate_job_identities(identified: DataFrame) -> DataFrame:
@@ -318,8 +316,7 @@ def job_classify(jobs: DataFrame, taxonomy=None, non_it=None, normalize: bool =
 
     parts = [clean(c, normalize) for c in ("title", "department", "description")]
     text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", *parts)), F.lit(" "))
-    found = jobs.withColumn("classified", let(text, judge))
-    return found.withColumns({c: F.col(f"classified.{c}") for c in ("relevant", "score", "matched_terms", "rationale")}).drop("classified")
+    return computed(jobs, let(text, judge))
 
 
 def hiring_signals(classified: DataFrame, collected_at: Column, system: str = "careers_page", normalize: bool = True) -> DataFrame:

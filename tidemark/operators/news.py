@@ -15,6 +15,7 @@ from tidemark.functions.text import (
     clip,
     clip_ellipsis,
     collapse,
+    computed,
     fold_accents,
     instruction_like,
     let,
@@ -79,8 +80,7 @@ def news_classify(items: DataFrame, taxonomy=None, normalize: bool = True) -> Da
         ))
 
     text = clean(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit(""))), normalize)
-    found = items.withColumn("classified", let(text, judge))
-    return found.withColumns({c: F.col(f"classified.{c}") for c in ("news_category", "confidence", "rationale", "excerpt")}).drop("classified")
+    return computed(items, let(text, judge))
 
 
 def news_signals(items: DataFrame, accounts: DataFrame, stored: DataFrame, normalize: bool = True) -> DataFrame:

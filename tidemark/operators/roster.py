@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import STABLE_ID_PATTERN, account_id, owner_id
-from tidemark.functions.text import clean, let, trim_all
+from tidemark.functions.text import clean, computed, let, trim_all
 from tidemark.functions.urls import canonical_url, url_parts
 from tidemark.functions.vocabulary import (
     DIRECTIONS,
@@ -20,6 +20,7 @@ from tidemark.functions.vocabulary import (
     SOURCE_SYSTEMS,
 )
 from tidemark.operators.ranking import choose
+from tidemark.session import cut_lineage
 
 
 def normalize_domain(value: Column, normalize: bool = True) -> Column:
@@ -40,10 +41,6 @@ def normalize_domain(value: Column, normalize: bool = True) -> Column:
     return let(host, lambda h: F.when(h.contains("."), h))
 
 
-def normalize_site_url(value: Column, normalize: bool = True) -> Column:
-    return canonical_url(clean(value, normalize), allow_credentials=True)
-
-
 @dataclass(frozen=True)
 class RosterResult:
     accounts: DataFrame
@@ -63,40 +60,42 @@ def roster_normalize(rows: DataFrame, named_roles: dict[str, str] | None = None,
     the aggregates hold one value per account however often it repeats.
     """
     named = {k.lower(): v for k, v in (named_roles or {}).items()}
-    role_text = F.regexp_replace(F.lower(clean("owner_role", normalize)), "[\\u2013\\u2014]", "-")
-    given_role = choose(role_text, OWNER_ROLE_ALIASES)
-    fixed_role = choose(F.lower(F.col("clean_owner")), named) if named else F.lit(None).cast("string")
-    has_owner_key = F.col("owner_key") != ""
-    role = F.when(
-        fixed_role.isNotNull(), F.when(given_role.isNull() | (given_role == fixed_role), fixed_role)
-    ).when(has_owner_key, given_role)
-
-    raw_domains = F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda d: F.struct(
-        clean(d, False).alias("raw"), normalize_domain(d, False).alias("domain")))
-    checked = (
-        rows.select(
-            "row_index",
-            clean("source_record_id", normalize).alias("record"),
-            clean("name", normalize).alias("clean_name"),
-            clean("owner_name", normalize).alias("clean_owner"),
-            clean("source_owner_id", normalize).alias("owner_key"),
-            "owner_role", "careers_url", "linkedin_url", raw_domains.alias("d"),
-        )
-        .withColumn("role", role)
-        .withColumn("good_domains", F.array_distinct(F.filter(F.transform("d", lambda x: x["domain"]), lambda x: x.isNotNull())))
-        .withColumn("bad_domains", F.size(F.filter("d", lambda x: x["domain"].isNull() & (x["raw"] != ""))))
-        .withColumn("careers", normalize_site_url(F.col("careers_url"), normalize))
-        .withColumn("linkedin", normalize_site_url(F.col("linkedin_url"), normalize))
-        .withColumn("careers_bad", (clean("careers_url", normalize) != "") & F.col("careers").isNull())
-        .withColumn("linkedin_bad", (clean("linkedin_url", normalize) != "") & F.col("linkedin").isNull())
-        .withColumn(
-            "fatal",
-            F.when(F.col("record") == "", "missing_source_record_id")
-            .when(F.col("clean_name") == "", "missing_name")
-            .when(F.size("good_domains") == 0, "missing_domain")
-            .when((F.col("clean_owner") == "") | F.col("role").isNull(), "unmapped_owner"),
+
+    def role(r: Column) -> Column:
+        given = choose(r["role_text"], OWNER_ROLE_ALIASES)
+        fixed = choose(F.lower(r["clean_owner"]), named) if named else F.lit(None).cast("string")
+        return F.when(fixed.isNotNull(), F.when(given.isNull() | (given == fixed), fixed)).when(r["owner_key"] != "", given)
+
+    def domains(r: Column) -> Column:
+        read = F.transform(r["d"], lambda d: F.struct(d.alias("raw"), normalize_domain(d, False).alias("domain")))
+        return let(read, lambda found: F.struct(
+            F.array_distinct(F.filter(F.transform(found, lambda x: x["domain"]), lambda x: x.isNotNull())).alias("good"),
+            F.size(F.filter(found, lambda x: x["domain"].isNull() & (x["raw"] != ""))).alias("bad"),
+        ))
+
+    def check(r: Column) -> Column:
+        return let(
+            F.struct(domains(r).alias("domains"), role(r).alias("role"), canonical_url(r["careers_text"], allow_credentials=True).alias("careers"),
+                     canonical_url(r["linkedin_text"], allow_credentials=True).alias("linkedin")),
+            lambda c: F.struct(
+                *[r[name].alias(name) for name in ("record", "clean_name", "clean_owner", "owner_key")],
+                c["role"].alias("role"), c["domains"]["good"].alias("good_domains"), c["domains"]["bad"].alias("bad_domains"),
+                c["careers"].alias("careers"), c["linkedin"].alias("linkedin"),
+                ((r["careers_text"] != "") & c["careers"].isNull()).alias("careers_bad"), ((r["linkedin_text"] != "") & c["linkedin"].isNull()).alias("linkedin_bad"),
+                F.when(r["record"] == "", "missing_source_record_id").when(r["clean_name"] == "", "missing_name")
+                .when(F.size(c["domains"]["good"]) == 0, "missing_domain").when((r["clean_owner"] == "") | c["role"].isNull(), "unmapped_owner").alias("fatal"),
+            ),
         )
+
+    texts = F.struct(
+        clean("source_record_id", normalize).alias("record"), clean("name", normalize).alias("clean_name"), clean("owner_name", normalize).alias("clean_owner"),
+        clean("source_owner_id", normalize).alias("owner_key"), clean("careers_url", normalize).alias("careers_text"), clean("linkedin_url", normalize).alias("linkedin_text"),
+        F.regexp_replace(F.lower(clean("owner_role", normalize)), "[\\u2013\\u2014]", "-").alias("role_text"),
+        F.transform(F.coalesce("domains", F.array().cast("array<string>")), lambda d: clean(d, False)).alias("d"),
     )
+    # four result tables are read from these rows
+    checked = cut_lineage(computed(rows.select("row_index", texts.alias("t")), let(F.col("t"), check)).drop("t"))
+    has_owner_key = F.col("owner_key") != ""
     identified = F.coalesce(~F.col("fatal").isin("missing_source_record_id", "missing_name"), F.lit(True))
     row_codes = F.concat(
         F.when(identified, F.array_repeat(F.lit("invalid_domain"), F.col("bad_domains"))).otherwise(F.array().cast("array<string>")),

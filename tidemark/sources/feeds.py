@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import as_col, collapse, trim_all
+from tidemark.functions.text import as_col, collapse, let, trim_all
 from tidemark.functions.urls import canonical_url, path_of, scheme_of
 from tidemark.operators.gates import page_url
 
@@ -82,22 +82,27 @@ def absolute_url(candidate: Column, base: Column) -> Column:
     return F.concat(canonical_url(resolved, allow_credentials=True), F.when(fragment == "#", F.lit("")).otherwise(fragment))
 
 
-def _job_columns(item: Column, base: Column, observed_at: Column) -> list[Column]:
-    nested = _get(item, "categories")
-    url = absolute_url(_text(_defined(item, URL_KEYS)), base)
-    return [
-        F.coalesce(_text(_defined(item, ID_KEYS)), url).alias("job_id"),
-        _text(_defined(item, TITLE_KEYS)).alias("title"),
-        F.coalesce(_department(_defined(item, DEPARTMENT_KEYS)), _department(_defined(nested, DEPARTMENT_KEYS))).alias("department"),
-        F.coalesce(_text(_defined(item, LOCATION_KEYS)), _text(_defined(nested, LOCATION_KEYS[:2]))).alias("location"),
-        url.alias("url"),
-        parse_date(_text(_defined(item, POSTED_KEYS))).alias("posted_at"),
-        F.coalesce(parse_date(_text(_get(item, "observedAt"))), observed_at).alias("observed_at"),
-    ]
+def _job(item: Column, base: Column, observed_at: Column) -> Column:
+    """Struct of a job out of one feed entry; ``ok`` when id, title and URL are there."""
+
+    def read(url: Column) -> Column:
+        nested = _get(item, "categories")
+        fields = F.struct(
+            F.coalesce(_text(_defined(item, ID_KEYS)), url).alias("job_id"),
+            _text(_defined(item, TITLE_KEYS)).alias("title"),
+            F.coalesce(_department(_defined(item, DEPARTMENT_KEYS)), _department(_defined(nested, DEPARTMENT_KEYS))).alias("department"),
+            F.coalesce(_text(_defined(item, LOCATION_KEYS)), _text(_defined(nested, LOCATION_KEYS[:2]))).alias("location"),
+            url.alias("url"),
+            parse_date(_text(_defined(item, POSTED_KEYS))).alias("posted_at"),
+            F.coalesce(parse_date(_text(_get(item, "observedAt"))), observed_at).alias("observed_at"),
+        )
+        return let(fields, lambda job: F.when(job["job_id"].isNotNull() & job["title"].isNotNull() & job["url"].isNotNull(), job))
+
+    return let(absolute_url(_text(_defined(item, URL_KEYS)), base), read)
 
 
-def _valid_jobs(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(F.col("job_id").isNotNull() & F.col("title").isNotNull() & F.col("url").isNotNull())
+def _kept(jobs: Column) -> Column:
+    return F.filter(jobs, lambda job: job.isNotNull())
 
 
 def _rejects(feeds: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
@@ -110,14 +115,16 @@ def careers_extract_json(feeds: DataFrame, key: str = "account_id") -> tuple[Dat
     The list is the body itself or the first known list key; rows lacking title,
     URL or any id fall, a feed without a valid row is malformed.
     """
-    parsed = feeds.withColumn("doc", F.try_parse_json("body"))
-    doc = F.col("doc")
-    listing = F.coalesce(
-        F.when(_is(doc, "ARRAY"), F.try_variant_get(doc, "$", "array<variant>")),
-        *[F.when(_is(_get(doc, k), "ARRAY"), _get(doc, k, "array<variant>")) for k in LIST_KEYS],
-    )
-    items = parsed.select(key, F.col("url").alias("feed_url"), F.col("observed_at").alias("feed_at"), F.posexplode(listing).alias("input_ord", "item"))
-    jobs = _valid_jobs(items.select(key, F.col("input_ord").cast("bigint").alias("input_ord"), *_job_columns(F.col("item"), F.col("feed_url"), F.col("feed_at"))))
+    def listing(doc: Column) -> Column:
+        return F.coalesce(
+            F.when(_is(doc, "ARRAY"), F.try_variant_get(doc, "$", "array<variant>")),
+            *[let(_get(doc, k), lambda found: F.when(_is(found, "ARRAY"), F.try_variant_get(found, "$", "array<variant>"))) for k in LIST_KEYS],
+        )
+
+    entries = let(F.try_parse_json("body"), listing)
+    found = F.transform(entries, lambda item: _job(item, F.col("url"), F.col("observed_at")))
+    rows = feeds.select(F.col(key).alias("feed_key"), F.posexplode(_kept(found)).alias("input_ord", "job"))
+    jobs = rows.select(F.col("feed_key").alias(key), F.col("input_ord").cast("bigint").alias("input_ord"), "job.*")
     return jobs, _rejects(feeds, jobs, key)
 
 
@@ -156,11 +163,11 @@ def careers_extract_html(pages: DataFrame, key: str = "account_id") -> tuple[Dat
     record of a job id wins.
     """
     body = F.col("body")
-    ld = pages.select(key, "url", "observed_at", F.posexplode(_ld_candidates(body)).alias("pos", "item")).filter(
-        _text(_get(F.col("item"), "@type")) == "JobPosting"
+    postings = F.filter(_ld_candidates(body), lambda item: F.coalesce(_text(_get(item, "@type")) == "JobPosting", F.lit(False)))
+    ld = F.transform(postings, lambda item: _job(item, F.col("url"), F.col("observed_at")))
+    from_ld = pages.select(F.col(key).alias("page_key"), F.posexplode(_kept(ld)).alias("pos", "job")).select(
+        F.col("page_key").alias(key), F.lit(0).alias("part"), "pos", "job.*"
     )
-    zero = F.lit(0)
-    from_ld = ld.select(key, zero.alias("part"), "pos", *_job_columns(F.col("item"), F.col("url"), F.col("observed_at")))
     anchor = F.lit(r"""(?i)<a\b([^>]*?)href=["']([^"']+)["']([^>]*)>([\s\S]*?)</a>""")
     links = F.arrays_zip(*[F.regexp_extract_all(body, anchor, g).alias(n) for g, n in ((1, "a"), (2, "href"), (3, "b"), (4, "inner"))])
     link_rows = pages.select(key, F.col("url").alias("page_url"), "observed_at", F.posexplode(links).alias("pos", "link"))
@@ -175,8 +182,8 @@ def careers_extract_html(pages: DataFrame, key: str = "account_id") -> tuple[Dat
         missing.alias("department"), missing.alias("location"),
         absolute_url(trim_all("link.href"), F.col("page_url")).alias("url"),
         F.lit(None).cast("timestamp").alias("posted_at"), "observed_at",
-    ).filter(F.length("title") >= 2)
-    found = _valid_jobs(from_ld.unionByName(from_links))
+    ).filter((F.length("title") >= 2) & F.col("job_id").isNotNull() & F.col("url").isNotNull())
+    found = from_ld.unionByName(from_links)
     rest = ["title", "department", "location", "url", "posted_at", "observed_at"]
     jobs = found.groupBy(key, "job_id").agg(F.max_by(F.struct(*rest), F.struct("part", "pos")).alias("j")).select(key, "job_id", "j.*")
     return jobs, _rejects(pages, jobs, key)

@@ -42,36 +42,36 @@ def _audit(spark, folder):
 
 
 def roster_rows(spark, folder):
-    """One row per account and owner of its nation; some rows carry other names, bad domains or URLs."""
-    customer, supplier = read_table(spark, folder, "customer"), read_table(spark, folder, "supplier")
-    key = F.col("c_custkey")
-    return customer.join(supplier, F.col("c_nationkey") == F.col("s_nationkey")).select(
-        (key * 1_000_000 + F.col("s_suppkey")).alias("row_index"),
+    """One row per order of an account; some rows carry other names, bad domains or URLs."""
+    customer, orders = read_table(spark, folder, "customer"), read_table(spark, folder, "orders", spread=True)
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    return orders.join(customer, key == F.col("o_custkey")).select(
+        order.alias("row_index"),
         F.when(F.col("c_acctbal") < -900, "").otherwise(F.concat(F.lit(" rec-"), key, F.lit("  "))).alias("source_record_id"),
-        F.when((F.col("c_acctbal") > 9_500) & (F.col("s_acctbal") > 5_000), "Other name").otherwise(F.col("c_name")).alias("name"),
+        F.when((F.col("c_acctbal") > 9_500) & (F.col("o_totalprice") > 250_000), "Other name").otherwise(F.col("c_name")).alias("name"),
         F.array(
             F.concat(F.lit("https://WWW.c"), key, F.lit(".Example.com/")),
-            F.when(F.col("s_acctbal") > 8_000, F.concat(F.lit("s"), F.col("s_suppkey"), F.lit(".example.org"))).otherwise("no-dot"),
+            F.when(F.col("o_totalprice") > 400_000, F.concat(F.lit("s"), order % 10, F.lit(".example.org"))).otherwise("no-dot"),
             F.when(F.col("c_acctbal") > 9_000, F.concat(F.lit("c"), key, F.lit(".example.com"))).otherwise("a.example/path"),
         ).alias("domains"),
-        F.when(F.col("c_mktsegment") == "BUILDING", "not a url").when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("https://jobs.example.com/"), F.col("s_suppkey") % 2, F.lit("#x")))
-        .when(F.col("s_acctbal") > 0, F.concat(F.lit("https://jobs.example.com/c"), key)).alias("careers_url"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "not a url").when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("https://jobs.example.com/"), order % 2, F.lit("#x")))
+        .when(F.col("o_totalprice") > 100_000, F.concat(F.lit("https://jobs.example.com/c"), key)).alias("careers_url"),
         F.lit(None).cast("string").alias("linkedin_url"),
-        F.col("s_name").alias("owner_name"),
-        F.when(F.col("s_suppkey") % 3 == 0, " AE ").when(F.col("s_suppkey") % 3 == 1, "Solutions Architect").otherwise("intern").alias("owner_role"),
-        F.concat(F.lit("own-"), F.col("s_suppkey") % 5).alias("source_owner_id"),
+        F.concat(F.lit("Owner "), order % 7).alias("owner_name"),
+        F.when(order % 3 == 0, " AE ").when(order % 3 == 1, "Solutions Architect").otherwise("intern").alias("owner_role"),
+        F.concat(F.lit("own-"), order % 5).alias("source_owner_id"),
     )
 
 
 ROSTER_SQL = f"""
-raw AS (SELECT c_custkey * 1000000 + s_suppkey AS row_index, CASE WHEN c_acctbal < -900 THEN '' ELSE 'rec-' || c_custkey END AS record,
-    CASE WHEN c_acctbal > 9500 AND s_acctbal > 5000 THEN 'Other name' ELSE c_name END AS name,
-    'c' || c_custkey || '.example.com' AS d1, CASE WHEN s_acctbal > 8000 THEN 's' || s_suppkey || '.example.org' END AS d2,
-    CASE WHEN s_acctbal > 8000 THEN 0 ELSE 1 END + CASE WHEN c_acctbal > 9000 THEN 0 ELSE 1 END AS bad_domains,
-    CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'https://jobs.example.com/' || (s_suppkey % 2)
-      WHEN s_acctbal > 0 THEN 'https://jobs.example.com/c' || c_custkey END AS careers, c_mktsegment = 'BUILDING' AS careers_bad,
-    s_name AS owner_name, CASE s_suppkey % 3 WHEN 0 THEN 'account_executive' WHEN 1 THEN 'solutions_architect' END AS role, 'own-' || (s_suppkey % 5) AS owner_key
-  FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+raw AS (SELECT o_orderkey AS row_index, CASE WHEN c_acctbal < -900 THEN '' ELSE 'rec-' || c_custkey END AS record,
+    CASE WHEN c_acctbal > 9500 AND o_totalprice > 250000 THEN 'Other name' ELSE c_name END AS name,
+    'c' || c_custkey || '.example.com' AS d1, CASE WHEN o_totalprice > 400000 THEN 's' || (o_orderkey % 10) || '.example.org' END AS d2,
+    CASE WHEN o_totalprice > 400000 THEN 0 ELSE 1 END + CASE WHEN c_acctbal > 9000 THEN 0 ELSE 1 END AS bad_domains,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN NULL WHEN c_mktsegment = 'MACHINERY' THEN 'https://jobs.example.com/' || (o_orderkey % 2)
+      WHEN o_totalprice > 100000 THEN 'https://jobs.example.com/c' || c_custkey END AS careers, c_mktsegment = 'BUILDING' AS careers_bad,
+    'Owner ' || (o_orderkey % 7) AS owner_name, CASE o_orderkey % 3 WHEN 0 THEN 'account_executive' WHEN 1 THEN 'solutions_architect' END AS role, 'own-' || (o_orderkey % 5) AS owner_key
+  FROM orders JOIN customer ON c_custkey = o_custkey),
 fatal AS (SELECT *, CASE WHEN record = '' THEN 'missing_source_record_id' WHEN role IS NULL THEN 'unmapped_owner' END AS fatal FROM raw),
 usable AS (SELECT * FROM fatal WHERE fatal IS NULL),
 grouped AS (SELECT record, arg_min(name, row_index) AS name, count(DISTINCT name) > 1 AS name_conflict,

@@ -73,9 +73,19 @@ def repeated_items(spark, folder):
     )
 
 
-@query("news_item_dedupe")
+@query(
+    "news_item_dedupe",
+    """WITH RECURSIVE item AS (SELECT lang AS account_id, doc_id AS item_id, 'https://news.example.com/' || n_chars AS canonical_url,
+        lower(source) || '|' || regexp_replace(lower(text), '\\s+', ' ', 'g') || '|' || (n_chars % 7) AS fingerprint, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents),
+    coded AS (SELECT account_id, item_id, canonical_url, md5(fingerprint) AS fingerprint, rn FROM item),
+    walk AS (SELECT DISTINCT account_id, 0::BIGINT AS rn, NULL::BIGINT AS item_id, NULL::VARCHAR AS canonical_url, NULL::BOOLEAN AS kept, []::VARCHAR[] AS taken FROM coded
+      UNION ALL SELECT i.account_id, i.rn, i.item_id, i.canonical_url, NOT list_has_any(taken, [i.canonical_url, i.fingerprint]),
+        CASE WHEN list_has_any(taken, [i.canonical_url, i.fingerprint]) THEN taken ELSE list_concat(taken, [i.canonical_url, i.fingerprint]) END
+      FROM walk w JOIN coded i ON i.account_id = w.account_id AND i.rn = w.rn + 1)
+    SELECT account_id, item_id, canonical_url, kept FROM walk WHERE rn > 0""",
+)
 def _item_dedupe(spark, folder):
-    """Order-dependent: kept rows depend on which earlier rows were kept (checked against brute force in the tests)."""
+    """Order-dependent: whether a row is kept depends on which earlier rows were kept."""
     return gates.news_item_dedupe(repeated_items(spark, folder)).select("account_id", "item_id", "canonical_url", "kept")
 
 
@@ -268,13 +278,42 @@ def judged_state(spark, folder):
     )
 
 
-@query("news_novelty")
+@query(
+    "news_novelty",
+    f"""WITH RECURSIVE worded AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split({_FOLD.replace('@', 'text')}, ' '), lambda w: length(w) > 3))) AS words FROM documents),
+    known AS (SELECT doc_id, lang, words FROM worded WHERE doc_id IN (SELECT doc_id FROM labels) AND TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) < TIMESTAMP '2024-01-06'),
+    old AS (SELECT DISTINCT w.doc_id FROM worded w JOIN known k ON w.lang = k.lang AND (w.doc_id = k.doc_id OR (len(w.words) >= 3 AND len(k.words) >= 3
+      AND len(list_intersect(w.words, k.words)) / least(len(w.words), len(k.words))::DOUBLE >= 0.7))),
+    open AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM worded WHERE doc_id NOT IN (SELECT doc_id FROM old)),
+    walk AS (SELECT DISTINCT lang, 0::BIGINT AS rn, NULL::BIGINT AS doc_id, NULL::BOOLEAN AS kept, []::VARCHAR[][] AS taken FROM open
+      UNION ALL SELECT lang, rn, doc_id, NOT hit, CASE WHEN hit OR len(words) < 3 THEN taken ELSE list_append(taken, words) END FROM (
+        SELECT o.lang, o.rn, o.doc_id, o.words, taken, len(o.words) >= 3 AND len(list_filter(taken, lambda t: len(list_intersect(t, o.words)) / least(len(t), len(o.words))::DOUBLE >= 0.7)) > 0 AS hit
+        FROM walk w JOIN open o ON o.lang = w.lang AND o.rn = w.rn + 1))
+    SELECT lang AS account_id, 'news:' || doc_id AS item_id, CASE WHEN kept THEN 'fresh' ELSE 'repeated' END AS novelty FROM walk WHERE rn > 0
+    UNION ALL SELECT lang, 'news:' || doc_id, 'already_judged' FROM worded WHERE doc_id IN (SELECT doc_id FROM old)""",
+)
 def _novelty(spark, folder):
-    """Order-dependent greedy selection (checked against brute force in the tests)."""
+    """Order-dependent greedy selection within each account."""
     state = judged_state(spark, folder).filter(F.col("first_seen_at") < ts("2024-01-06"))
     return news.news_novelty(titled(spark, folder).drop("doc_id"), state).select("account_id", "item_id", "novelty")
 
 
+@query(
+    "evidence_supported",
+    f"""WITH t AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN replace(text, ' ', ' - ') WHEN 'de' THEN source || ' of a very other thing' WHEN 'fr' THEN 'Two words' ELSE source || ' ' || text END AS quote FROM documents),
+    f AS (SELECT doc_id, trim({_FOLD.replace('@', 'quote')}) AS q, trim({_FOLD.replace('@', "('The news ' || text)")}) AS body FROM t)
+    SELECT doc_id, len(string_split(q, ' ')) >= 4 AND contains(body, q) AS supported FROM f""",
+)
+def _supported(spark, folder):
+    docs = read_table(spark, folder, "documents", spread=True)
+    quote = (
+        F.when(F.col("lang") == "en", F.replace(F.col("text"), F.lit(" "), F.lit(" - "))).when(F.col("lang") == "de", F.concat("source", F.lit(" of a very other thing")))
+        .when(F.col("lang") == "fr", "Two words").otherwise(F.concat_ws(" ", "source", "text"))
+    )
+    staged = docs.select("doc_id", quote.alias("quote"), F.lit("The news").alias("title"), F.col("text").alias("excerpt"))
+    return staged.select("doc_id", news.evidence_supported("quote", "title", "excerpt").alias("supported"))
+
+
 # --- judgement and events --------------------------------------------------------------------------
 
 

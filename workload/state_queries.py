@@ -41,7 +41,7 @@ def _plan(spark, folder):
     return state.append_idempotent(existing, incoming, "record_id")
 
 
-@query("append_inserts", f"WITH {APPEND_SQL} SELECT record_id, o_orderstatus, o_orderpriority, o_totalprice FROM batch WHERE NOT stored AND NOT mixed")
+@query("append_idempotent", f"WITH {APPEND_SQL} SELECT record_id, o_orderstatus, o_orderpriority, o_totalprice FROM batch WHERE NOT stored AND NOT mixed")
 def _inserts(spark, folder):
     return _plan(spark, folder).inserts
 
