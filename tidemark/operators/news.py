@@ -340,7 +340,8 @@ def judge_batches(fresh: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame
         except Exception as error:
             verdicts = batch[["account_id", "item_id"]].copy()
             verdicts["judge_error"] = type(error).__name__
-        return verdicts.reindex(columns=VERDICT_COLUMNS)
+        plain = verdicts.reindex(columns=VERDICT_COLUMNS).astype(object)
+        return plain.where(plain.notna(), None)
 
     return batched.groupBy("account_id", "batch").applyInPandas(run, VERDICT_SCHEMA)
 
@@ -386,12 +387,16 @@ STATE_COLUMNS = [
 ]
 
 
+def prune_news_state(state: DataFrame, now: Column, days: int = NEWS_RETENTION_DAYS) -> DataFrame:
+    return state.filter(F.col("first_seen_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def news_state_upsert(state: DataFrame, judged: DataFrame, now: Column, days: int = NEWS_RETENTION_DAYS) -> DataFrame:
     """State after a scan: items older than the retention fall, judged items come in.
 
     ``judged`` has the state columns but verdict and first_seen_at, plus ``material``.
     """
-    kept = state.filter(F.col("first_seen_at") >= now - F.expr(f"INTERVAL {days} DAYS")).select(*STATE_COLUMNS)
+    kept = prune_news_state(state, now, days).select(*STATE_COLUMNS)
     incoming = judged.withColumn("first_seen_at", now).withColumn("verdict", F.when(F.col("material"), "material").otherwise("neutral")).select(*STATE_COLUMNS)
     fresh = incoming.dropDuplicates(["item_id"])
     return kept.join(fresh.select("item_id"), "item_id", "left_anti").select(*STATE_COLUMNS).unionByName(fresh)

@@ -35,7 +35,7 @@ def news_scan(
     searched = results.join(searches.filter("ok").select("account_id"), "account_id", "left_semi")
     gated = cut_lineage(news.news_candidate_gate(searched, watchlist, now))
     candidates = gated.filter("drop_reason IS NULL")
-    novelty = cut_lineage(news.news_novelty(candidates, state))
+    novelty = cut_lineage(news.news_novelty(candidates, news.prune_news_state(state, now)))
     fresh = novelty.filter("novelty = 'fresh'").withColumnRenamed("candidate_url", "link").drop("novelty", "drop_reason", "url").withColumnRenamed("link", "url")
     verdicts = cut_lineage(news.judge_batches(fresh, judge))
     judged = news.material_events(verdicts, fresh)
