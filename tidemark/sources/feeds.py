@@ -39,47 +39,67 @@ def _is(value: Column, kind: str) -> Column:
 
 def _text(value: Column) -> Column:
     """Trimmed text of a JSON string; numbers, lists and objects are no text."""
-    trimmed = trim_all(F.try_variant_get(value, "$", "string"))
-    return F.when(_is(value, "STRING") & (trimmed != ""), trimmed)
+
+    def read(found: Column) -> Column:
+        trimmed = F.when(_is(found, "STRING"), trim_all(F.try_variant_get(found, "$", "string")))
+        return F.nullif(trimmed, F.lit(""))
+
+    return let(value, read)
 
 
 def _department(value: Column) -> Column:
-    named = _text(_get(value, "name"))
-    parts = F.transform(
-        F.try_variant_get(value, "$", "array<variant>"),
-        lambda item: F.coalesce(_text(item), F.when(_is(item, "OBJECT"), _text(_get(item, "name")))),
-    )
-    joined = F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", ")
-    return F.when(_is(value, "STRING"), _text(value)).when(_is(value, "ARRAY"), F.nullif(joined, F.lit(""))).when(_is(value, "OBJECT"), named)
+
+    def read(found: Column) -> Column:
+        parts = F.transform(
+            F.try_variant_get(found, "$", "array<variant>"),
+            lambda item: F.coalesce(_text(item), F.when(_is(item, "OBJECT"), _text(_get(item, "name")))),
+        )
+        joined = F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", ")
+        return (
+            F.when(_is(found, "STRING"), _text(found))
+            .when(_is(found, "ARRAY"), F.nullif(joined, F.lit("")))
+            .when(_is(found, "OBJECT"), _text(_get(found, "name")))
+        )
+
+    return let(value, read)
 
 
 def parse_date(text: Column) -> Column:
     """Instant of a date text: ISO 8601, or one of a few spelled formats; anything else is NULL."""
-    spelled = [
-        F.try_to_timestamp(F.when(text.rlike(pattern), text), F.lit(layout))
-        for pattern, layout in (
-            (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd"),
-            (r"^[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}$", "MMMM d, yyyy"),
-        )
-    ]
-    iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"), text)
-    return F.coalesce(F.try_to_timestamp(iso), *spelled)
+
+    def read(given: Column) -> Column:
+        spelled = [
+            F.try_to_timestamp(F.when(given.rlike(pattern), given), F.lit(layout))
+            for pattern, layout in (
+                (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd"),
+                (r"^[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}$", "MMMM d, yyyy"),
+            )
+        ]
+        iso = F.when(given.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"), given)
+        return F.coalesce(F.try_to_timestamp(iso), *spelled)
+
+    return let(text, read)
 
 
 def absolute_url(candidate: Column, base: Column) -> Column:
     """``candidate`` resolved against ``base``; NULL when neither gives a usable URL."""
-    site = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(path_of(base), "[^/]*$", "")
-    resolved = (
-        F.when(candidate.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), candidate)
-        .when(candidate.startswith("//"), F.concat(scheme_of(base), F.lit(":"), candidate))
-        .when(candidate.startswith("/"), F.concat(site, candidate))
-        .when(candidate.startswith("?"), F.concat(site, path_of(base), candidate))
-        .when(candidate.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), candidate))
-        .otherwise(F.concat(site, folder, candidate))
-    )
-    fragment = F.regexp_extract(resolved, "(#.*)$", 1)
-    return F.concat(canonical_url(resolved, allow_credentials=True), F.when(fragment == "#", F.lit("")).otherwise(fragment))
+
+    def resolve(given: Column) -> Column:
+        site = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        return (
+            F.when(given.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), given)
+            .when(given.startswith("//"), F.concat(scheme_of(base), F.lit(":"), given))
+            .when(given.startswith("/"), F.concat(site, given))
+            .when(given.startswith("?"), F.concat(site, path_of(base), given))
+            .when(given.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), given))
+            .otherwise(F.concat(site, F.regexp_replace(path_of(base), "[^/]*$", ""), given))
+        )
+
+    def finish(resolved: Column) -> Column:
+        fragment = F.regexp_replace(F.regexp_extract(resolved, "(#.*)$", 1), "^#$", "")
+        return F.concat(canonical_url(resolved, allow_credentials=True), fragment)
+
+    return let(let(candidate, resolve), finish)
 
 
 def _job(item: Column, base: Column, observed_at: Column) -> Column:

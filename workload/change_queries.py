@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vocabulary import JOB_TAXONOMY, NON_IT_TERMS
 from tidemark.operators import changes
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import read_table
 from workload.registry import query
 from workload.views import phrase, sql_iso, sql_phrase, sql_stable_id
@@ -298,7 +299,8 @@ fresh AS (SELECT * FROM keyed k WHERE l_returnflag IN ('R', 'N') AND account_id
 
 
 def _fresh_jobs(spark, folder):
-    rows = changes.with_job_identity(postings(spark, folder), normalize=False)
+    # identified once and written; both snapshots are read from there
+    rows = cut_lineage(changes.with_job_identity(postings(spark, folder), normalize=False))
     previous = previous_postings(rows)
     return changes.new_jobs(current_postings(rows), previous, previous.select("account_id"))
 
