@@ -100,3 +100,10 @@ def test_every_query_has_an_entry_and_entry_runs(spark):
     assert set(oracle_sql()) <= set(queries())
     assert len(queries()) >= 75
     assert entry(spark).count() > 0
+
+
+def test_live_sessions_only_get_modifiable_settings(spark):
+    from tidemark.session import RUNTIME_CONF, prepare
+
+    assert all(spark.conf.isModifiable(key) for key in RUNTIME_CONF)
+    prepare(spark)
