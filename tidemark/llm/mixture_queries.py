@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import mixed
+from tidemark.llm.quality import scored
 from tidemark.llm.registry import query, table
 
 #: Shares of the mixture's tokens by quality (q) and toxicity (t) of the labels.
@@ -23,3 +24,13 @@ def mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rates at which all documents enter a mixture with given token shares by labelled domain."""
     out = mixed(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"), label_domain(), TARGETS, anchor=ANCHOR)
     return out.select("doc_id", F.col("__n").alias("n_tokens"), F.col("__domain").alias("domain"), F.round("__share", 9).alias("share"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+
+
+@query("op5_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality and toxicity of all documents, from their text and their pages' metadata; keep: good and not toxic."""
+    out = scored(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), table(spark, folder, "pages"), {"quality": F.col("quality"), "toxic": F.col("toxic")},
+    )
+    good = F.round(F.col("quality") * (1 - F.col("toxic")), 9)
+    return out.select("doc_id", "quality_text", "quality_meta", "quality", "toxic_text", "toxic_meta", "toxic", good.alias("score"), ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("keep"))
