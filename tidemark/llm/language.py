@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LETTER_BYTE, Words, as_text, small_batches, text_slices
+from tidemark.llm.common import LETTER_BYTE, Words, as_text, small_batches, text_slices, written
 
 #: A model is fitted on at most this many labelled documents of each language, those of the least hashes.
 ROWS_PER_LANGUAGE = 2_000
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     rows = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), F.xxhash64(docs[doc_id]).alias("order")).where("text is not null and lang is not null")
     first = Window.partitionBy("lang").orderBy("order")
     sample = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("lang", "text")
-    counts = sample.mapInArrow(_count_batches, "lang string, kind int, entry binary, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
+    counts = written(sample.mapInArrow(_count_batches, "lang string, kind int, entry binary, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")), "counts")
     entries = counts.groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     tops = {kind: entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).collect() for kind, most in ((0, most_words), (1, most_grams))}
     languages = sorted({lang for row in tops[0] for lang in row["by_lang"]})
