@@ -265,7 +265,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     return out, index
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", window: int = WINDOW, share: int = 20,
+                  pass_words: int = PASS_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated) for each row of ``docs``.
 
     A document word inside any occurrence of a window is hit; a document is contaminated if at least one word in
@@ -275,7 +276,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     item_id counts as an empty one; repeated items and rows change nothing, repeated documents are repeated.
     Empty tables give an empty result, or all documents clean.
     """
-    hits, index = matches(docs, benchmark, doc_id, text, item_id, window)
+    hits, index = matches(docs, benchmark, doc_id, text, item_id, window, pass_words=pass_words)
     spans = hits.groupBy("block", "doc", "doc_start").agg(F.max("size").alias("size")).groupBy("block", "doc").agg(F.collect_list(F.struct("doc_start", "size")).alias("spans"))
     covered = F.transform("spans", lambda x: F.sequence(x["doc_start"], x["doc_start"] + x["size"] - 1))
     spans = spans.select("block", "doc", F.size(F.array_distinct(F.flatten(covered))).cast("long").alias("n_hit"))
