@@ -31,7 +31,7 @@ def test_roster(spark):
     assert warnings == [(0, "invalid_domain"), (2, "unmapped_owner"), (4, "conflicting_account_field"), (5, "missing_source_record_id"), (6, "invalid_url"), (7, "unmapped_owner"), (8, "invalid_domain"), (8, "missing_domain")]
 
 
-USAGE = "account_id STRING, metric STRING, value DOUBLE, observed_at TIMESTAMP, received_at TIMESTAMP"
+USAGE = "account_id STRING, metric STRING, value DOUBLE, unit STRING, observed_at TIMESTAMP, received_at TIMESTAMP"
 
 
 def stage(spark, path, rows, schema):
@@ -41,8 +41,8 @@ def stage(spark, path, rows, schema):
 
 def test_usage_buckets_are_final_once(spark, tmp_path):
     first = datetime(2026, 1, 1)
-    days = [("a", "m", 1.0, first + timedelta(hours=h), first + timedelta(hours=h)) for h in range(72)]
-    slow = [("a", "m", 100.0, first + timedelta(hours=30), first + timedelta(hours=60))]
+    days = [("a", "m", 1.0, "requests", first + timedelta(hours=h), first + timedelta(hours=h)) for h in range(72)]
+    slow = [("a", "m", 100.0, "requests", first + timedelta(hours=30), first + timedelta(hours=60))]
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     for part in (days[:36], days[36:] + slow):
         writer = jobs.stream_usage(stage(spark, source, part, USAGE)).writeStream.outputMode("append").format("parquet").option("path", out)

@@ -50,8 +50,11 @@ def account_team_resolve(accounts: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def resolve_usage_teams(usage: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usage of verified teams with its account, per team count of the rows left out)."""
-    verified = bridge.filter("verified").select("team_id", "account_id").distinct()
+    """(usage of verified teams with its account, per team count of the rows left out).
+
+    A team verified for more than one account is left out as well: its usage would count twice.
+    """
+    verified = bridge.filter("verified").groupBy("team_id").agg(F.min("account_id").alias("account_id"), F.max("account_id").alias("other")).filter("account_id = other").drop("other")
     unmapped = usage.join(verified, "team_id", "left_anti").groupBy("team_id").agg(F.count("*").alias("unmapped_rows"))
     return usage.join(verified, "team_id"), unmapped
 
@@ -207,11 +210,12 @@ def careers_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
 def careers_carry_forward(fetches: DataFrame, fresh: DataFrame, previous: DataFrame) -> DataFrame:
     """Records after a collection: fresh where it succeeded, the previous ones otherwise.
 
-    ``fetches`` has account_id, fetch_status (ok, not_modified, failed, unsupported).
+    ``fetches`` has account_id, fetch_status (ok, not_modified, failed, unsupported). An account without a row was
+    not collected: its records are kept, with a NULL status.
     """
     columns = ["account_id", "job_id", *JOB_FIELDS]
     status = fetches.select("account_id", "fetch_status")
-    kept = last_per_job(previous).select(columns).join(status.filter("fetch_status <> 'ok'"), "account_id")
+    kept = last_per_job(previous).select(columns).join(status, "account_id", "left").filter("fetch_status IS NULL OR fetch_status <> 'ok'")
     taken = last_per_job(fresh).select(columns).join(status.filter("fetch_status = 'ok'"), "account_id")
     return taken.withColumn("carried", F.lit(False)).unionByName(kept.withColumn("carried", F.lit(True)))
 

@@ -157,9 +157,11 @@ def watchlist_patterns(watchlist: DataFrame) -> DataFrame:
 
 
 def _fold_names(watchlist: DataFrame) -> DataFrame:
-    """Folds an array of names: joined with a marker word, folded once, split again."""
-    marker = " zqxjnamebreakzqxj "
-    return watchlist.withColumn("names", F.split(fold_accents(F.array_join("names", marker)), marker))
+    """Folds the names of an account one by one; a name in another script folds to nothing and matches nothing."""
+    each = watchlist.select("account_id", F.posexplode("names").alias("place", "name")).withColumn("name", fold_accents("name"))
+    folded = each.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("folded"))
+    names = F.transform("folded", lambda x: F.coalesce(x["name"], F.lit("")))
+    return watchlist.drop("names").join(folded, "account_id", "left").withColumn("names", names).drop("folded")
 
 
 def mentions(text: Column, patterns: Column) -> Column:
@@ -318,12 +320,22 @@ def rule_judge(batch: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def judge_batches(fresh: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame] = rule_judge, batch_size: int = NEWS_JUDGE_BATCH) -> DataFrame:
+def known_events(state: DataFrame) -> DataFrame:
+    """(account_id, known): title and event of each material item that an account's state remembers."""
+    told = state.filter((F.col("verdict") == "material") & F.col("event_text").isNotNull())
+    return told.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("title", F.col("event_text").alias("what_happened")))).alias("known"))
+
+
+def judge_batches(
+    fresh: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame] = rule_judge, batch_size: int = NEWS_JUDGE_BATCH, state: DataFrame | None = None
+) -> DataFrame:
     """Verdicts of a judge function over batches of ten items of one account.
 
     ``fresh``: account_id, item_id, input_ord, title, publisher, published_at,
-    excerpt. The judge gets one batch as a pandas frame with ``batch_index``; a
-    batch whose judge raises yields rows with ``judge_error`` instead of verdicts.
+    excerpt. The judge gets one batch as a pandas frame with ``batch_index``; its
+    ``attrs["known_events"]`` lists what the (pruned) ``state`` knows of the account.
+    Each item of a batch gets one row: its first verdict, or none (all NULL) if the
+    judge left it out. A batch whose judge raises yields rows with ``judge_error``.
     """
     numbered = positions(fresh, "account_id", "input_ord", "item_id")
     batched = numbered.select(
@@ -331,11 +343,21 @@ def judge_batches(fresh: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame
         F.floor((F.col("position") - 1) / batch_size).alias("batch"),
         ((F.col("position") - 1) % batch_size).cast("int").alias("batch_index"),
     )
+    # the list travels with the first item of a batch only
+    nothing = F.lit(None).cast("array<struct<title: string, what_happened: string>>")
+    if state is None:
+        batched = batched.withColumn("known", nothing)
+    else:
+        batched = batched.join(known_events(state), "account_id", "left").withColumn("known", F.when(F.col("batch_index") == 0, F.col("known")).otherwise(nothing))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("batch_index").reset_index(drop=True)
+        known = batch["known"].iloc[0]
+        batch = batch.drop(columns="known")
+        batch.attrs["known_events"] = [] if known is None else [dict(x) if isinstance(x, dict) else x.asDict() for x in known]
         try:
-            verdicts = judge(batch).copy()
+            found = judge(batch).drop(columns="account_id", errors="ignore").drop_duplicates("item_id")
+            verdicts = batch[["account_id", "item_id"]].merge(found, on="item_id", how="left")
             verdicts["judge_error"] = None
         except Exception as error:
             verdicts = batch[["account_id", "item_id"]].copy()
@@ -353,13 +375,21 @@ def evidence_supported(quote: Column | str, title: Column | str, excerpt: Column
 
 
 def material_events(verdicts: DataFrame, items: DataFrame) -> DataFrame:
-    """Judged items with ``material`` and, for material ones, the event texts."""
+    """Judged items with ``material`` and, for material ones, the event texts.
+
+    An item counts once: with its first verdict (by ``verdict_ord`` where the verdicts have one, else the least row),
+    and as not material without any. Items of a batch whose judge failed stay unjudged.
+    """
     def line(name: str, limit: int) -> Column:
         return F.substring(collapse(F.coalesce(F.col(name), F.lit(""))), 1, limit)
 
-    joined = items.join(
-        verdicts.filter(F.col("judge_error").isNull()).drop("judge_error").withColumnRenamed("evidence", "quote"), ["account_id", "item_id"]
-    )
+    keys = ["account_id", "item_id"]
+    given = verdicts.filter(F.col("judge_error").isNull()).drop("judge_error").withColumnRenamed("evidence", "quote")
+    fields = F.struct(*[c for c in given.columns if c not in (*keys, "verdict_ord")])
+    first = given.groupBy(*keys).agg(F.min_by(fields, F.struct("verdict_ord", fields) if "verdict_ord" in given.columns else fields).alias("v"))
+    failed = verdicts.filter(F.col("judge_error").isNotNull()).select(*keys).distinct()
+    unjudged = failed.join(first, keys, "left_anti")
+    joined = items.join(unjudged, keys, "left_anti").join(first.select(*keys, "v.*"), keys, "left")
     passes = (
         F.col("about_account") & F.col("dated_event") & F.col("duplicate_of").isNull() & ~F.coalesce("repeats_known_event", F.lit(False))
         & (F.col("impact") != "neutral") & (F.col("confidence") != "low")

@@ -69,15 +69,17 @@ def brief_candidates(signals: DataFrame, accounts: DataFrame, briefs: DataFrame,
     """Surfaced, undelivered signals of each brief.
 
     ``signals``: signal_id, account_id, signal_date, is_surfaced, ...; ``accounts``:
-    account_id, account_name, owner; ``briefs``: brief_date, owner. A signal of day
+    account_id, account_name, owner; ``briefs``: brief_date and owner, or brief_date
+    alone if every owner has a brief that day. A signal of day
     d is exploded to the dates d+1 .. d+days, so briefs are met by equality.
     """
     reach = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda n: F.date_add("signal_date", n))
+    keys = [c for c in ("brief_date", "owner") if c in briefs.columns]
     open_signals = signals.filter("is_surfaced").join(delivered.select("signal_id").distinct(), "signal_id", "left_anti")
     return (
         open_signals.join(accounts.select("account_id", "account_name", "owner"), "account_id")
         .withColumn("brief_date", F.explode(reach))
-        .join(briefs.select("brief_date", "owner").distinct(), ["brief_date", "owner"], "left_semi")
+        .join(briefs.select(*keys).distinct(), keys, "left_semi")
         .dropDuplicates(["brief_date", "owner", "account_id", "signal_id"])
     )
 

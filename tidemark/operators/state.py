@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vocabulary import (
     DELIVERY_FAILURE,
-    LEDGER_IDS_PER_CALL,
     LEDGER_RETENTION_DAYS,
     REPORTED_ID,
     RETENTION_COUNTS,
@@ -217,17 +216,20 @@ def ledger_prune(ledger: DataFrame, now: Column, days: int = LEDGER_RETENTION_DA
     return ledger.filter(F.col("reported_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def ledger_record(ledger: DataFrame, deliveries: DataFrame, now: Column) -> DataFrame:
+def ledger_record(ledger: DataFrame, deliveries: DataFrame, now: Column, ids_per_call: int | None = None) -> DataFrame:
     """Ids to add to the (pruned) ledger, with the call that adds them.
 
     ``deliveries``: call_id, signal_id, position, delivered_at. Invalid ids are
-    ignored, a call adds at most 100 distinct ids (its first ones), an id is added
-    once and by its earliest call. Recording the same calls again adds nothing.
+    ignored, an id is added once and by its earliest call. Recording the same calls
+    again adds nothing. With ``ids_per_call`` a call adds only its first so many ids;
+    by default it adds all, as an id that is not recorded is delivered again.
     """
     valid = deliveries.filter(F.col("signal_id").rlike(REPORTED_ID))
     distinct = valid.groupBy("call_id", "signal_id").agg(F.min("position").alias("position"), F.min("delivered_at").alias("delivered_at"))
-    order = Window.partitionBy("call_id").orderBy("position", "signal_id")
-    taken = distinct.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= LEDGER_IDS_PER_CALL)
+    taken = distinct
+    if ids_per_call is not None:
+        order = Window.partitionBy("call_id").orderBy("position", "signal_id")
+        taken = distinct.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= ids_per_call)
     fresh = taken.join(ledger_prune(ledger, now).select("signal_id"), "signal_id", "left_anti")
     first = F.min(F.struct("delivered_at", "call_id"))
     return fresh.groupBy("signal_id").agg(first.alias("f")).select(

@@ -33,6 +33,7 @@ class UsageWindows:
     start: datetime | str
     end: datetime | str
     comparison_days: float = 7
+    max_comparison_days: float = MAX_COMPARISON_DAYS
     interval_hours: float = 24
     rising_threshold: float = 0.1
     sparse_threshold: float = 0.8
@@ -49,6 +50,8 @@ class UsageWindows:
             raise ValueError(f"window cannot exceed {MAX_QUERY_DAYS} days")
         if self.comparison_days <= 0 or self.interval_hours <= 0:
             raise ValueError("comparison_days and interval_hours must be positive")
+        if self.comparison_days > self.max_comparison_days:
+            raise ValueError(f"comparison cannot exceed max_comparison_days ({self.max_comparison_days}) days")
         if self.rising_threshold < 0 or not 0 <= self.sparse_threshold <= 1:
             raise ValueError("rising_threshold must be >= 0 and sparse_threshold within 0..1")
         for name in ("metric", "grain"):
@@ -66,7 +69,7 @@ class UsageWindows:
     @property
     def comparison_start(self) -> datetime:
         length_days = (self.end_at - self.start_at) / timedelta(days=1)
-        return self.start_at - timedelta(days=min(self.comparison_days, MAX_COMPARISON_DAYS, length_days))
+        return self.start_at - timedelta(days=min(self.comparison_days, length_days))
 
     @property
     def expected_points(self) -> int:
@@ -153,23 +156,27 @@ def usage_points(rows: DataFrame, config: UsageWindows) -> DataFrame:
     queried = rows.filter(
         (F.col("observed_at") >= instant(config.comparison_start)) & (F.col("observed_at") < instant(config.end_at))
     )
-    value = F.col("value") * unit_multiplier("unit")
-    point = queried.select(
+    return latest_points(usage_measures(queried)).withColumn("latency_ms", F.unix_millis("received_at") - F.unix_millis("observed_at"))
+
+
+def usage_measures(rows: DataFrame) -> DataFrame:
+    """Values in base units, instants in milliseconds."""
+    return rows.select(
         "account_id",
         "metric",
         F.timestamp_millis(F.unix_millis("observed_at")).alias("observed_at"),
         F.timestamp_millis(F.unix_millis("received_at")).alias("received_at"),
-        value.alias("value"),
+        (F.col("value") * unit_multiplier("unit")).alias("value"),
         unit_name("unit").alias("unit"),
     )
+
+
+def latest_points(measures: DataFrame, *keys: Column, instant: str = "observed_at") -> DataFrame:
+    """The measure of the latest receipt for each instant (and the further keys), also in a stream."""
     order = F.struct((-F.unix_millis("received_at")).alias("o"), number_text(F.col("value")).alias("t"), F.col("unit"))
     kept = F.min_by(F.struct("value", "unit", "received_at"), order)
-    return (
-        point.groupBy("account_id", "metric", "observed_at")
-        .agg(kept.alias("p"))
-        .select("account_id", "metric", "observed_at", "p.value", "p.unit", "p.received_at")
-        .withColumn("latency_ms", F.unix_millis("received_at") - F.unix_millis("observed_at"))
-    )
+    points = measures.groupBy("account_id", "metric", instant, *keys).agg(kept.alias("p"))
+    return points.select(*[c for c in points.columns if c != "p"], "p.value", "p.unit", "p.received_at")
 
 
 def usage_series(rows: DataFrame, config: UsageWindows, expected_accounts: DataFrame | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ def news_scan(
     candidates = gated.filter("drop_reason IS NULL")
     novelty = cut_lineage(news.news_novelty(candidates, news.prune_news_state(state, now)))
     fresh = novelty.filter("novelty = 'fresh'").withColumnRenamed("candidate_url", "link").drop("novelty", "drop_reason", "url").withColumnRenamed("link", "url")
-    verdicts = cut_lineage(news.judge_batches(fresh, judge))
+    verdicts = cut_lineage(news.judge_batches(fresh, judge, state=news.prune_news_state(state, now)))
     judged = news.material_events(verdicts, fresh)
     counted = verdicts.select("account_id", "item_id", "judge_error").join(judged.select("account_id", "item_id", "material"), ["account_id", "item_id"], "left")
     new_state = news.news_state_upsert(state, judged, now)

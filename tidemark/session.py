@@ -18,8 +18,12 @@ RUNTIME_CONF = {
 }
 
 # Static setting, only possible before a session starts: no stack capture for
-# every column expression while plans are built.
-STATIC_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+# every column expression while plans are built; checkpoints are cleaned up.
+STATIC_CONF = {
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # checkpoint files go when the plans that read them are gone
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:

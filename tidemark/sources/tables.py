@@ -23,18 +23,19 @@ TABLE_SCHEMAS = {
 }
 
 
+#: Session setting: deal the rows of tables read for row-heavy work (hashing, regular expressions, parsing) to this
+#: many tasks. For tables of one row group, which a scan can't split; not set by default, as it costs an exchange.
+READ_PARTITIONS = "spark.tidemark.read.partitions"
+
+
 def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """One table; timestamps are read as instants so that filters push down unwrapped.
 
-    ``spread`` is for row-heavy work (hashing, regular expressions, parsing): a
-    table with fewer input splits than cores is spread over all of them. A large
-    table has more splits than cores and is read as it is, without a shuffle.
+    ``spread`` marks row-heavy work: it follows the session setting READ_PARTITIONS, whatever the table's size.
     """
     table = spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
-    return table
+    parts = spark.conf.get(READ_PARTITIONS, None)
+    return table.repartition(int(parts)) if spread and parts else table
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

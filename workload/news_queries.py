@@ -19,12 +19,19 @@ def ts(text: str):
 # --- first-party news items -----------------------------------------------------------
 
 
-def news_items(spark, folder):
-    """pages with the document of the same id as excerpt; the account is the site without its usual prefix."""
-    pages = read_table(spark, folder, "pages").select("page_id", "url")
+def located_documents(spark, folder):
+    pages = read_table(spark, folder, "pages").select("page_id", F.col("url").alias("page_url"))
     docs = read_table(spark, folder, "documents", spread=True)
+    own = F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.org/"), F.col("doc_id"))
+    return docs.join(pages, F.col("page_id") == F.col("doc_id"), "left").select(
+        F.col("doc_id").alias("page_id"), F.coalesce("page_url", own).alias("url"), "lang", "source", "text"
+    )
+
+
+def news_items(spark, folder):
+    """documents as excerpts, at the page of the same id or one of their source; the account is the site without its usual prefix."""
     site = F.regexp_replace(F.regexp_extract("url", "^https?://([^/?#]*)", 1), r"^(www|blog|m)\.", "")
-    return pages.join(docs, F.col("page_id") == F.col("doc_id")).select(
+    return located_documents(spark, folder).select(
         F.col("page_id").alias("item_id"), F.col("page_id").alias("input_ord"),
         F.when(F.col("source") == "src3", "elsewhere.example").otherwise(site).alias("account_id"),
         F.col("url").alias("source_url"), F.lit(None).cast("string").alias("canonical_url"),
@@ -37,7 +44,7 @@ def news_items(spark, folder):
 
 def news_accounts(spark, folder):
     site = F.regexp_replace(F.regexp_extract("url", "^https?://([^/?#]*)", 1), r"^(www|blog|m)\.", "")
-    return read_table(spark, folder, "pages").select(site.alias("account_id")).distinct().select(
+    return located_documents(spark, folder).select(site.alias("account_id")).distinct().select(
         "account_id", F.col("account_id").alias("account_name"), F.array(F.concat(F.lit("www."), F.upper("account_id"))).alias("domains")
     )
 
@@ -49,7 +56,8 @@ def _contains(column, terms):
 NEWS_ITEMS_SQL = f"""
 item AS (SELECT page_id AS item_id, url, lang, source, text,
     regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^(www|blog|m)\\.', '') AS site, {sql_phrase('page_id')} || ' ' || source AS title,
-    TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INT)) AS published_at FROM pages JOIN documents ON page_id = doc_id),
+    TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INT)) AS published_at
+  FROM (SELECT doc_id AS page_id, coalesce(url, 'https://www.' || source || '.example.org/' || doc_id) AS url, lang, source, text FROM documents LEFT JOIN pages ON page_id = doc_id)),
 gated AS (SELECT *, CASE WHEN NOT starts_with(url, 'https:') OR lang = 'es' OR source = 'src5' THEN 'malformed' WHEN lang = 'fr' THEN 'unattributed'
     WHEN source = 'src3' THEN 'not_first_party' WHEN published_at < TIMESTAMP '2024-01-02' OR published_at > TIMESTAMP '2024-01-20' THEN 'outside_window'
     WHEN NOT {_contains("lower(title || ' ' || text)", TECHNOLOGY_TERMS)} THEN 'irrelevant' ELSE 'accepted' END AS reason FROM item)"""

@@ -85,11 +85,8 @@ def _brief(spark, folder):
     found = intent_signals(spark, folder)
     accounts = owners(spark, folder)
     days = found.select(F.date_add("signal_date", 1).alias("brief_date")).distinct()
-    # 25 owners by the data model, so the calendar of briefs is days x 25
-    names = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda n: F.concat(F.lit("NATION_"), n))
-    briefs = days.select("brief_date", F.explode(names).alias("owner"))
     delivered = found.filter("family = 'signup'").select("signal_id")
-    brief = schedule.intent_signal_brief(schedule.brief_candidates(found, accounts, briefs, delivered))
+    brief = schedule.intent_signal_brief(schedule.brief_candidates(found, accounts, days, delivered))
     return brief.select("brief_date", "owner", "account_id", "account_name", "signal_id", "signal_date", "family", F.col("rn").cast("bigint").alias("rn"), "has_more")
 
 

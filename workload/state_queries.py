@@ -204,8 +204,7 @@ ledger AS (SELECT 'sig-' || p_partkey AS signal_id, CASE WHEN p_size < 5 THEN TI
 deliveries AS (SELECT 'call-' || l_suppkey AS call_id, CASE WHEN l_discount = 0 THEN 'bad id' ELSE 'sig-' || l_partkey END AS signal_id,
   l_orderkey * 8 + l_linenumber AS position, l_shipdate AS delivered_at FROM lineitem),
 uniq AS (SELECT call_id, signal_id, min(position) AS position, min(delivered_at) AS delivered_at FROM deliveries WHERE signal_id <> 'bad id' GROUP BY ALL),
-taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY position, signal_id) AS rn FROM uniq) WHERE rn <= 100),
-added AS (SELECT signal_id, min((delivered_at, call_id)) AS f FROM taken
+added AS (SELECT signal_id, min((delivered_at, call_id)) AS f FROM uniq
   WHERE signal_id NOT IN (SELECT signal_id FROM ledger WHERE reported_at >= TIMESTAMP '2001-11-05' - INTERVAL 21 DAY) GROUP BY ALL)"""
 
 
