@@ -28,10 +28,8 @@ def word_list(text: Column) -> Column:
 
 
 def _step(value: Column, limits: tuple, name: str) -> Column:
-    out = F.lit(0)
-    for limit in limits:
-        out = out + (value >= limit).cast("int")
-    return F.concat(F.lit(f"\x01{name}:"), out.cast("string"))
+    names = F.lit([f"\x01{name}:{k}" for k in range(len(limits) + 1)])
+    return let(value, lambda x: F.get(names, sum(((x >= limit).cast("int") for limit in limits), F.lit(0))))
 
 
 def feature_list(text: Column, words: Column) -> Column:

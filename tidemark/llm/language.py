@@ -10,12 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LETTER_BYTE, Words, as_text, small_batches, text_slices, written
 
-#: A model is fitted on at most this many labelled documents of each language, those of the least hashes.
+#: A model is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 ROWS_PER_LANGUAGE = 2_000
 #: Its vocabularies hold the most frequent entries.
 MOST_WORDS = 60_000
@@ -67,12 +67,16 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE,
         most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
-    """A model of at most ``rows_per_language`` whole documents of each language; rows with a null language or text
+    """A model of about ``rows_per_language`` whole documents of each language; rows with a null language or text
     are not learned from. Its size is bounded by the two vocabularies, whatever the input."""
     small_batches(docs.sparkSession)
-    rows = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), F.xxhash64(docs[doc_id]).alias("order")).where("text is not null and lang is not null")
-    first = Window.partitionBy("lang").orderBy("order")
-    sample = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language).select("lang", "text")
+    rows = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), F.pmod(F.xxhash64(docs[doc_id]), F.lit(1 << 30)).alias("chance")).where("text is not null and lang is not null")
+    # one number for each language; no task gathers a language's rows
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0)
+    for name, n in sorted(sizes.items()):
+        share = F.when(F.col("lang") == name, int((1 << 30) * min(1.0, rows_per_language / n))).otherwise(share)
+    sample = rows.where(F.col("chance") < share).select("lang", "text")
     counts = written(sample.mapInArrow(_count_batches, "lang string, kind int, entry binary, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")), "counts")
     entries = counts.groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     tops = {kind: entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).collect() for kind, most in ((0, most_words), (1, most_grams))}

@@ -14,9 +14,10 @@ from tidemark.functions.text import let
 from tidemark.llm.features import LABELLED_ROWS, feature_list, labelled, matched, sums, telling_features, word_list
 from tidemark.llm.common import written
 
-LEXICON = 256
+LEXICON = 128
 #: Weight of the squared coefficients.
 PENALTY = 1e-4
+FIT_ROUNDS = 40
 ROUNDS = 60
 #: Rounds after which the rates reached are written, so that a round replays no more steps than this.
 REPLAY = 10
@@ -53,10 +54,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, doc_id: str
     if len(domains) < 2 or not names:
         sizes = {r["label0"]: r["n"] for r in sample.groupBy("label0").agg(F.count("*").alias("n")).collect()}
         return DomainModel(domains, [], [], [float(np.log(sizes[d])) for d in domains])
-    present = F.transform(F.lit(names), lambda name: F.array_contains("found", name).cast("double"))
-    ready = sample.select((F.array_position(F.lit(domains), F.col("label0")) - 1).cast("double").alias("label"), matched(F.col("features"), names).alias("found"))
-    ready = ready.select("label", array_to_vector(present).alias("features"))
-    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=100, standardization=False).fit(ready)
+    present = let(matched(F.col("features"), names), lambda found: F.transform(F.lit(names), lambda name: F.array_contains(found, name).cast("double")))
+    label = (F.array_position(F.lit(domains), F.col("label0")) - 1).cast("double").alias("label")
+    # one narrow row a document of the sample, read again in each round of the fit
+    ready = written(sample.select(label, present.alias("present")), "present").select("label", array_to_vector("present").alias("features")).coalesce(4)
+    model = LogisticRegression(family="multinomial", regParam=PENALTY, maxIter=FIT_ROUNDS, standardization=False).fit(ready)
     return DomainModel(domains, names, model.coefficientMatrix.toArray().T.tolist(), model.interceptVector.toArray().tolist())
 
 
