@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,50 +134,62 @@ def _edge_batches(window: int):
     return run
 
 
-def greedy_factors(spans: list[dict], window: int) -> list[dict]:
-    """Left to right, each matched stretch grows as long as the next one follows on in the same reference; a
-    stretch that does not begins a factor. start and size count words."""
-    factors: list[dict] = []
-    for span in sorted(spans, key=lambda x: (x["a"], x["b"])):
-        last = factors[-1] if factors else None
-        onward = last is not None and span["a"] <= last["end"] + 1
-        if onward and (span["r1"], span["r2"]) == last["ref"] and span["ra"] - span["a"] == last["shift"]:
-            last["end"] = max(last["end"], span["b"])
-        else:
-            factors.append({"start": span["a"], "end": span["b"], "ref": (span["r1"], span["r2"]), "shift": span["ra"] - span["a"]})
-    return [{"start": x["start"], "size": x["end"] - x["start"] + window, "ref_text": x["ref"][0], "ref_start": x["start"] + x["shift"]} for x in factors]
+def greedy_factors(row: np.ndarray, a: np.ndarray, b: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Left to right in each text, a matched stretch grows as long as the next one follows on, in the text and in the
+    same reference; one that does not begins a factor. Takes spans sorted by text and place; returns each factor's
+    first and last span."""
+    shift = ref - a
+    onward = (row[1:] == row[:-1]) & (a[1:] <= b[:-1] + 1) & (shift[1:] == shift[:-1])
+    begins = np.flatnonzero(np.concatenate([[True], ~onward])) if len(row) else np.zeros(0, np.int64)
+    return begins, np.concatenate([begins[1:], [len(row)]]).astype(np.int64) - 1 if len(row) else begins
 
 
-def _removal_batches(window: int):
+def _removal_batches(window: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 words = Words(part.column("text"), NOT_BLANK)
-                data = words.data.tobytes()
-                sums, removed, kept_texts, parses = [], [], [], []
-                for row, spans in enumerate(part.column("spans").to_pylist()):
-                    low, high = int(words.first[row]), int(words.first[row + 1])
-                    gone = np.zeros(high - low + 1, np.int32)
-                    parse = greedy_factors(spans or [], window)
-                    for factor in parse:
-                        gone[factor["start"]] += 1
-                        gone[factor["start"] + factor["size"]] -= 1
-                    keep = np.flatnonzero(np.cumsum(gone[:-1]) == 0) + low
-                    kept = b" ".join([data[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
-                    removed.append(high - low - len(keep))
-                    sums.append(hashlib.sha256(kept).hexdigest())
-                    kept_texts.append(kept.decode())
-                    parses.append(parse)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept_texts, pa.string()),
-                     pa.array(parses, pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("ref_text", pa.int64()), ("ref_start", pa.int32())])))],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"],
-                )
+                spans = part.column("spans")
+                counts = pc.fill_null(pc.list_value_length(spans), 0).to_numpy().astype(np.int64)
+                flat = spans.flatten()
+                a, b, ref = (flat.field(x).to_numpy().astype(np.int64) for x in ("a", "b", "ref"))
+                row = np.repeat(np.arange(len(part)), counts)
+                order = np.lexsort((a, row))
+                row, a, b, ref = row[order], a[order], b[order], ref[order]
+                low, high = greedy_factors(row, a, b, ref)
+                owner, start, size = row[low], a[low], b[high] - a[low] + window
+                gone = np.zeros(len(words) + 1, np.int64)
+                np.add.at(gone, words.first[owner] + start, 1)
+                np.add.at(gone, words.first[owner] + start + size, -1)
+                keep = np.cumsum(gone[:-1]) == 0
+                joined, begins, ends = words.joined()
+                sizes = ends - begins + 1
+                kept = joined[np.repeat(keep, sizes)].tobytes()
+                upto = np.concatenate([[0], np.cumsum(np.where(keep, sizes, 0))])[words.first]
+                texts = [kept[x : max(x, y - 1)] for x, y in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+                removed = np.diff(np.concatenate([[0], np.cumsum(~keep)])[words.first])
+                columns = [part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+                if whole:
+                    factors = pa.StructArray.from_arrays(
+                        [pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(ref[low] >> PLACE_BITS), pa.array(ref[low] & ((1 << PLACE_BITS) - 1), pa.int32())],
+                        names=["start", "size", "ref_text", "ref_start"],
+                    )
+                    cuts = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
+                    columns += [pa.array([x.decode() for x in texts], pa.string()), pa.ListArray.from_arrays(pa.array(cuts), factors)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "factors"][: len(columns)])
 
     return run
 
 
-REMOVAL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, factors array<struct<start int, size int, ref_text long, ref_start int>>"
+REMOVAL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+WHOLE = ", kept_text string, factors array<struct<start: int, size: int, ref_text: long, ref_start: int>>"
+
+#: A reference in one long: the upper bits of its text's key, and the word at which it starts.
+PLACE_BITS = 26
+
+
+def _reference() -> Column:
+    return F.shiftleft(F.shiftright("k1", PLACE_BITS), PLACE_BITS).bitwiseOR(F.col("a").cast("long").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
 
 
 def _text_keys(text: Column) -> list[Column]:
@@ -185,35 +198,44 @@ def _text_keys(text: Column) -> list[Column]:
 
 
 def duplicate_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(k1, k2, a, b, r1, r2, ra): windows a to b of a text occur elsewhere; one such place is text r1, r2 at ra.
+    """(k1, k2, a, b, ref): windows a to b of a text occur elsewhere too, the first of them at the reference.
 
     The index holds each phrase of each reference block (the whole input, in blocks as the tasks read it), keyed
     by its anchor. A phrase found twice matches whole. A phrase whose anchor is known and which differs is where a
     match ends: its windows are checked one by one against those of the other phrases of that anchor.
+
+    Counts are combined before each exchange; what they are joined to is a written table, so that Spark can split a
+    very common passage over tasks.
     """
     index = written(texts.mapInArrow(_phrase_batches(window, anchor), "k1 long, k2 long, a int, b int, anchor long, phrase long"), "phrases")
-    shared = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
-    shared = written(index.join(shared.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "shared")
-    counted = shared.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a")).alias("ref"))
-    matched = written(shared.join(counted, ["anchor", "phrase"]).select("k1", "k2", "a", "b", "anchor", "n", "ref"), "matched")
-    whole = matched.where("n > 1").select("k1", "k2", "a", "b", F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.a").alias("ra"))
-
-    # where matches end; of equal phrases one stands for all
-    ends = matched.where("n = 1 or (k1 = ref.k1 and k2 = ref.k2 and a = ref.a)").join(shared.where("not alike").select("anchor").distinct(), "anchor", "left_semi")
-    ends = ends.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "anchor")).alias("edges"))
-    checked = texts.join(ends, ["k1", "k2"])
-    windows = written(checked.mapInArrow(_edge_batches(window), "k1 long, k2 long, a int, anchor long, window long").distinct(), "edges")
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a")).alias("ref")).where("n > 1")
-    edge = windows.join(twice.select("anchor", "window", "ref"), ["anchor", "window"])
-    edge = edge.select("k1", "k2", "a", F.col("a").alias("b"), F.col("ref.k1").alias("r1"), F.col("ref.k2").alias("r2"), F.col("ref.a").alias("ra"))
-    return whole.unionByName(edge)
+    anchors = index.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"), F.min(_reference()).alias("ref"))
+    anchors = written(anchors.where("n > 1").select("anchor", F.when(F.col("low") == F.col("high"), F.col("ref")).alias("ref")), "anchors")
+    shared = written(index.join(anchors, "anchor"), "shared")
+    alike = shared.where("ref is not null").select("k1", "k2", "a", "b", "ref")
 
+    # anchors with different phrases
+    rest = shared.where("ref is null").drop("ref")
+    counted = written(rest.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(_reference()).alias("ref")), "counted")
+    rest = written(rest.join(counted, ["anchor", "phrase"]), "matched")
+    whole = rest.where("n > 1").select("k1", "k2", "a", "b", "ref")
 
-def remove_duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    # where matches end; of equal phrases one stands for all
+    ends = rest.where((F.col("n") == 1) | (F.col("ref") == _reference()))
+    ends = written(ends.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "anchor")).alias("edges")), "ends")
+    windows = written(texts.join(ends, ["k1", "k2"]).mapInArrow(_edge_batches(window), "k1 long, k2 long, a int, anchor long, window long"), "windows")
+    # copies of a text are one place
+    place = F.xxhash64("k1", "k2", "a")
+    twice = windows.groupBy("anchor", "window").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.min(_reference()).alias("ref"))
+    twice = written(twice.where("one <> other").select("anchor", "window", "ref"), "twice")
+    edge = windows.join(twice, ["anchor", "window"]).select("k1", "k2", "a", F.col("a").alias("b"), "ref")
+    return alike.unionByName(whole).unionByName(edge)
+
+
+def remove_duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, whole: bool = True) -> DataFrame:
     """Texts without the words that a window of ``window`` words covers whose sequence starts anywhere else too.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank), kept_text, and
-    factors: the parse against the index, as start and size in words and one place of the reference.
+    Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one blank); with ``whole`` also
+    kept_text, and factors: the parse against the index, as start and size in words and one place of the reference.
 
     Null, empty and blank texts, and texts of fewer words than the window, lose nothing. Repeated rows repeat each
     other's windows, whatever their doc_id, and lose them all. Rows keep a null doc_id. An empty table gives none.
@@ -222,6 +244,6 @@ def remove_duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str =
     content = as_text(docs[text])
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), content.alias("text"), *_text_keys(content))
     spans = duplicate_spans(texts.select("k1", "k2", "text"), window, anchor)
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "r1", "r2", "ra")).alias("spans"))
+    spans = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "ref")).alias("spans")), "spans")
     joined = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_removal_batches(window), REMOVAL)
+    return joined.mapInArrow(_removal_batches(window, whole), REMOVAL + WHOLE * whole)

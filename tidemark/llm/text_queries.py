@@ -59,5 +59,4 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_substrings", OP9_SQL)
 def substrings(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the passages of 35 words that occur anywhere else."""
-    out = remove_duplicate_spans(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_duplicate_spans(table(spark, folder, "documents"), whole=False)
