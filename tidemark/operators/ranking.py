@@ -158,16 +158,29 @@ def event_dedupe(signals: DataFrame, normalize: bool = True) -> DataFrame:
 
 
 def opportunity_features(events: DataFrame) -> DataFrame:
-    """Per (account, theme): everything a score needs that no weight changes."""
-    return events.groupBy("account_id", "theme").agg(
-        F.max_by("category", F.struct("observed_at", (-F.col("first_ord")).alias("r"))).alias("latest_category"),
-        F.max("observed_at").alias("latest_at"),
-        F.max("magnitude").alias("max_magnitude"),
-        F.avg("confidence").alias("mean_confidence"),
-        F.count_distinct("source_system").alias("systems"),
+    """Per (account, theme): everything a score needs that no weight changes.
+
+    Grouped by source system first, so that the systems are counted without expanding rows.
+    """
+    place = F.struct("observed_at", (-F.col("first_ord")).alias("r"))
+    by_system = events.groupBy("account_id", "theme", "source_system").agg(
+        F.max_by("category", place).alias("category"),
+        F.max(place).alias("place"),
+        F.max("magnitude").alias("magnitude"),
+        F.sum("confidence").alias("confidence"),
+        F.count("confidence").alias("confidences"),
         F.count("*").alias("events"),
         F.sum("signals").alias("signals"),
     )
+    return by_system.groupBy("account_id", "theme").agg(
+        F.max_by("category", "place").alias("latest_category"),
+        F.max("place.observed_at").alias("latest_at"),
+        F.max("magnitude").alias("max_magnitude"),
+        (F.sum("confidence") / F.sum("confidences")).alias("mean_confidence"),
+        F.count("source_system").alias("systems"),
+        F.sum("events").alias("events"),
+        F.sum("signals").alias("signals"),
+    )
 
 
 def newest_observation(signals: DataFrame) -> Column:
@@ -318,12 +331,12 @@ def digest_findings(found: DataFrame, limit: int = MAX_DIGEST_ACCOUNTS) -> DataF
     )
     shown = best.orderBy(_finding_order()).limit(limit)
     places = shown.select(F.sort_array(F.collect_list(_finding_order())).alias("places")).scalar()
-    counted = found.withColumn("places", places).select(
-        F.explode(F.transform("places", lambda p: F.struct(p["d"].alias("signal_id"), (_finding_order() <= p).alias("ahead")))).alias("x")
-    )
-    ranks = counted.groupBy(F.col("x.signal_id").alias("signal_id")).agg(F.count_if(F.col("x.ahead")).alias("finding_rank"))
+    # one count for each place shown, in one pass
+    ahead = [F.count_if(_finding_order() <= F.get("places", F.lit(k))) for k in range(limit)]
+    ranks = found.withColumn("places", places).agg(F.array(*ahead).alias("ranks")).scalar()
     display = F.array_position(F.transform("places", lambda p: p["d"]), F.col("signal_id"))
-    return shown.join(ranks, "signal_id").withColumn("places", places).withColumn("display_rank", display).drop("places")
+    placed = shown.withColumn("places", places).withColumn("display_rank", display).drop("places")
+    return placed.withColumn("finding_rank", F.get(ranks, (F.col("display_rank") - 1).cast("int")))
 
 
 def digest_totals(found: DataFrame, limit: int = MAX_DIGEST_ACCOUNTS, total_accounts: Column | None = None, run_status: str = "succeeded", run_errors: int = 0) -> DataFrame:

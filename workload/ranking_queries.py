@@ -66,6 +66,11 @@ def _summary(spark, folder):
     return ranking.account_summary(_signals(spark, folder))
 
 
+@query("summary_signals", f"WITH {SIGNALS_SQL} SELECT account_id, direction, observed_at, signal_id, title, severity FROM signals")
+def _summary_signals(spark, folder):
+    return ranking.summary_signals(_signals(spark, folder))
+
+
 @query("signal_digest", f"WITH {_SUMMARY_SQL} SELECT *, greatest(risk_score, expansion_score) AS strength FROM summary")
 def _digest(spark, folder):
     return ranking.signal_digest(ranking.account_summary(_signals(spark, folder)))
