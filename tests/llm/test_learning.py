@@ -142,16 +142,14 @@ def test_co_training_scores(spark):
 
 def test_views_teach_each_other():
     """The text view knows words that no label shows; it learns them from the metadata view's pseudo-labels."""
-    rng = random.Random(3)
-    rows = []
-    for k in range(1800):
-        bad = rng.random() < 0.5
-        seen = k < 600
-        words = [("bad1" if bad else "good1")] if seen else [("bad2" if bad else "good2")]
-        rows.append({"fold": k % 5, "found": words, "meta": [f"host={'spam' if bad else 'fine'}"], "y": int(bad) if seen else None, "truth": bad})
-    names = ["bad1", "bad2", "good1", "good2"]
-    alone, _, _ = quality.co_train(rows, "y", names, ["host=spam", "host=fine"], rounds=0)
-    taught, _, _ = quality.co_train(rows, "y", names, ["host=spam", "host=fine"], rounds=3)
+    rng = np.random.default_rng(3)
+    bad, seen = rng.random(1800) < 0.5, np.arange(1800) < 600
+    names = {"text": ["bad1", "bad2", "good1", "good2"], "meta": ["host=spam", "host=fine"]}
+    text = np.stack([bad & seen, bad & ~seen, ~bad & seen, ~bad & ~seen], axis=1).astype(np.float32)
+    tables = {"text": text, "meta": np.stack([bad, ~bad], axis=1).astype(np.float32)}
+    label, fold = np.where(seen, bad, np.nan), np.arange(1800) % 5
+    alone, _, _ = quality.co_train(tables, names, label, fold, rounds=0)
+    taught, _, _ = quality.co_train(tables, names, label, fold, rounds=3)
     assert alone.weights[1] == pytest.approx(0, abs=1e-6)
     assert taught.weights[1] > 0.5 and taught.weights[3] < -0.5
 

@@ -18,8 +18,8 @@ from tidemark.llm.common import LETTER_BYTE, Words, as_text, small_batches, text
 #: A model is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 ROWS_PER_LANGUAGE = 2_000
 #: Its vocabularies hold the most frequent entries.
-MOST_WORDS = 60_000
-MOST_GRAMS = 60_000
+MOST_WORDS = 40_000
+MOST_GRAMS = 40_000
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -78,19 +78,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         share = F.when(F.col("lang") == name, int((1 << 30) * min(1.0, rows_per_language / n))).otherwise(share)
     sample = rows.where(F.col("chance") < share).select("lang", "text")
     counts = written(sample.mapInArrow(_count_batches, "lang string, kind int, entry binary, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")), "counts")
-    entries = counts.groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    tops = {kind: entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).collect() for kind, most in ((0, most_words), (1, most_grams))}
-    languages = sorted({lang for row in tops[0] for lang in row["by_lang"]})
-
-    def scores(rows: list) -> np.ndarray:
-        table = np.array([[row["by_lang"].get(lang, 0) for lang in languages] for row in rows], float).reshape(len(rows), len(languages))
-        return np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (len(rows) + 1)))
-
-    words = scores(tops[0])
-    return Model(
-        languages, [bytes(r["entry"]) for r in tops[0]], words, {bytes(r["entry"]): i for i, r in enumerate(tops[1])}, scores(tops[1]),
-        np.full(len(languages), -math.log(len(languages) or 1)),
-    )
+    languages = sorted(sizes)
+    each = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)) for name in languages]
+    entries = counts.groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.array(*each).cast("array<long>").alias("by_lang"))
+
+    def top(kind: int, most: int) -> tuple[list[bytes], np.ndarray]:
+        """The most frequent entries with their smoothed log frequencies; arrays, as many as the vocabulary has entries."""
+        found = entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).select("entry", "by_lang").toArrow()
+        table = found["by_lang"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(found.num_rows, len(languages))
+        return found["entry"].to_pylist(), np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (found.num_rows + 1))).astype(np.float32)
+
+    words, word_scores = top(0, most_words)
+    grams, gram_scores = top(1, most_grams)
+    return Model(languages, words, word_scores, {gram: k for k, gram in enumerate(grams)}, gram_scores, np.full(len(languages), -math.log(len(languages) or 1)))
 
 
 def backoff_score(word: bytes, grams: dict[bytes, int], scores: np.ndarray, longest: int = LONGEST) -> np.ndarray:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import let
+from tidemark.functions.text import computed, let
 from tidemark.llm.common import as_text, written
 from tidemark.llm.features import LABELLED_ROWS, feature_list, matched, sums, telling_features, word_list
 
 #: Documents without a label that the views label for each other, those of the least hashes.
-POOL_ROWS = 20_000
-LEXICON = 192
+POOL_ROWS = 10_000
+LEXICON = 160
+#: Rows of a table of presences that are widened at a time.
+BLOCK = 4096
 ROUNDS = 4
 #: Pseudo-labels that a view may hand over in a round, of each class, and how sure it has to be.
 HANDED, CONFIDENT = 400, 0.97
@@ -43,16 +46,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(rows: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 30) -> tuple[np.ndarray, float]:
+def odds_of(table: np.ndarray, weights: np.ndarray, begin: float) -> np.ndarray:
+    """Log odds of rows; the table of presences is widened a block at a time."""
+    return np.concatenate([np.zeros(0), *(table[at : at + BLOCK].astype(float) @ weights + begin for at in range(0, len(table), BLOCK))])
+
+
+def fit_logistic(table: np.ndarray, target: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Newton's method on a bounded sample with few columns. Returns weights and intercept."""
-    table = np.hstack([rows, np.ones((len(rows), 1))])
-    beta = np.zeros(table.shape[1])
-    ridge = np.full(len(beta), penalty)
+    width = table.shape[1]
+    beta = np.zeros(width + 1)
+    ridge = np.full(width + 1, penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = sigmoid(table @ beta)
-        gradient = table.T @ (weight * (p - target)) + ridge * beta
-        curved = (table * (weight * p * (1 - p) + 1e-9)[:, None]).T @ table + np.diag(ridge)
+        gradient, curved = ridge * beta, np.diag(ridge)
+        for at in range(0, len(table), BLOCK):
+            rows = np.hstack([table[at : at + BLOCK].astype(float), np.ones((len(table[at : at + BLOCK]), 1))])
+            p, w = sigmoid(rows @ beta), weight[at : at + BLOCK]
+            gradient = gradient + rows.T @ (w * (p - target[at : at + BLOCK]))
+            curved = curved + (rows * (w * p * (1 - p) + 1e-9)[:, None]).T @ rows
         step = np.linalg.solve(curved, gradient)
         beta = beta - step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
@@ -85,58 +96,60 @@ def metadata_list(row: dict[str, Column]) -> Column:
     return F.array(*[F.concat(F.lit(f"{name}="), F.coalesce(value, F.lit(""))) for name, value in parts.items()])
 
 
-def _table(rows: list, column: str, names: list[str]) -> np.ndarray:
-    place = {name: k for k, name in enumerate(names)}
-    out = np.zeros((len(rows), len(names)))
-    for k, row in enumerate(rows):
-        for name in row[column]:
-            if name in place:
-                out[k, place[name]] = 1.0
+def presences(rows: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A table of ones from lists of column numbers."""
+    lists = rows.combine_chunks()
+    out = np.zeros((len(lists), width), np.float32)
+    out[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
     return out
 
 
-def co_train(rows: list, label: str, text_names: list[str], meta_names: list[str], rounds: int = ROUNDS) -> tuple[View, View, list[float]]:
-    """Both views, calibrated, and the weights that combine their log odds (text, metadata, intercept).
+def co_train(tables: dict[str, np.ndarray], names: dict[str, list[str]], label: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> tuple[View, View, list[float]]:
+    """Both views (text, meta), calibrated, and the weights that combine their log odds (text, metadata, intercept).
 
-    Each round fits both views on the labelled rows and on what the other view has handed over; each then hands the
-    rows of the pool that it is surest of, and sure enough, to the other.
+    ``label`` is NaN where unknown; rows of fold 0 calibrate. Each round fits both views on the labelled rows and on
+    what the other view has handed over; each then hands the rows of the pool that it is surest of, and sure enough,
+    to the other.
     """
-    known = np.array([row[label] is not None for row in rows], bool)
-    target = np.array([float(row[label] or 0) for row in rows])
-    held = np.array([row["fold"] == 0 for row in rows], bool) & known
-    tables = {"text": _table(rows, "found", text_names), "meta": _table(rows, "meta", meta_names)}
-    pseudo = {view: np.full(len(rows), np.nan) for view in tables}
+    known = ~np.isnan(label)
+    target = np.nan_to_num(label)
+    held = (fold == 0) & known
+    pseudo = {view: np.full(len(label), np.nan) for view in tables}
     views: dict[str, View] = {}
+
+    def calibrated(view: str) -> np.ndarray:
+        own = views[view]
+        return odds_of(tables[view], own.weights, own.begin) * own.slope + own.shift
+
     for turn in range(rounds + 1):
         for view, table in tables.items():
-            use = (known & ~held) | ~np.isnan(pseudo[view])
+            use = np.flatnonzero((known & ~held) | ~np.isnan(pseudo[view]))
             goal = np.where(known, target, np.nan_to_num(pseudo[view]))
-            if use.any():
-                weights, begin = fit_logistic(table[use], goal[use], np.where(known[use], 1.0, 0.5))
-            else:
-                weights, begin = np.zeros(table.shape[1]), 0.0
-            odds = table @ weights + begin
-            slope, shift = platt(odds[held], target[held])
-            views[view] = View(text_names if view == "text" else meta_names, weights, begin, slope, shift)
+            weights, begin = fit_logistic(table[use], goal[use], np.where(known[use], 1.0, 0.5)) if len(use) else (np.zeros(table.shape[1]), 0.0)
+            slope, shift = platt(odds_of(table[held], weights, begin), target[held])
+            views[view] = View(names[view], weights, begin, slope, shift)
         if turn == rounds:
             break
         for view, other in (("text", "meta"), ("meta", "text")):
-            own = views[view]
-            sure = sigmoid((tables[view] @ own.weights + own.begin) * own.slope + own.shift)
+            sure = sigmoid(calibrated(view))
             free = ~known & np.isnan(pseudo[other])
             for value, chance in ((1.0, sure), (0.0, 1 - sure)):
                 candidates = np.flatnonzero(free & (chance >= CONFIDENT))
                 chosen = candidates[np.argsort(-chance[candidates], kind="stable")[:HANDED]]
                 pseudo[other][chosen] = value
-    odds = np.stack([(tables[v] @ views[v].weights + views[v].begin) * views[v].slope + views[v].shift for v in ("text", "meta")], axis=1)
     if held.any() and len(set(target[held].tolist())) == 2:
-        weights, begin = fit_logistic(odds[held], target[held], np.ones(held.sum()), penalty=0.1)
+        odds = np.stack([calibrated("text")[held], calibrated("meta")[held]], axis=1)
+        weights, begin = fit_logistic(odds, target[held], np.ones(held.sum()), penalty=0.1)
         both = [*np.maximum(weights, 0.0).tolist(), begin]
     else:
         both = [1.0, 0.0, 0.0]
     return views["text"], views["meta"], both
 
 
+def _numbers(found: Column, names: list[str]) -> Column:
+    return F.transform(matched(found, names), lambda name: (F.array_position(F.lit(names) if names else F.array().cast("array<string>"), name) - 1).cast("int"))
+
+
 def scored(docs: DataFrame, labels: DataFrame, pages: DataFrame, heads: dict[str, Column], doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
            n_chars: str = "n_chars", label_id: str = "doc_id", page_id: str = "page_id", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> DataFrame:
     """(doc_id, <head>_text, <head>_meta, <head>) for each document and each of ``heads`` (name: 0/1 label column).
@@ -170,17 +183,26 @@ def scored(docs: DataFrame, labels: DataFrame, pages: DataFrame, heads: dict[str
     for head, label in names.items():
         told = telling_features(chosen.where(F.col("fold") > 0), label, LEXICON).select("feature").distinct()
         lexicon = sorted(r["feature"] for r in told.collect())
-        rows = chosen.select("doc_id", "fold", "meta", label, matched(F.col("features"), lexicon).alias("found")).orderBy("doc_id").collect()
-        meta_names = sorted({name for row in rows if row[label] is not None for name in row["meta"]})[:LEXICON]
-        models[head] = co_train(rows, label, lexicon, meta_names)
+        metas = chosen.where(F.col(label).isNotNull()).select(F.explode("meta").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+        meta_names = sorted(r["name"] for r in metas.orderBy(F.desc("n"), "name").limit(LEXICON).collect())
+        # numbers only: as many rows as the two samples, as many columns as the two vocabularies
+        rows = chosen.select("doc_id", "fold", F.col(label).alias("label"), _numbers(F.col("features"), lexicon).alias("text"), _numbers(F.col("meta"), meta_names).alias("meta"))
+        rows = rows.toArrow().sort_by("doc_id")
+        tables = {"text": presences(rows["text"], len(lexicon)), "meta": presences(rows["meta"], len(meta_names))}
+        truths = rows["label"].cast(pa.float64()).to_numpy()
+        models[head] = co_train(tables, {"text": lexicon, "meta": meta_names}, truths, rows["fold"].to_numpy())
 
     lexicons = {head: model[0].names for head, model in models.items()}
     found = base.select("doc_id", "source", "lang", "n_chars", *[matched(F.col("features"), words).alias(f"found_{names[head]}") for head, words in lexicons.items()])
     found = found.join(urls, F.col("doc_id") == F.col("page"), "left").select("doc_id", meta_of.alias("meta"), *[f"found_{x}" for x in names.values()])
+    # each view's odds are evaluated once a row, whatever uses them above
+    views = [
+        odds.alias(f"{view}_{names[head]}") for head, (by_text, by_meta, _) in models.items()
+        for view, odds in (("t", by_text.odds(F.col(f"found_{names[head]}"))), ("m", by_meta.odds(matched(F.col("meta"), by_meta.names))))
+    ]
+    found = computed(found, F.struct(*views))
     out = ["doc_id"]
-    for head, (by_text, by_meta, both) in models.items():
-        one, two = by_text.odds(F.col(f"found_{names[head]}")), by_meta.odds(matched(F.col("meta"), by_meta.names))
-        found = found.withColumn(f"t_{names[head]}", one).withColumn(f"m_{names[head]}", two)
+    for head, (_, _, both) in models.items():
         joint = F.col(f"t_{names[head]}") * both[0] + F.col(f"m_{names[head]}") * both[1] + both[2]
         for name, odds in ((f"{head}_text", F.col(f"t_{names[head]}")), (f"{head}_meta", F.col(f"m_{names[head]}")), (head, joint)):
             out.append(F.round(1 / (1 + F.exp(-odds)), 9).alias(name))
