@@ -181,8 +181,10 @@ def test_ledger_rerun_adds_nothing(spark):
     now = F.lit("2026-02-01").cast("timestamp")
     calls = spark.createDataFrame([("c1", f"id{i}", i, NOW) for i in range(120)] + [("c1", "bad id", 0, NOW), ("c2", "id5", 0, NOW + timedelta(hours=1))], "call_id STRING, signal_id STRING, position BIGINT, delivered_at TIMESTAMP")
     ledger = spark.createDataFrame([("id1", NOW - timedelta(days=1)), ("id2", NOW - timedelta(days=22))], "signal_id STRING, reported_at TIMESTAMP")
+    capped = state.ledger_record(ledger, calls, now, ids_per_call=100)
+    assert {r.call_id: r.added for r in state.ledger_added(capped).collect()} == {"c1": 99}
     added = state.ledger_record(ledger, calls, now)
-    assert {r.call_id: r.added for r in state.ledger_added(added).collect()} == {"c1": 99}
+    assert {r.call_id: r.added for r in state.ledger_added(added).collect()} == {"c1": 119}
     grown = state.ledger_prune(ledger, now).unionByName(added.select("signal_id", "reported_at"))
     assert state.ledger_record(grown, calls, now).count() == 0
 
