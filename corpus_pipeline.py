@@ -49,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token records, read back: doc_id, start, n_tokens, ids_crc32."""
-    out = token_records(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, by_word=True, width=2)
+    out = token_records(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, by_class=True, width=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -29,10 +29,10 @@ def plain_ids(text):
     return Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids + [2]
 
 
-@pytest.mark.parametrize(("by_word", "width"), [(True, 2), (False, 4)])
-def test_records_round_trip(spark, by_word, width):
+@pytest.mark.parametrize(("by_class", "width"), [(True, 2), (False, 4)])
+def test_records_round_trip(spark, by_class, width):
     rows = [x for x in odd_texts() if len(x[1] or "") < 10_000] + [(80, "a<|endoftext|>b İI\x1cfoo　z ć ́x 's don't 12,5")]
-    got = sorted(records.token_records(documents(spark, rows), TOKENIZER, 2, by_word=by_word, width=width).collect(), key=lambda r: r["start"])
+    got = sorted(records.token_records(documents(spark, rows), TOKENIZER, 2, by_class=by_class, width=width).collect(), key=lambda r: r["start"])
     ids = {k: Counter() for k, _ in rows}
     for k, text in rows:
         own = plain_ids(text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +86,11 @@ class Words:
     """Maximal runs of bytes of a class in each text of a batch.
 
     ``data`` holds the bytes of all texts; word i is ``data[starts[i]:ends[i]]``; the words of text t are
-    ``first[t]`` to ``first[t + 1] - 1``. A null text has no words.
+    ``first[t]`` to ``first[t + 1] - 1``. A null text has no words. ``apart`` tells from two rows of neighbouring
+    bytes between which of them a word ends as well.
     """
 
-    def __init__(self, texts: pa.Array, table: np.ndarray, lower: bool = False):
+    def __init__(self, texts: pa.Array, table: np.ndarray, lower: bool = False, apart: Callable | None = None):
         if texts.null_count:
             texts = pc.fill_null(texts, "")
         n = len(texts)
@@ -103,6 +104,10 @@ class Words:
         begin, last = self.inside.copy(), self.inside.copy()
         begin[1:] &= ~self.inside[:-1]
         last[:-1] &= ~self.inside[1:]
+        if apart is not None:
+            cut = apart(raw[:-1], raw[1:]) & self.inside[:-1] & self.inside[1:]
+            begin[1:] |= cut
+            last[:-1] |= cut
         filled = bounds[1:] > bounds[:-1]
         edges = bounds[:-1][filled]
         begin[edges] = self.inside[edges]

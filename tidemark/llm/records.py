@@ -8,10 +8,13 @@ else four. An index file has one entry of 24 bytes a frame: doc_id, offset of th
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from tidemark.session import scratch_path
 
 #: Text bytes that go to one data file.
 FILE_BYTES = 24 << 20
+#: Text bytes whose pieces are encoded together.
+ENCODE_BYTES = 12 << 20
 INDEX_ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u4"), ("flags", "<u4")])
 NULL_ID = 1
 FRAME = 16
@@ -55,38 +60,106 @@ def unframe(data: bytes, at: int = 0) -> bytes:
     return payload
 
 
+# Kinds of bytes that a tokenizer of classes never merges: letters, single digits, other characters of ASCII. What the
+# rest joins (bytes outside ASCII, apostrophes of contractions) is left to the tokenizer.
+_LETTER, _DIGIT, _OTHER, _OPEN = 1, 2, 3, 4
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x80:] = _KIND[0x27] = _OPEN
+
+
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    one, two = _KIND[one], _KIND[two]
+    return ((one != two) & (one != _OPEN) & (two != _OPEN)) | ((one == _DIGIT) & (two == _DIGIT))
+
+
 class Encoder:
-    """Ids of whole texts. With ``by_word`` (tokenizers that drop white space and never merge across it), each
-    distinct word of a slice is encoded once."""
+    """Ids of whole texts.
 
-    def __init__(self, path: str, by_word: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+    With ``by_class``, each distinct piece of a slice of texts is encoded once. It is for BPE tokenizers that
+    lower-case, drop white space, take letters, single digits and other characters apart and mark the end of
+    what they merge: there a text's ids are those of its pieces, one after the other.
+    """
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+    #: Pieces encoded as one text; the marked ends tell them apart.
+    TOGETHER = 64
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
+    def __init__(self, path: str, by_class: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.whole, self.by_class = Tokenizer.from_file(path), by_class
+        if not by_class:
+            return
+        spec = json.loads(self.whole.to_str())
+        self.added = [x["content"].encode() for x in spec["added_tokens"]]
+        model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+        self.pieces = []
+        for normalizer in (None, self.whole.normalizer):
+            # no two pieces are equal: nothing to keep in a cache
+            tokenizer = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=suffix))
+            if normalizer is not None:
+                tokenizer.normalizer = normalizer
+            tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.pieces.append(tokenizer)
+
+    @staticmethod
+    def encode(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, tokenizer, pieces: list[str]) -> Iterator[list[int]]:
+        """Ids of pieces that the tokenizer merges as a whole, many at a time."""
+        groups = [pieces[i : i + self.TOGETHER] for i in range(0, len(pieces), self.TOGETHER)]
+        for group, ids in zip(groups, self.encode(tokenizer, [" ".join(x) for x in groups]), strict=True):
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                yield from (ids[a:b] for a, b in zip([0, *stops], stops, strict=False))
+            else:
+                yield from self.encode(self.whole, group)
+
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        """The tokenizer normalizes before it lower-cases, so only pieces of ASCII are lower-cased ahead of it; others
+        are merged as a whole if they still are letters after that."""
+        pieces = [x.lower() if x.isascii() else x for x in pieces]
+        known: dict[str, list[int]] = {}
+        plain, letters, rest = [], [], []
+        for x in dict.fromkeys(pieces):
+            if x.isascii() and "'" not in x:
+                plain.append(x)
+            elif unicodedata.normalize("NFC", x).lower().isalpha():
+                letters.append(x)
+            else:
+                rest.append(x)
+        for tokenizer, chosen in zip(self.pieces, (plain, letters), strict=True):
+            known.update(zip(chosen, self._together(tokenizer, chosen), strict=True))
+        known.update(zip(rest, self.encode(self.whole, rest), strict=True))
+        return [known[x] for x in pieces]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and how many each has."""
-        if not self.by_word:
-            return self.encode([x or "" for x in texts.to_pylist()])
-        words = Words(texts, NOT_BLANK)
+        words = Words(texts, NOT_BLANK, apart=_apart) if self.by_class else None
+        # a special token's own string is more than its pieces
+        if words is None or any(x in words.data.tobytes() for x in self.added):
+            found = self.encode(self.whole, [x or "" for x in texts.to_pylist()])
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         named = words.array(pa.string()).dictionary_encode()
-        ids, sizes = self.encode(named.dictionary.to_pylist())
+        found = self.ids_of(named.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
         begins = np.cumsum(sizes) - sizes
-        word = named.indices.to_numpy()
-        each = sizes[word]
+        piece = named.indices.to_numpy()
+        each = sizes[piece]
         upto = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each, out=upto[1:])
-        out = ids[np.arange(upto[-1]) + np.repeat(begins[word] - upto[:-1], each)]
-        return out, np.diff(upto[words.first])
+        return ids[np.arange(upto[-1]) + np.repeat(begins[piece] - upto[:-1], each)], np.diff(upto[words.first])
 
 
-def _write_batches(path: str, folder: str, by_word: bool, end_id: int, width: int):
+def _write_batches(path: str, folder: str, by_class: bool, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -98,8 +171,8 @@ def _write_batches(path: str, folder: str, by_word: bool, end_id: int, width: in
         entries, offset, tokens = [], 0, 0
         with store.open_output_stream(f"{own}.bin") as out:
             for batch in batches:
-                for part in text_slices(batch):
-                    encoder = encoder or Encoder(path, by_word)
+                for part in text_slices(batch, most=ENCODE_BYTES):
+                    encoder = encoder or Encoder(path, by_class)
                     ids, sizes = encoder(part.column("text"))
                     begin = 0
                     for doc_id, size in zip(part.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
@@ -120,7 +193,7 @@ def _write_batches(path: str, folder: str, by_word: bool, end_id: int, width: in
 
 
 def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int, doc_id: str = "doc_id", text: str = "text",
-                  by_word: bool = False, width: int = 4, file_bytes: int = FILE_BYTES) -> DataFrame:
+                  by_class: bool = False, width: int = 4, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encodes every whole text and writes one record a row, in ascending doc_id order over all files.
 
     Returns the files written: (file, width, records, tokens); names ascend with the ids in them. ``folder`` must
@@ -132,7 +205,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int, doc
     size = needed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // file_bytes))
     ordered = needed.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return written(ordered.mapInArrow(_write_batches(tokenizer, folder, by_word, end_id, width), FILES), "files")
+    return written(ordered.mapInArrow(_write_batches(tokenizer, folder, by_class, end_id, width), FILES), "files")
 
 
 def _read_batches(folder: str):
@@ -198,7 +271,7 @@ def read_shuffled(records: DataFrame, files: DataFrame, folder: str, seed: int)
     return wanted.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_seek_batches(folder), "doc_id long, rank long, ids array<long>")
 
 
-def token_records(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", by_word: bool = False, width: int = 4) -> DataFrame:
+def token_records(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", by_class: bool = False, width: int = 4) -> DataFrame:
     """Writes the records to a new folder beside the checkpoints and returns what reading them back gives."""
     folder = scratch_path(docs.sparkSession, "tokens")
-    return read_records(write_records(docs, tokenizer, folder, end_id, doc_id, text, by_word, width), folder)
+    return read_records(write_records(docs, tokenizer, folder, end_id, doc_id, text, by_class, width), folder)

@@ -20,8 +20,8 @@ END_ID = 2
 @query("op1_token_records")
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token records, read back from the files."""
-    # 49,408 ids fit two bytes; the tokenizer drops white space and never merges across it
-    out = token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, by_word=True, width=2)
+    # 49,408 ids fit two bytes; the tokenizer lower-cases and takes classes of characters apart
+    out = token_records(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, by_class=True, width=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
