@@ -55,7 +55,7 @@ def test_shuffled_reads_and_files(spark):
     files = records.write_records(documents(spark, rows), TOKENIZER, folder, 2, file_bytes=2000)
     assert files.count() > 3
     stored = records.read_records(files, folder)
-    one, two = (records.read_shuffled(stored, files, folder, seed).orderBy("rank").collect() for seed in (1, 2))
+    one, two = (records.read_shuffled(stored, folder, seed).orderBy("rank").collect() for seed in (1, 2))
     assert {r["doc_id"]: r["ids"] for r in one} == {k: plain_ids(text) for k, text in rows}
     assert [r["doc_id"] for r in one] != [r["doc_id"] for r in two] and sorted(r["doc_id"] for r in two) == list(range(50))
 

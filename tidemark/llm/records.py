@@ -35,7 +35,7 @@ NULL_ID = 1
 FRAME = 16
 
 FILES = "file string, width int, records long, tokens long"
-RECORDS = "file string, doc_id long, offset long, place long, n_tokens long, ids_crc32 long"
+RECORDS = "file string, width int, doc_id long, offset long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -225,24 +225,24 @@ def _read_batches(folder: str):
                         raise ValueError(f"{row['file']}: more data than its index has")
                 counts = index["n_tokens"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["file"]] * len(index), pa.string()), pa.array(index["doc_id"], mask=index["flags"] & NULL_ID != 0), pa.array(index["offset"].astype(np.int64)),
-                     pa.array(np.cumsum(counts) - counts), pa.array(counts), pa.array(sums)],
-                    names=["file", "doc_id", "offset", "place", "n_tokens", "ids_crc32"],
+                    [pa.array([row["file"]] * len(index), pa.string()), pa.array([row["width"]] * len(index), pa.int32()), pa.array(index["doc_id"], mask=index["flags"] & NULL_ID != 0),
+                     pa.array(index["offset"].astype(np.int64)), pa.array(row["base"] + np.cumsum(counts) - counts), pa.array(counts), pa.array(sums)],
+                    names=["file", "width", "doc_id", "offset", "start", "n_tokens", "ids_crc32"],
                 )
 
     return run
 
 
 def read_records(files: DataFrame, folder: str) -> DataFrame:
-    """(file, doc_id, offset, place, n_tokens, ids_crc32, start) from the files themselves, checksums verified.
+    """(file, width, doc_id, offset, start, n_tokens, ids_crc32) from the files themselves, checksums verified.
 
-    place counts the ids before the document in its file, start those before it in all files. ids_crc32 is the
-    CRC-32 of the ids as little-endian unsigned 32-bit integers, whatever their width in the file.
+    start counts the ids before the document in all files. ids_crc32 is the CRC-32 of the ids as little-endian
+    unsigned 32-bit integers, whatever their width in the file.
     """
+    # one row a file; each carries the ids before it to its reader, so that records are never joined
     ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("file", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("base"))
-    records = files.select("file", "width").repartition("file").mapInArrow(_read_batches(folder), RECORDS)
-    return records.join(bases, "file").withColumn("start", F.col("base") + F.col("place")).drop("base")
+    based = files.select("file", "width", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("base"))
+    return based.repartition("file").mapInArrow(_read_batches(folder), RECORDS)
 
 
 def _seek_batches(folder: str):
@@ -261,13 +261,13 @@ def _seek_batches(folder: str):
     return run
 
 
-def read_shuffled(records: DataFrame, files: DataFrame, folder: str, seed: int) -> DataFrame:
+def read_shuffled(records: DataFrame, folder: str, seed: int) -> DataFrame:
     """(doc_id, rank, ids): documents with a place in a random order, read by seeking to their offsets.
 
     Each task goes through its records file by file; sorting by rank gives the epoch's order.
     """
     rank = F.xxhash64(F.lit(seed), "file", "offset").alias("rank")
-    wanted = records.join(files.select("file", "width"), "file").select("file", "width", "doc_id", "offset", "n_tokens", rank)
+    wanted = records.select("file", "width", "doc_id", "offset", "n_tokens", rank)
     return wanted.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_seek_batches(folder), "doc_id long, rank long, ids array<long>")
 
 
