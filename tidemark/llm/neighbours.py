@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ PROJECTIONS = 48
 COLLISIONS = 33
 WIDTH = 2.72
 FIRST_RADIUS = 0.1
-GROWTH = 1.5
+GROWTH = 2.0
+#: More than any place of a unit vector on a projection: all sorted arrays in one stay sorted, each at its offset.
+APART = 1000.0
 #: Unit vectors are at most this far apart; a search that gets so far looks at every vector that is left.
 FARTHEST = 2.0
 BLOCK = 4096
@@ -63,6 +66,10 @@ class Index:
     places: np.ndarray
     order: np.ndarray
 
+    def __post_init__(self):
+        self.line = (self.places + APART * np.arange(PROJECTIONS)[:, None]).ravel()
+        self.rows = self.order.ravel()
+
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Index:
         vectors, norms = unit(vectors)
@@ -90,24 +97,22 @@ class Index:
         the k-th nearest known, here or by ``bound`` (a distance within which k are known), is inside the radius.
         """
         n = len(self.ids)
-        counts = np.zeros(n, np.int32)
+        counts = np.zeros(n, np.int64)
         verified = np.zeros(n, bool)
         verified[self.ids == own] = True
         found, scores = np.zeros(0, np.int64), np.zeros(0)
         low = high = None
-        radius = FIRST_RADIUS
+        # a bound that is known lets the first window be half as wide as the last one can become
+        radius = FIRST_RADIUS if bound >= FARTHEST else max(FIRST_RADIUS, bound / GROWTH)
+        at = at + APART * np.arange(PROJECTIONS)
         while True:
             if radius >= FARTHEST:
                 new = np.flatnonzero(~verified)
             else:
                 half = WIDTH * radius / 2
-                left = np.array([np.searchsorted(p, x - half) for p, x in zip(self.places, at, strict=True)])
-                right = np.array([np.searchsorted(p, x + half, side="right") for p, x in zip(self.places, at, strict=True)])
-                if low is None:
-                    entered = [o[a:b] for o, a, b in zip(self.order, left, right, strict=True)]
-                else:
-                    entered = [o[a:b] for o, a, b in zip(self.order, left, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, right, strict=True)]
-                counts += np.bincount(np.concatenate(entered), minlength=n).astype(np.int32)
+                left, right = np.searchsorted(self.line, at - half).tolist(), np.searchsorted(self.line, at + half, side="right").tolist()
+                spans = zip(left, right, strict=True) if low is None else chain(zip(left, low, strict=True), zip(high, right, strict=True))
+                counts += np.bincount(np.concatenate([self.rows[a:b] for a, b in spans]), minlength=n)
                 low, high = left, right
                 new = np.flatnonzero((counts >= COLLISIONS) & ~verified)
             if len(new):
