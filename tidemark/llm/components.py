@@ -38,19 +38,19 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, smallest) with the least ``smallest`` of the component; a node without edges keeps its own.
 
     Alternating large-star and small-star rounds: each node's neighbours are joined to the smallest one. Links
-    are first contracted inside each batch. A node's minimum is aggregated before the shuffle, and the join back
-    is one whose hot keys Spark splits, so a node with very many links is no single task's work.
+    are first contracted inside each batch. A node's minimum is aggregated before the shuffle and written; the join
+    back is one whose hot keys Spark splits, so a node with very many links is no single task's work.
     """
     links = written(edges.mapInArrow(_forest, "a long, b long").distinct(), "links")
     while True:
         before = links
         # large star: neighbours larger than the node go to the smallest of node and neighbours
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         links = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         links = written(links, "links")
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
-        least = links.groupBy("b").agg(F.min("a").alias("m"))
+        least = written(links.groupBy("b").agg(F.min("a").alias("m")), "least")
         low = links.join(least, "b")
         after = low.select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y")))
         after = written(after.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
@@ -61,8 +61,8 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if done:
             break
     member = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    rooted = nodes.join(member, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "smallest")
-    lowest = rooted.groupBy("root").agg(F.min("smallest").alias("smallest"))
+    rooted = written(nodes.join(member, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "smallest"), "rooted")
+    lowest = written(rooted.groupBy("root").agg(F.min("smallest").alias("smallest")), "lowest")
     return rooted.select("node", "root").join(lowest, "root").select("node", "smallest")
 
 

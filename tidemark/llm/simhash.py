@@ -210,4 +210,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("smallest")), "nodes")
     edges = links(nodes.select("print"), most)
     reach = smallest_reachable(edges, nodes.select(F.col("print").alias("node"), "smallest"))
-    return prints.join(reach.select(F.col("node").alias("print"), F.col("smallest").alias("component_id")), "print").select("doc_id", "print", "component_id")
+    reach = written(reach.select(F.col("node").alias("print"), F.col("smallest").alias("component_id")), "reach")
+    return prints.join(reach, "print").select("doc_id", "print", "component_id")
