@@ -154,6 +154,30 @@ def test_views_teach_each_other():
     assert taught.weights[1] > 0.5 and taught.weights[3] < -0.5
 
 
+def test_all_rows_without_a_label_take_part(spark):
+    """A word that no labelled document has is learned, though few of the very many other documents have it."""
+    rng = np.random.default_rng(4)
+    bad = rng.random(12_600) < 0.5
+    seen, late = np.arange(12_600) < 600, np.arange(12_600) >= 12_000
+    names = {"text": ["bad1", "bad2", "good1"], "meta": ["host=spam", "host=fine"]}
+    text = np.stack([bad & ~late, bad & late, ~bad], axis=1).astype(np.float32)
+    tables = {"text": text, "meta": np.stack([bad, ~bad], axis=1).astype(np.float32)}
+    label, fold = np.where(seen, bad, np.nan), np.arange(12_600) % 5
+    at_hand = quality.co_train(tables, names, label, fold)
+    assert at_hand[0].weights[1] > 0.5
+
+    # the same from a table of column numbers, summed by Spark
+    lists = {view: [np.flatnonzero(row).tolist() for row in table] for view, table in tables.items()}
+    rows = [(None if np.isnan(x) else int(x), a, b) for x, a, b in zip(label, lists["text"], lists["meta"], strict=True)]
+    table = written(spark.createDataFrame(rows, "label0 int, text_label0 array<int>, meta_label0 array<int>").repartition(3), "rows")
+    free = quality.free_rows(table, {("h", "text"): 3, ("h", "meta"): 2}, {"h": "label0"})
+    known = quality.Known({view: x[seen] for view, x in tables.items()}, names, label[seen], fold[seen])
+    by_spark = quality.teach({"h": known}, free)["h"]
+    assert all(np.allclose(a.weights, b.weights, atol=1e-6) for a, b in zip(at_hand[:2], by_spark[:2], strict=True))
+    past = [{("h", view): (model.weights * model.slope, model.begin * model.slope + model.shift) for view, model in zip(("text", "meta"), by_spark, strict=False)}]
+    assert free(quality.Ask(past, [("h", "text")])).sum() == (~seen).sum()
+
+
 def test_scores_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
