@@ -190,6 +190,16 @@ def test_no_language_to_learn(spark):
     assert language.identify(docs.limit(0)).collect() == []
 
 
+def test_each_language_has_its_own_vocabulary(spark):
+    """Documents of one language are far longer; the words and n-grams of the other are still known."""
+    rows = [(k, " ".join(f"lang{a}" for a in "abcdefghij") + " " + "lange worte " * 50, "xx") for k in range(0, 60, 2)]
+    rows += [(k, "kurz satz", "yy") for k in range(1, 60, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, most_words=5, most_grams=20)
+    assert {b"kurz", b"satz", b"lange", b"worte"} <= set(model.words) and len(model.words) == 7
+    assert len(set(model.grams) & set(language.grams_of(b"kurz") + language.grams_of(b"satz"))) >= 20
+
+
 def test_backoff_takes_the_longest_gram_known():
     grams = {b"<a": 0, b"a": 1, b"bc": 2, b"c": 3}
     scores = np.array([[1.0], [10.0], [100.0], [1000.0]])

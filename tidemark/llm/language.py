@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ from tidemark.llm.common import LETTER_BYTE, Words, as_text, small_batches, text
 
 #: A model is fitted on about this many labelled documents of each language, chosen by a hash of their id.
 ROWS_PER_LANGUAGE = 2_000
-#: Its vocabularies hold the most frequent entries.
-MOST_WORDS = 40_000
-MOST_GRAMS = 40_000
+#: Its vocabularies hold the most frequent entries of each language, so that no language takes another's places.
+MOST_WORDS = 60_000
+MOST_GRAMS = 60_000
 LONGEST = 5
 UNKNOWN = "und"
 
@@ -68,7 +69,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE,
         most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """A model of about ``rows_per_language`` whole documents of each language; rows with a null language or text
-    are not learned from. Its size is bounded by the two vocabularies, whatever the input."""
+    are not learned from. Its size is bounded by the two vocabularies of each language, whatever the input."""
     small_batches(docs.sparkSession)
     rows = docs.select(docs[text].alias("text"), docs[lang].cast("string").alias("lang"), F.pmod(F.xxhash64(docs[doc_id]), F.lit(1 << 30)).alias("chance")).where("text is not null and lang is not null")
     # one number for each language; no task gathers a language's rows
@@ -80,11 +81,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     counts = written(sample.mapInArrow(_count_batches, "lang string, kind int, entry binary, n long").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")), "counts")
     languages = sorted(sizes)
     each = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)) for name in languages]
-    entries = counts.groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.array(*each).cast("array<long>").alias("by_lang"))
+    entries = counts.groupBy("kind", "entry").agg(F.array(*each).cast("array<long>").alias("by_lang"))
 
     def top(kind: int, most: int) -> tuple[list[bytes], np.ndarray]:
-        """The most frequent entries with their smoothed log frequencies; arrays, as many as the vocabulary has entries."""
-        found = entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).select("entry", "by_lang").toArrow()
+        """The most frequent entries of each language with their smoothed log frequencies; arrays, as many as the vocabulary has entries."""
+        own = [counts.where((F.col("kind") == kind) & (F.col("lang") == name)).orderBy(F.desc("n"), "entry").limit(most).select("entry") for name in languages]
+        if not own:
+            return [], np.zeros((0, 0), np.float32)
+        listed = written(reduce(DataFrame.unionAll, own).distinct(), "listed")
+        found = entries.where(F.col("kind") == kind).join(listed, "entry", "left_semi").select("entry", "by_lang").toArrow()
         table = found["by_lang"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(found.num_rows, len(languages))
         return found["entry"].to_pylist(), np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * (found.num_rows + 1))).astype(np.float32)
 
