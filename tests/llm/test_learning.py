@@ -105,6 +105,17 @@ def test_mixture_of_labelled_domains(spark):
     assert got[900]["__n"] == 0 and got[901]["__n"] == 0
 
 
+def test_mixture_knows_rare_telling_words(spark):
+    """Two hundred words mark toxic documents, each in eight of them and every document by few words."""
+    rng = random.Random(13)
+    marks = [f"mark{k}" for k in range(200)] * 8
+    rows = [(k, sentence(rng, 5, 5) + " " + " ".join(marks[8 * k : 8 * k + 8])) for k in range(200)]
+    rows += [(k, sentence(rng, 8, 5)) for k in range(200, 2000)]
+    table = spark.createDataFrame([(k, int(k < 200)) for k, _ in rows], "doc_id long, toxic int")
+    model = mixing.fit_domains(documents(spark, rows), table, F.col("toxic").cast("string"))
+    assert set(marks) <= set(model.lexicon)
+
+
 def test_mixture_without_labels_or_rows(spark):
     docs = documents(spark, [(1, "one two"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

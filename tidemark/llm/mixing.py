@@ -14,10 +14,10 @@ from tidemark.functions.text import let
 from tidemark.llm.features import LABELLED_ROWS, feature_list, labelled, matched, sums, telling_features, word_list
 from tidemark.llm.common import written
 
-LEXICON = 128
+LEXICON = 256
 #: Weight of the squared coefficients.
 PENALTY = 1e-4
-FIT_ROUNDS = 40
+FIT_ROUNDS = 100
 ROUNDS = 60
 #: Rounds after which the rates reached are written, so that a round replays no more steps than this.
 REPLAY = 10
