@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
+from tidemark.llm.components import smallest_reachable
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.language import UNKNOWN, identify
 from tidemark.llm.mixing import mixed
 from tidemark.llm.mixture_queries import ANCHOR, TARGETS, label_domain
 from tidemark.llm.records import token_records
 from tidemark.llm.registry import table
-from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.simhash import fingerprints, links
 from tidemark.session import prepare
 
 END_ID = 2
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of a whole row, nulls by their place: ids may be null or repeated. Only equal rows share it."""
+    return F.xxhash64(*[x for name in docs.columns for x in (docs[name], docs[name].isNull())])
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the labelled ones have; texts without a letter go."""
     found = identify(docs.withColumn("__lang", docs["lang"]), lang="__lang")
@@ -26,18 +32,27 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked as near copies the one with the smallest id; of repeated rows one."""
-    groups = written(near_duplicates(docs), "groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Of documents linked as near copies the one with the smallest id; of repeated rows one.
+
+    Of rows with one id, or without an id, that are linked, the one with the smallest row key stays; a null id stays
+    only where no other is.
+    """
+    keyed = docs.withColumn("__row", row_key(docs))
+    prints = written(fingerprints(keyed, carried=("__row",)), "prints")
+    row = F.struct(F.col("doc_id").isNull().alias("__none"), F.col("doc_id").alias("__id"), "__row")
+    nodes = written(prints.groupBy("print").agg(F.min(row).alias("smallest")), "nodes")
+    reach = smallest_reachable(links(nodes.select("print")), nodes.select(F.col("print").alias("node"), "smallest"))
+    first = written(reach.select("smallest.__id", F.col("smallest.__row").alias("__first")).distinct(), "first")
+    kept = keyed.join(first, (F.col("__row") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without more of the benchmark than the rule allows."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = judged.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """Documents without more of the benchmark than the rule allows; each row is judged by itself."""
+    keyed = docs.withColumn("__row", row_key(docs))
+    judged = contamination(keyed, table(spark, sf_dir, "benchmark"), doc_id="__row")
+    gone = judged.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    return keyed.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,3 +247,21 @@ def test_pipeline_stages(spark, corpus):
 def test_pipeline_runs(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark, corpus):
+    rng = random.Random(22)
+    own = [sentence(rng, 30, 3000) for _ in range(8)]
+    spoiled = bench_rows()[0][1]
+    rows = [
+        (None, own[0]), (None, own[1]), (None, own[1] + ""), (None, own[2]), (1, own[2]), (2, own[3]), (2, own[4]), (2, own[4]),
+        (3, own[5]), (3, spoiled), (None, spoiled), (4, own[6]), (5, own[6]),
+    ]
+    full = [(k, t, "en", None if n % 2 else "s", len(t), "extra") for n, (k, t) in enumerate(rows)]
+    docs = written(spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, print string").repartition(3), "docs")
+    first = written(corpus_pipeline.one_of_each_group(spark, docs, corpus), "first")
+    assert first.columns == docs.columns
+    want = [(None, own[0]), (None, own[1]), (1, own[2]), (2, own[3]), (2, own[4]), (3, own[5]), (3, spoiled), (4, own[6])]
+    assert sorted(((r["doc_id"], r["text"]) for r in first.collect()), key=str) == sorted(want, key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, corpus).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in clean), key=str) == sorted(((k, t) for k, t in rows if t != spoiled), key=str)

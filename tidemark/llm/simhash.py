@@ -46,21 +46,21 @@ def fingerprint_slice(texts: pa.Array, shingle: int = SHINGLE_WORDS, seed: int =
     return out
 
 
-def _fingerprint_batches(shingle: int):
+def _fingerprint_batches(shingle: int, carried: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 prints = fingerprint_slice(part.column("text"), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints)], names=["doc_id", "print"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints), *(part.column(x) for x in carried)], names=["doc_id", "print", *carried])
 
     return run
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long, one row for each row of the input."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE_WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, print): the fingerprint as a signed long, one row for each row of the input; and ``carried`` long columns."""
     small_batches(docs.sparkSession)
-    needed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    return needed.mapInArrow(_fingerprint_batches(shingle), "doc_id long, print long")
+    needed = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *carried)
+    return needed.mapInArrow(_fingerprint_batches(shingle, carried), ", ".join(f"{x} long" for x in ("doc_id", "print", *carried)))
 
 
 def signatures(prints: DataFrame) -> DataFrame:
