@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.manifest import merkle_manifest
 from tidemark.llm.registry import query, table
+from tidemark.llm.vector_codes import ROUNDS, codebooks_digest, encode
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,3 +63,36 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
         docs, ["doc_id", "source", "lang", "n_chars", "text"], group="source", key="doc_id", suspect=suspect, altered={"text": F.translate(docs["text"], UPPER, LOWER)},
     )
     return out.drop("path", "proof")
+
+
+def _op13_sql(rounds: int) -> str:
+    """The rounds are written out: each assigns all distinct parts, then moves the entries."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS (SELECT part, p, w, struct_extract(min({{'d': d, 'e': e}}), 'e') AS e, min(d) AS d FROM (
+  SELECT u.part, u.p, u.w, c.e, list_sum(list_transform(range(1, len(u.p) + 1), lambda i: (u.p[i] - c.p[i]) * (u.p[i] - c.p[i])))::BIGINT AS d FROM u JOIN c{k} c USING (part)) GROUP BY part, p, w)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT part, e, list(v ORDER BY i) AS p FROM (
+  SELECT part, e, i, CAST(floor(sum(w * p[i]) / sum(w)) AS BIGINT) AS v FROM a{k}, range(1, (SELECT len(p) FROM u LIMIT 1) + 1) t(i) GROUP BY part, e, i) GROUP BY part, e),
+c{k + 1} AS (SELECT part, e, coalesce(m.p, c.p) AS p FROM c{k} c LEFT JOIN m{k} m USING (part, e))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+cut AS (SELECT r, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS p FROM kept, range(8) t(part)),
+u AS (SELECT part, p, count(*) AS w FROM cut GROUP BY part, p),
+c0 AS (SELECT part, r AS e, p FROM cut WHERE r < 16),{",".join(steps)},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM cut JOIN a{rounds} USING (part, p) GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, e)) AS digest FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM kept JOIN coded USING (r), books
+"""
+
+
+@query("op13_vector_codes", _op13_sql(ROUNDS))
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings as codes of eight parts, with what the codes lose."""
+    out, codebooks = encode(table(spark, folder, "embeddings"), "vec_id", "embedding", "label")
+    code = F.array_join(F.transform("codes", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    return out.select("vec_id", code.alias("code"), "error", "label_error", F.lit(codebooks_digest(codebooks)).alias("codebooks_sha256"))
