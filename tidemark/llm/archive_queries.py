@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.manifest import merkle_manifest
 from tidemark.llm.registry import query, table
+from tidemark.llm.suffixes import remove_repeated_bytes
 from tidemark.llm.vector_codes import ROUNDS, codebooks_digest, encode
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,6 +54,30 @@ SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256,
 FROM walk_up w JOIN leaves USING (r) JOIN subroots s USING (tree), tops t WHERE w.n = 1 AND t.n = 1
 """
 
+# two hexadecimal digits a byte
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS t FROM documents),
+p AS (SELECT r, doc_id, unnest(range(0, length(t) // 2 - 99)) AS i, t FROM d WHERE length(t) >= 200),
+w AS (SELECT r, doc_id, i, md5_number(substr(t, 2 * i + 1, 200)) AS s FROM p),
+early AS (SELECT s, doc_id, i, dense_rank() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, i) > 1 AS late, r FROM w),
+marked AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM early WHERE late),
+opened AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+spans AS (SELECT r, min(i) AS a, max(i) + 100 AS b FROM opened GROUP BY r, run),
+edges AS (SELECT r, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, CAST(sum(b - a) AS BIGINT) AS gone, count(*) AS n FROM spans GROUP BY r),
+kept AS (SELECT r, doc_id, length(t) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+                CASE WHEN n IS NULL THEN t ELSE array_to_string(list_transform(range(1, n + 2), lambda k:
+                  substr(t, 2 * (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1,
+                         2 * ((CASE WHEN k > n THEN length(t) // 2 ELSE starts[k] END) - (CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END)))), '') END AS rest
+         FROM d LEFT JOIN edges USING (r))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+
+@query("op11_suffix_merge", OP11_SQL)
+def suffix_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the strings of 100 bytes that start earlier elsewhere."""
+    return remove_repeated_bytes(table(spark, folder, "documents"), whole=False)
+
 
 @query("op12_manifest", OP12_SQL)
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
