@@ -28,7 +28,7 @@ SHARD_BYTES = 1 << 18
 UNIT_BYTES = 1 << 20
 #: Different pieces of one anchor that are merged in one task. Those of a more common anchor are compared window by
 #: window, counted before the exchange.
-MERGED = 8192
+MERGED = 4096
 
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _HALF = np.uint64(32)
@@ -139,6 +139,15 @@ def _piece_batches(window: int):
     return run
 
 
+def _opens(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; one more than the rows, so that the next group's begin is each one's end."""
+    opens = np.ones(len(columns[0]) + 1, bool)
+    np.not_equal(columns[0][1:], columns[0][:-1], out=opens[1:-1])
+    for values in columns[1:]:
+        opens[1:-1] |= values[1:] != values[:-1]
+    return opens
+
+
 class Transform:
     """The Burrows-Wheeler transform of a shard of strings, two symbols at a time.
 
@@ -155,69 +164,74 @@ class Transform:
         codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
         codes[bounds[1:] - 1] = 0
         string = np.repeat(np.arange(len(strings)), sizes + 1)
-        self.begin, end = bounds[:-1][string], (bounds[1:] - 1)[string]
-        at = np.arange(len(codes))
-        key = np.zeros(len(codes), np.int64)
-        for k in range(self._PACKED):
-            key = (key << 9) | codes[np.minimum(at + k, end)]
-        known = self._PACKED
-        order, rank = self._ranked(key)
-        while known < depth and rank[order[-1]] < len(codes) - 1:
-            order, rank = self._ranked((rank << 32) | rank[np.minimum(at + known, end)])
-            known *= 2
-        self.string, self.place = string[order], order - self.begin[order]
-        row = np.empty(len(codes), np.int32)
-        row[order] = np.arange(len(codes), dtype=np.int32)
-        room = self.place >= 2
-        back = order[room] - 2
+        begin, end = bounds[:-1].take(string), (bounds[1:] - 1).take(string)
+        order = self._sorted(codes, end, depth)
+        self.string, self.place = string.take(order), order - begin.take(order)
+        row = np.empty(len(codes), np.int64)
+        row[order] = np.arange(len(codes))
+        room = np.flatnonzero(self.place >= 2)
+        back = order.take(room) - 2
         self.before = np.zeros(len(codes), np.uint16)
-        self.before[room] = (codes[back] - 1 << 8) | (codes[back + 1] - 1)
-        self.steps = np.full(len(codes), -1, np.int32)
-        self.steps[room] = row[back]
+        self.before[room] = ((codes.take(back) - 1) << 8) | (codes.take(back + 1) - 1)
+        self.steps = np.full(len(codes), -1, np.int64)
+        self.steps[room] = row.take(back)
 
-    @staticmethod
-    def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _sorted(self, codes: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+        """Suffixes in the order of their first ``depth`` symbols: seven first, then twice as many by the ranks so far,
+        among those that are still tied."""
+        at = np.arange(len(codes))
+        pair = (codes << 9) | codes.take(np.minimum(at + 1, end))
+        four = (pair << 18) | pair.take(np.minimum(at + 2, end))
+        key = (four << 27) | (four >> 9).take(np.minimum(at + 4, end))
         order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
-        return order, rank
+        rank = np.empty(len(codes), np.int64)
+        slots, moved, key, known = at, order, key.take(order), self._PACKED
+        while True:
+            opens = _opens(key)
+            rank[moved] = slots.take(np.maximum.accumulate(np.where(opens[:-1], np.arange(len(slots)), 0)))
+            tied = np.flatnonzero(~(opens[:-1] & opens[1:]))
+            if known >= depth or not len(tied):
+                return order
+            slots, moved = slots.take(tied), moved.take(tied)
+            key = (rank.take(moved) << 32) | rank.take(np.minimum(moved + known, end.take(moved)))
+            sub = np.argsort(key)
+            moved, key = moved.take(sub), key.take(sub)
+            order[slots] = moved
+            known *= 2
 
 
 def merged_repeats(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows (of all shards, one after the other) whose suffixes share their first ``depth`` bytes with another row's,
     and where each interval of equal ones begins.
 
-    The interleave starts as shard after shard, one block. Each step puts the bytes before a row's suffix in front of
-    it: a stable sort by these bytes alone turns the order by ``h`` bytes into the order by ``h + 2``, the rows of a
-    shard keep their order, and a block ends where the bytes or the former blocks differ. Neighbours parted by the step to
-    h + 2 share at least h bytes and less than h + 2; a block of one row has met all it shares and is followed no
-    further, as what its suffix is the end of is unique too.
+    The interleave starts as shard after shard, one block. Each step puts the four (or two) bytes before a row's suffix
+    in front of it: a stable sort by these bytes alone turns the order by h bytes into the order by h + 4, the rows of a
+    shard keep their order, and a block ends where the bytes or the former blocks differ. Neighbours parted by that step
+    share at least h bytes and less than h + 4; a block of one row has met all it shares and is followed no further, as
+    what its suffix is the end of is unique too.
     """
-    before = np.concatenate([x.before for x in shards])
     offsets = np.cumsum([0] + [len(x.before) for x in shards])
-    steps = np.concatenate([np.where(x.steps >= 0, x.steps + np.int32(at), -1) for x, at in zip(shards, offsets, strict=False)]).astype(np.int32)
-    rows = np.arange(len(before), dtype=np.int32)
-    block = np.zeros(len(before), np.int32)
-    for _ in range(0, depth, 2):
-        onward = steps[rows]
-        room = onward >= 0
-        rows, onward, block = rows[room], onward[room], block[room]
-        symbols = before[rows]
-        order = np.argsort(symbols, kind="stable")
-        rows, symbols, block = onward[order], symbols[order], block[order]
+    near = np.concatenate([x.before for x in shards])
+    steps = np.concatenate([np.where(x.steps >= 0, x.steps + at, -1) for x, at in zip(shards, offsets, strict=False)])
+    far, far_steps = near.take(steps), np.where(steps >= 0, steps.take(steps), -1)
+    rows, block = np.arange(len(near)), np.zeros(len(near), np.int32)
+    for size in [2] * (depth % 4 // 2) + [4] * (depth // 4):
+        onward = (far_steps if size == 4 else steps).take(rows)
+        room = np.flatnonzero(onward >= 0)
+        rows, onward, block = rows.take(room), onward.take(room), block.take(room)
         if not len(rows):
             break
-        opens = np.empty(len(rows), bool)
-        opens[0] = True
-        np.logical_or(symbols[1:] != symbols[:-1], block[1:] != block[:-1], out=opens[1:])
-        last = np.empty(len(rows), bool)
-        last[-1] = True
-        last[:-1] = opens[1:]
-        shared = np.flatnonzero(~(opens & last))
-        rows, block = rows[shared], np.cumsum(opens, dtype=np.int32)[shared]
-    begins = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    return rows, begins
+        symbols = near.take(rows)
+        order = symbols.argsort(kind="stable")
+        if size == 4:
+            upper = far.take(rows)
+            order = order.take(upper.take(order).argsort(kind="stable"))
+            symbols = (upper.astype(np.uint32) << np.uint32(16)) | symbols
+        rows, block = onward.take(order), block.take(order)
+        opens = _opens(symbols.take(order), block)
+        shared = np.flatnonzero(~(opens[:-1] & opens[1:]))
+        rows, block = rows.take(shared), np.cumsum(opens[:-1], dtype=np.int32).take(shared)
+    return rows, np.flatnonzero(_opens(block)[:-1]) if len(rows) else np.zeros(0, np.int64)
 
 
 RUNS = "s1 long, s2 long, runs array<struct<j: int, k: int, doc: long, start: int>>"
