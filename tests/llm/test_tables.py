@@ -49,6 +49,22 @@ def test_records_round_trip(spark, by_class, width):
     assert records.token_records(nothing(spark), TOKENIZER, 2).collect() == []
 
 
+@pytest.mark.parametrize("most", [5_000, 12 << 20])
+def test_long_texts_however_they_are_gathered(spark, most, monkeypatch):
+    monkeypatch.setattr(records, "ENCODE_BYTES", most)
+    rows = [x for x in odd_texts() if len(x[1] or "") >= 10_000] + [(k, sentence(random.Random(k), 400)) for k in range(90, 110)]
+    assert len(rows) > 22
+    got = records.token_records(documents(spark, rows), TOKENIZER, 2, by_class=True, width=2).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in got} == {k: zlib.crc32(np.array(plain_ids(text), "<u4").tobytes()) for k, text in rows}
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="do not fit in 2 bytes"):
+        records.token_records(documents(spark, [(1, "a")]), TOKENIZER, 70_000, width=2).collect()
+
+
 def test_shuffled_reads_and_files(spark):
     rows = [(k, sentence(random.Random(k), 30)) for k in range(50)]
     folder = scratch_path(spark, "tokens")
