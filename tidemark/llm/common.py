@@ -82,6 +82,22 @@ def text_slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYT
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``most`` bytes of text at a time, over the bounds of batches."""
+    held, used = [], 0
+    for batch in batches:
+        for part in text_slices(batch, text, most):
+            # a row counts as well, so that empty texts are not held without end
+            size = (pc.sum(pc.binary_length(part.column(text))).as_py() or 0) + 64 * part.num_rows
+            if held and used + size > most:
+                yield pa.concat_batches(held)
+                held, used = [], 0
+            held.append(part)
+            used += size
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Words:
     """Maximal runs of bytes of a class in each text of a batch.
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_BLANK, Words, small_batches, text_slices, written
+from tidemark.llm.common import NOT_BLANK, Words, gathered, small_batches, written
 from tidemark.session import scratch_path
 
 #: Text bytes that go to one data file.
@@ -170,16 +170,17 @@ def _write_batches(path: str, folder: str, by_class: bool, end_id: int, width: i
         encoder, kind = None, np.dtype("<u2" if width == 2 else "<u4")
         entries, offset, tokens = [], 0, 0
         with store.open_output_stream(f"{own}.bin") as out:
-            for batch in batches:
-                for part in text_slices(batch, most=ENCODE_BYTES):
-                    encoder = encoder or Encoder(path, by_class)
-                    ids, sizes = encoder(part.column("text"))
-                    begin = 0
-                    for doc_id, size in zip(part.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
-                        record = frame(np.append(ids[begin : begin + size], end_id).astype(kind).tobytes())
-                        out.write(record)
-                        entries.append((doc_id or 0, offset, size + 1, NULL_ID * (doc_id is None)))
-                        begin, offset, tokens = begin + size, offset + len(record), tokens + size + 1
+            for part in gathered(batches, most=ENCODE_BYTES):
+                encoder = encoder or Encoder(path, by_class)
+                ids, sizes = encoder(part.column("text"))
+                if max(end_id, int(ids.max(initial=0))) > np.iinfo(kind).max:
+                    raise ValueError(f"ids do not fit in {width} bytes")
+                begin = 0
+                for doc_id, size in zip(part.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
+                    record = frame(np.append(ids[begin : begin + size], end_id).astype(kind).tobytes())
+                    out.write(record)
+                    entries.append((doc_id or 0, offset, size + 1, NULL_ID * (doc_id is None)))
+                    begin, offset, tokens = begin + size, offset + len(record), tokens + size + 1
         if not entries:
             store.delete_file(f"{own}.bin")
             return
