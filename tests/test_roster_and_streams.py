@@ -52,19 +52,6 @@ def test_usage_buckets_are_final_once(spark, tmp_path):
     assert jobs.late_usage(spark.createDataFrame(slow, USAGE)).count() == 1
 
 
-def test_stories_are_remembered_between_batches(spark, tmp_path):
-    schema = "account_id STRING, item_id STRING, input_ord BIGINT, title STRING, seen_at TIMESTAMP"
-    now = datetime(2026, 1, 1)
-    one = [("a", "n1", 1, "Acme opens large factory near harbour", now), ("a", "n2", 2, "Breaking: Acme opens large factory near harbour", now)]
-    two = [("a", "n3", 3, "Acme opens large factory near harbour today", now + timedelta(days=2)), ("a", "n4", 4, "Acme names different chief officer", now + timedelta(days=2))]
-    three = [("a", "n5", 5, "Acme opens large factory near harbour again", now + timedelta(days=40))]
-    source, out, state, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state", "cp"))
-    for part in (one, two, three):
-        jobs.run_available(stage(spark, source, part, schema).writeStream.foreachBatch(jobs.novel_stories(state, out)), checkpoint)
-    found = {r.item_id: r.novelty for r in spark.read.parquet(out).collect()}
-    assert found == {"n1": "fresh", "n2": "repeated", "n3": "already_judged", "n4": "fresh", "n5": "fresh"}
-
-
 def test_replayed_delivery_batch_changes_nothing(spark, tmp_path):
     schema = "signal_id BIGINT, signal_at TIMESTAMP"
     out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")

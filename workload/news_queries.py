@@ -192,14 +192,14 @@ def watchlist(spark, folder):
     )
 
 
-_FOLD = "regexp_replace(strip_accents(lower(@)), '[^a-z0-9]+', ' ', 'g')"
+FOLD = "regexp_replace(strip_accents(lower(@)), '[^a-z0-9]+', ' ', 'g')"
 _MENTION = """(CASE CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 4 WHEN 0 THEN contains(folded, ' attion ') WHEN 1 THEN contains(folded, ' thanedble ')
   WHEN 2 THEN contains(folded, ' eaux ') ELSE contains(folded, ' ungen ') END OR (contains(folded, ' onthe ') AND contains(folded, ' theen ')) OR (contains(folded, ' zwei ') AND contains(folded, ' drei ')))"""
 
 
 @query(
     "mentions_account",
-    f"""SELECT doc_id, 'acct-' || source AS account_id, {_MENTION} AS mentioned FROM (SELECT *, ' ' || {_FOLD.replace('@', "text")} || ' ' AS folded FROM documents)""",
+    f"""SELECT doc_id, 'acct-' || source AS account_id, {_MENTION} AS mentioned FROM (SELECT *, ' ' || {FOLD.replace('@', "text")} || ' ' AS folded FROM documents)""",
 )
 def _mentions(spark, folder):
     items = read_table(spark, folder, "documents", spread=True).select("doc_id", F.concat(F.lit("acct-"), F.col("source")).alias("account_id"), "text")
@@ -235,7 +235,7 @@ candidate AS (SELECT *, CASE WHEN url IS NULL THEN 'unusable' WHEN n_chars < 300
     WHEN n_chars < 500 AND CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 2 = 0 THEN 'own_domain' WHEN n_chars >= 500 AND n_chars < 600 THEN 'homepage' WHEN lang = 'de' THEN 'app_listing'
     WHEN published_at < TIMESTAMP '2024-01-12' THEN 'too_old' WHEN NOT {_MENTION} THEN 'not_named' END AS drop_reason,
     'news:' || left(sha256(url), 16) AS item_id, CASE WHEN length(body) > 1500 THEN rtrim(left(body, 1499)) || '…' ELSE body END AS excerpt
-  FROM (SELECT *, ' ' || {_FOLD.replace('@', "(title || ' ' || left(body, 700))")} || ' ' AS folded FROM result))"""
+  FROM (SELECT *, ' ' || {FOLD.replace('@', "(title || ' ' || left(body, 700))")} || ' ' AS folded FROM result))"""
 
 
 @query(
@@ -258,7 +258,7 @@ def titled(spark, folder):
 
 @query(
     "same_story_pairs",
-    f"""WITH worded AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split({_FOLD.replace('@', 'text')}, ' '), lambda w: length(w) > 3))) AS words,
+    f"""WITH worded AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split({FOLD.replace('@', 'text')}, ' '), lambda w: length(w) > 3))) AS words,
         doc_id IN (SELECT doc_id FROM labels) AS known FROM documents),
     mine AS (SELECT lang, words FROM worded WHERE NOT known AND len(words) >= 3 GROUP BY ALL),
     theirs AS (SELECT lang, words, min(doc_id) AS first_id FROM worded WHERE known AND len(words) >= 3 GROUP BY ALL),
@@ -288,7 +288,7 @@ def judged_state(spark, folder):
 
 @query(
     "news_novelty",
-    f"""WITH RECURSIVE worded AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split({_FOLD.replace('@', 'text')}, ' '), lambda w: length(w) > 3))) AS words FROM documents),
+    f"""WITH RECURSIVE worded AS (SELECT doc_id, lang, list_sort(list_distinct(list_filter(string_split({FOLD.replace('@', 'text')}, ' '), lambda w: length(w) > 3))) AS words FROM documents),
     known AS (SELECT doc_id, lang, words FROM worded WHERE doc_id IN (SELECT doc_id FROM labels) AND TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id AS INT)) < TIMESTAMP '2024-01-06'),
     old AS (SELECT DISTINCT w.doc_id FROM worded w JOIN known k ON w.lang = k.lang AND (w.doc_id = k.doc_id OR (len(w.words) >= 3 AND len(k.words) >= 3
       AND len(list_intersect(w.words, k.words)) / least(len(w.words), len(k.words))::DOUBLE >= 0.7))),
@@ -309,7 +309,7 @@ def _novelty(spark, folder):
 @query(
     "evidence_supported",
     f"""WITH t AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN replace(text, ' ', ' - ') WHEN 'de' THEN source || ' of a very other thing' WHEN 'fr' THEN 'Two words' ELSE source || ' ' || text END AS quote FROM documents),
-    f AS (SELECT doc_id, trim({_FOLD.replace('@', 'quote')}) AS q, trim({_FOLD.replace('@', "('The news ' || text)")}) AS body FROM t)
+    f AS (SELECT doc_id, trim({FOLD.replace('@', 'quote')}) AS q, trim({FOLD.replace('@', "('The news ' || text)")}) AS body FROM t)
     SELECT doc_id, len(string_split(q, ' ')) >= 4 AND contains(body, q) AS supported FROM f""",
 )
 def _supported(spark, folder):
@@ -347,7 +347,7 @@ def _judge(spark, folder):
 
 @query(
     "material_events",
-    f"""WITH {VERDICT_SQL}, m AS (SELECT *, lang <> 'fr' AND impact <> 'neutral' AND len(string_split(trim({_FOLD.replace('@', 'title')}), ' ')) >= 4 AS material FROM verdict)
+    f"""WITH {VERDICT_SQL}, m AS (SELECT *, lang <> 'fr' AND impact <> 'neutral' AND len(string_split(trim({FOLD.replace('@', 'title')}), ' ')) >= 4 AS material FROM verdict)
     SELECT account_id, item_id, material, CASE WHEN material THEN impact END AS direction, CASE WHEN material THEN confidence END AS event_confidence,
       CASE WHEN material THEN title END AS event_text, CASE WHEN material THEN CASE impact WHEN 'risk' THEN 'Spending may fall.' ELSE 'Spending may grow.' END END AS reason_text FROM m""",
 )
@@ -365,7 +365,7 @@ state AS (SELECT 'news:' || doc_id AS item_id, lang AS account_id, TIMESTAMP '20
 
 @query(
     "news_state_upsert",
-    f"""WITH {_STATE_SQL}, {VERDICT_SQL}, m AS (SELECT item_id, account_id, lang <> 'fr' AND impact <> 'neutral' AND len(string_split(trim({_FOLD.replace('@', 'title')}), ' ')) >= 4 AS material FROM verdict)
+    f"""WITH {_STATE_SQL}, {VERDICT_SQL}, m AS (SELECT item_id, account_id, lang <> 'fr' AND impact <> 'neutral' AND len(string_split(trim({FOLD.replace('@', 'title')}), ' ')) >= 4 AS material FROM verdict)
     SELECT item_id, account_id, TIMESTAMP '2024-02-01' AS first_seen_at, CASE WHEN material THEN 'material' ELSE 'neutral' END AS verdict FROM m
     UNION ALL SELECT item_id, account_id, first_seen_at, verdict FROM state WHERE first_seen_at >= TIMESTAMP '2024-02-01' - INTERVAL 21 DAY AND item_id NOT IN (SELECT item_id FROM m)""",
 )
