@@ -118,6 +118,8 @@ JOB_TRACKING_PARAMETERS = "(?i)^(utm_|ref$|source$|gh_)"
 # What counts as a secret in log text.
 SECRET_KEY = r"(?i)(?:authorization|api[-_]?key|credential|cookie|password|private[-_]?key|secret|token)"
 RAW_KEY = r"(?i)(?:body|payload|raw|response|request)"
+# length of a logged message
+MESSAGE_CHARS = 500
 REDACTIONS = [
     (r"(?i)\b(?:bearer|basic)\s+[A-Za-z0-9+/_=.-]+", "[REDACTED]"),
     (r"(?i)((?:[?&]|\b)(?:token|key|secret|password|signature|auth)\s*=\s*)[^&#\s]+", "$1[REDACTED]"),
@@ -141,6 +143,9 @@ NEWS_MAX_EVENTS = 6
 NEWS_JUDGE_BATCH = 10
 NEWS_RETENTION_DAYS = 21
 LEDGER_RETENTION_DAYS = 21
+# days after the last use of a record, and after an account has left the scope
+RECORD_RETENTION_DAYS = 90
+SCOPE_RETENTION_DAYS = 30
 LEDGER_IDS_PER_CALL = 100
 BRIEF_ROW_LIMIT = 25
 RETENTION_COUNTS = {

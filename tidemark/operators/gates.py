@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from tidemark.functions.text import WHITESPACE, as_col, clean, contains_any, ins
 from tidemark.functions.urls import canonical_url, host_in_domains, host_of, origin_of, path_of
 from tidemark.functions.vocabulary import (
     DELIVERED_STATUS,
+    MESSAGE_CHARS,
     RAW_KEY,
     REDACTIONS,
     REPORTED_ID,
@@ -161,12 +166,54 @@ def news_item_gate(items: DataFrame, accounts: DataFrame, start: Column, end: Co
     return prepared.withColumn("reason", reason).drop("account_domains")
 
 
-def redact_text(message: Column | str) -> Column:
-    """Credentials masked, control characters blanked, at most 500 characters."""
+def redact_text(message: Column | str, limit: int = MESSAGE_CHARS) -> Column:
+    """Credentials masked, control characters blanked, at most ``limit`` characters."""
     text = as_col(message)
     for pattern, replacement in REDACTIONS:
         text = F.regexp_replace(text, pattern, replacement)
-    return F.substring(trim_all(text), 1, 500)
+    return F.substring(trim_all(text), 1, limit)
+
+
+def redact_json(details: Column | str, limit: int = MESSAGE_CHARS) -> Column:
+    """JSON text with the rules of :func:`redact_text` and :func:`redact_details` at any depth.
+
+    Under a secret-like or raw-payload-like key the whole value goes, be it text, list or object; every other text is
+    masked, in lists too; numbers, booleans, nulls, and the order of keys stay. Text that is no JSON is masked as a
+    message, NULL stays NULL.
+    """
+    secret, raw = (re.compile(pattern, re.ASCII) for pattern in (SECRET_KEY, RAW_KEY))
+    masks = [(re.compile(pattern, re.ASCII), replacement.replace("$1", r"\1")) for pattern, replacement in REDACTIONS]
+    blank = re.compile(f"^(?:{WHITESPACE})+|(?:{WHITESPACE})+$")
+
+    def message(text: str) -> str:
+        for pattern, replacement in masks:
+            text = pattern.sub(replacement, text)
+        return blank.sub("", text)[:limit]
+
+    def walk(value, key: str = ""):
+        if secret.search(key) or raw.search(key):
+            return "[REDACTED]"
+        if isinstance(value, str):
+            return message(value)
+        if isinstance(value, list):
+            return [walk(item) for item in value]
+        if isinstance(value, dict):
+            return {name: walk(item, name) for name, item in value.items()}
+        return value
+
+    def redacted(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(walk(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return message(text)
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        return texts.map(redacted)
+
+    return mask(as_col(details))
 
 
 def redact_details(details: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -326,46 +326,78 @@ def known_events(state: DataFrame) -> DataFrame:
     return told.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("title", F.col("event_text").alias("what_happened")))).alias("known"))
 
 
+NOT_ASKED = "account_stopped"
+
+
 def judge_batches(
     fresh: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame] = rule_judge, batch_size: int = NEWS_JUDGE_BATCH, state: DataFrame | None = None
 ) -> DataFrame:
-    """Verdicts of a judge function over batches of ten items of one account.
+    """Verdicts of a judge function over batches of ten items of one account, in the items' order.
 
     ``fresh``: account_id, item_id, input_ord, title, publisher, published_at,
-    excerpt. The judge gets one batch as a pandas frame with ``batch_index``; its
-    ``attrs["known_events"]`` lists what the (pruned) ``state`` knows of the account.
+    excerpt. The judge gets one batch as a pandas frame with ``batch_index``; its ``attrs["known_events"]`` lists what
+    the (pruned) ``state`` knows of the account, ``attrs["judged_before"]`` is the account's last batch with its verdicts, or None.
     Each item of a batch gets one row: its first verdict, or none (all NULL) if the
-    judge left it out. A batch whose judge raises yields rows with ``judge_error``.
+    judge left it out. A batch whose judge raises yields rows with the error's name in ``judge_error`` and stops its account:
+    the judge is not asked about later batches, whose rows have ``account_stopped`` there.
+
+    Rows are dealt by account and sorted; a task goes through them once and holds one batch. An account's batches follow
+    each other by this contract, so an account is one task's work, however many items it has.
     """
-    numbered = positions(fresh, "account_id", "input_ord", "item_id")
-    batched = numbered.select(
-        "account_id", "item_id", "title", "publisher", "published_at", "excerpt",
-        F.floor((F.col("position") - 1) / batch_size).alias("batch"),
-        ((F.col("position") - 1) % batch_size).cast("int").alias("batch_index"),
-    )
-    # the list travels with the first item of a batch only
+    # items without an account are those of one
+    who = F.coalesce("account_id", F.lit("\0")).alias("who")
+    plain = fresh.select(who, "account_id", "item_id", "input_ord", "title", "publisher", "published_at", "excerpt")
+    # the list travels with the account's first item only
     nothing = F.lit(None).cast("array<struct<title: string, what_happened: string>>")
     if state is None:
-        batched = batched.withColumn("known", nothing)
+        told = plain.withColumn("known", nothing)
     else:
-        batched = batched.join(known_events(state), "account_id", "left").withColumn("known", F.when(F.col("batch_index") == 0, F.col("known")).otherwise(nothing))
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("batch_index").reset_index(drop=True)
-        known = batch["known"].iloc[0]
-        batch = batch.drop(columns="known")
-        batch.attrs["known_events"] = [] if known is None else [dict(x) if isinstance(x, dict) else x.asDict() for x in known]
-        try:
-            found = judge(batch).drop(columns="account_id", errors="ignore").drop_duplicates("item_id")
-            verdicts = batch[["account_id", "item_id"]].merge(found, on="item_id", how="left")
-            verdicts["judge_error"] = None
-        except Exception as error:
-            verdicts = batch[["account_id", "item_id"]].copy()
-            verdicts["judge_error"] = type(error).__name__
-        plain = verdicts.reindex(columns=VERDICT_COLUMNS).astype(object)
-        return plain.where(plain.notna(), None)
-
-    return batched.groupBy("account_id", "batch").applyInPandas(run, VERDICT_SCHEMA)
+        first = plain.groupBy("account_id").agg(F.min(F.struct("input_ord", "item_id")).alias("f")).join(known_events(state), "account_id")
+        first = first.select("account_id", F.col("f.input_ord").alias("input_ord"), F.col("f.item_id").alias("item_id"), "known")
+        told = plain.join(first, ["account_id", "input_ord", "item_id"], "left")
+
+    def verdicts_of(batch: pd.DataFrame, error: str | None, found: pd.DataFrame | None) -> pd.DataFrame:
+        rows = batch[["account_id", "item_id"]].copy() if found is None else batch[["account_id", "item_id"]].merge(found, on="item_id", how="left")
+        rows["judge_error"] = error
+        rows = rows.reindex(columns=VERDICT_COLUMNS).astype(object)
+        return rows.where(rows.notna(), None)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, known, stopped, before = None, [], False, None
+
+        def ask(batch: pd.DataFrame) -> pd.DataFrame:
+            nonlocal account, known, stopped, before
+            if batch["who"].iloc[0] != account:
+                account, stopped, before = batch["who"].iloc[0], False, None
+                listed = batch["known"].iloc[0]
+                known = [] if listed is None else [dict(x) if isinstance(x, dict) else x.asDict() for x in listed]
+            if stopped:
+                return verdicts_of(batch, NOT_ASKED, None)
+            asked = batch.drop(columns=["who", "known", "input_ord"]).reset_index(drop=True)
+            asked["batch_index"] = range(len(asked))
+            asked.attrs.update(known_events=known, judged_before=before)
+            try:
+                found = judge(asked).drop(columns="account_id", errors="ignore").drop_duplicates("item_id")
+                before = verdicts_of(batch, None, found)
+                return before
+            except Exception as error:
+                stopped = True
+                return verdicts_of(batch, type(error).__name__, None)
+
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            # whole batches go; the last one may go on in the next frame
+            place = held.groupby("who", sort=False).cumcount() // batch_size
+            number = ((held["who"] != held["who"].shift()) | (place != place.shift())).cumsum()
+            # an account's batches are counted from its first held row, so what is held begins with a batch
+            for _, batch in held[number < number.iloc[-1]].groupby(number[number < number.iloc[-1]]):
+                yield ask(batch)
+            held = held[number == number.iloc[-1]].reset_index(drop=True)
+        if held is not None and len(held):
+            yield ask(held)
+
+    return told.repartition("who").sortWithinPartitions("who", "input_ord", "item_id").mapInPandas(run, VERDICT_SCHEMA)
 
 
 def evidence_supported(quote: Column | str, title: Column | str, excerpt: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,9 @@ from tidemark.functions.vocabulary import (
     LEDGER_RETENTION_DAYS,
     REPORTED_ID,
     RETENTION_COUNTS,
+    SCOPE_RETENTION_DAYS,
 )
+from tidemark.session import stored
 
 
 # --- idempotent append -----------------------------------------------------------
@@ -209,6 +212,39 @@ def cascade_delete(children: DataFrame, expired_parents: DataFrame, key: str) ->
     return children.join(expired_parents.select(key).distinct(), key, "left_anti")
 
 
+def retention_policy(records: DataFrame, uses: DataFrame, scope: DataFrame, links: DataFrame, now: Column, days: Mapping[str, int], scope_days: int = SCOPE_RETENTION_DAYS) -> DataFrame:
+    """What the whole policy deletes: (record_id, kind, reason, depth).
+
+    ``records``: record_id, kind, created_at; ``uses``: record_id, used_at; ``scope``: record_id of an account's mapping and
+    left_at, when it left the scope; ``links``: parent_id, child_id, where a child goes with its parent.
+
+    A record goes by ``age`` when its last use (or its creation) is more than ``days`` of its kind ago; kinds without days have
+    no age. A mapping goes by ``scope``, ``scope_days`` after it has left. What is linked to something that goes is ``linked``,
+    at any depth: rounds follow the links from what was found last, until nothing new is found, so there are as many
+    rounds as the longest chain has links, and cycles end. depth counts them; a record is named once, by its first reason.
+    """
+    limit = F.lit(None).cast("int")
+    for kind, count in days.items():
+        limit = F.when(F.col("kind") == kind, F.lit(count)).otherwise(limit)
+    last = uses.groupBy("record_id").agg(F.max("used_at").alias("last_use"))
+    aged = records.join(last, "record_id", "left").withColumn("last_used_at", F.greatest("created_at", "last_use"))
+    old = F.col("last_used_at") < now - F.make_dt_interval(days=limit)
+    left = scope.filter(F.col("left_at") < now - F.make_dt_interval(days=F.lit(scope_days))).select("record_id", F.lit(True).alias("out")).distinct()
+    reason = F.when(F.col("out"), "scope").when(old, "age")
+    judged = stored(aged.join(left, "record_id", "left").select("record_id", "kind", reason.alias("reason")), "judged")
+    found = judged.filter("reason IS NOT NULL").select("record_id", "reason", F.lit(0).alias("depth"))
+    edges = stored(links.select("parent_id", "child_id").distinct(), "links")
+    newest, depth = found, 0
+    while True:
+        depth += 1
+        children = edges.join(newest.select(F.col("record_id").alias("parent_id")), "parent_id", "left_semi").select(F.col("child_id").alias("record_id")).distinct()
+        newest = stored(children.join(found, "record_id", "left_anti").select("record_id", F.lit("linked").alias("reason"), F.lit(depth).alias("depth")), "linked")
+        if newest.isEmpty():
+            break
+        found = found.unionByName(newest)
+    return found.join(records.select("record_id", "kind"), "record_id").select("record_id", "kind", "reason", "depth")
+
+
 # --- delivery ledger ---------------------------------------------------------------
 
 

@@ -313,6 +313,22 @@ def _redact_details(spark, folder):
     return safe.select("conv_id", "turn", F.col("d")["note"].alias("note"), F.col("d")["Api-Key"].alias("api_key"), F.col("d")["rawBody"].alias("raw_body"), F.col("d")["who"].alias("who"))
 
 
+@query(
+    "redact_json",
+    f"""SELECT conv_id, turn, CASE role WHEN 'system' THEN {_REDACT_SQL.replace('@', 'text')} ELSE CAST(json_object('id', conv_id, 'note', {_REDACT_SQL.replace('@', 'text')},
+      'deep', json_object('list', json_array({_REDACT_SQL.replace('@', "(role || ' token=abc')")}, role), 'items', json_array(json_object('apiKey', '[REDACTED]', 'who', role)),
+        'rawBody', '[REDACTED]', 'more', json_object('session_token', '[REDACTED]', 'ok', true, 'none', NULL))) AS VARCHAR) END AS details FROM conversations""",
+)
+def _redact_json(spark, folder):
+    """Details of three levels with secrets on each; the messages of one role are no JSON."""
+    talk = read_table(spark, folder, "conversations", spread=True)
+    item = F.struct(F.array(F.lit("a"), F.col("text")).alias("apiKey"), F.col("role").alias("who"))
+    more = F.struct(F.lit(12).alias("session_token"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("none"))
+    deep = F.struct(F.array(F.concat("role", F.lit(" token=abc")), F.col("role")).alias("list"), F.array(item).alias("items"), F.struct(F.lit("y").alias("x")).alias("rawBody"), more.alias("more"))
+    details = F.to_json(F.struct(F.col("conv_id").alias("id"), F.col("text").alias("note"), deep.alias("deep")), {"ignoreNullFields": "false"})
+    return talk.select("conv_id", "turn", gates.redact_json(F.when(F.col("role") == "system", F.col("text")).otherwise(details)).alias("details"))
+
+
 @query(
     "extract_reported_ids",
     r"""WITH m AS (SELECT conv_id || '-' || turn AS message_id, conv_id, turn, role, length(text) - length(replace(text, chr(10), '')) AS breaks FROM conversations WHERE role <> 'system'),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.vocabulary import RECORD_RETENTION_DAYS
 from tidemark.operators import state
 from tidemark.sources.tables import read_table
 from workload.change_queries import acct
@@ -196,6 +197,43 @@ def _cascade(spark, folder):
     return kept.groupBy("l_suppkey").agg(F.count("*").alias("kept"))
 
 
+@query(
+    "retention_policy",
+    """WITH RECURSIVE line AS (SELECT 'line-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS record_id, l_orderkey, l_shipdate FROM lineitem),
+    rec AS (SELECT 'cust-' || c_custkey AS record_id, 'account' AS kind, NULL::TIMESTAMP AS last_used_at, c_nationkey FROM customer
+      UNION ALL SELECT 'ord-' || o_orderkey, 'run', greatest(o_orderdate, coalesce(last_use, o_orderdate)), NULL FROM orders LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_use FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+      UNION ALL SELECT record_id, 'evidence', l_shipdate, NULL FROM line),
+    links AS (SELECT 'cust-' || o_custkey AS parent_id, 'ord-' || o_orderkey AS child_id FROM orders UNION ALL SELECT 'ord-' || l_orderkey, record_id FROM line
+      UNION ALL SELECT 'line-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'doc-' || l_orderkey FROM lineitem WHERE l_linenumber = 1),
+    all_rec AS (SELECT record_id, kind, last_used_at, c_nationkey FROM rec UNION ALL SELECT 'doc-' || doc_id, 'excerpt', NULL, NULL FROM documents),
+    direct AS (SELECT record_id, CASE WHEN kind = 'account' AND c_nationkey < 12 THEN 'scope' WHEN kind IN ('run', 'evidence') AND last_used_at < TIMESTAMP '2000-06-01' - INTERVAL 90 DAY THEN 'age' END AS reason FROM all_rec),
+    gone(record_id, depth) AS (SELECT record_id, 0 FROM direct WHERE reason IS NOT NULL UNION SELECT child_id, depth + 1 FROM gone JOIN links ON parent_id = record_id),
+    first AS (SELECT record_id, min(depth) AS depth FROM gone GROUP BY ALL)
+    SELECT record_id, kind, CASE WHEN depth = 0 THEN reason ELSE 'linked' END AS reason, depth FROM first JOIN all_rec USING (record_id) JOIN direct USING (record_id)""",
+)
+def _policy(spark, folder):
+    """Mappings of accounts, their runs, the runs' evidence and its excerpts: three levels of links."""
+    customer, orders, lines = (read_table(spark, folder, name) for name in ("customer", "orders", "lineitem"))
+    account, run = F.concat(F.lit("cust-"), F.col("c_custkey")), F.concat(F.lit("ord-"), F.col("o_orderkey"))
+    line = F.concat(F.lit("line-"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    never = F.lit(None).cast("timestamp")
+    records = (
+        customer.select(account.alias("record_id"), F.lit("account").alias("kind"), never.alias("created_at"))
+        .unionByName(orders.select(run.alias("record_id"), F.lit("run").alias("kind"), F.col("o_orderdate").alias("created_at")))
+        .unionByName(lines.select(line.alias("record_id"), F.lit("evidence").alias("kind"), F.col("l_shipdate").alias("created_at")))
+        .unionByName(read_table(spark, folder, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("record_id"), F.lit("excerpt").alias("kind"), never.alias("created_at")))
+    )
+    uses = lines.select(F.concat(F.lit("ord-"), F.col("l_orderkey")).alias("record_id"), F.col("l_shipdate").alias("used_at"))
+    scope = customer.select(account.alias("record_id"), (F.lit("2000-04-20").cast("timestamp") + F.make_dt_interval(days=F.col("c_nationkey"))).alias("left_at"))
+    links = (
+        orders.select(F.concat(F.lit("cust-"), F.col("o_custkey")).alias("parent_id"), run.alias("child_id"))
+        .unionByName(lines.select(F.concat(F.lit("ord-"), F.col("l_orderkey")).alias("parent_id"), line.alias("child_id")))
+        .unionByName(lines.filter("l_linenumber = 1").select(line.alias("parent_id"), F.concat(F.lit("doc-"), F.col("l_orderkey")).alias("child_id")))
+    )
+    days = {"run": RECORD_RETENTION_DAYS, "evidence": RECORD_RETENTION_DAYS}
+    return state.retention_policy(records, uses, scope, links, F.lit("2000-06-01").cast("timestamp"), days)
+
+
 # --- ledger -----------------------------------------------------------------------
 
 
