@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -487,24 +487,20 @@ def news_pending(candidates: DataFrame, limit: int = NEWS_MAX_EVENTS, scan: str
     return first.drop("rn").join(candidates.groupBy(*by).agg(totals), by)
 
 
-def news_scan_summary(watchlist: DataFrame, searches: DataFrame, gated: DataFrame, judged: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Counts and status of one scan.
+def news_scan_summary(watchlist: DataFrame, searches: DataFrame, failures: DataFrame, counts: Mapping[str, int]) -> DataFrame:
+    """Counts and status of one scan, one row.
 
-    ``searches``: account_id, ok; ``gated``: results with ``drop_reason``; ``judged``:
-    novelty rows; ``verdicts``: judged items with ``material`` and ``judge_error``.
+    ``searches``: account_id, ok; ``failures``: account_id, of accounts whose judge failed; ``counts``: what was counted
+    while the scan wrote its tables (results, candidates, already_judged, judged, material).
     """
-    failed = searches.filter("NOT ok").select("account_id").unionByName(verdicts.filter("judge_error IS NOT NULL").select("account_id")).distinct()
-    search = searches.agg(F.count_if(F.col("ok")).alias("searched"))
-    counts = {
-        "total_accounts": watchlist.agg(F.count("*")).scalar(),
-        "failed_accounts": failed.agg(F.count("*")).scalar(),
-        "results": gated.agg(F.count("*")).scalar(),
-        "candidates": gated.agg(F.count_if(F.col("drop_reason").isNull())).scalar(),
-        "already_judged": judged.agg(F.count_if(F.col("novelty") == "already_judged")).scalar(),
-        "judged": verdicts.agg(F.count_if(F.col("judge_error").isNull())).scalar(),
-        "material": verdicts.agg(F.count_if(F.col("material") & F.col("judge_error").isNull())).scalar(),
-    }
-    summary = search.withColumns(counts)
+    failed = searches.filter("NOT ok").select("account_id").unionByName(failures.select("account_id")).distinct()
+    kinds = {"total_accounts": watchlist, "searched": searches.filter("ok"), "failed_accounts": failed}
+    rows = None
+    for kind, frame in kinds.items():
+        part = frame.select(F.lit(kind).alias("kind"))
+        rows = part if rows is None else rows.unionByName(part)
+    summary = rows.agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds])
+    summary = summary.withColumns({name: F.lit(int(counts[name])).cast("bigint") for name in ("results", "candidates", "already_judged", "judged", "material")})
     return summary.withColumn(
         "status", F.when(F.col("searched") == 0, "failed").when(F.col("failed_accounts") > 0, "partial").otherwise("succeeded")
     )

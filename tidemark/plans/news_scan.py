@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from tidemark.operators import news
-from tidemark.session import cut_lineage
+from tidemark.session import stored
 
 
 @dataclass(frozen=True)
@@ -29,17 +30,23 @@ def news_scan(
 ) -> NewsScan:
     """Candidate gate -> novelty -> judge -> material events -> state -> pending events and counts.
 
-    Verdicts are checkpointed: the judge may be slow or costly and must not run
-    again for each of the three results.
+    Verdicts are written: the judge may be slow or costly and must not run again for each of the three results. What is
+    counted is observed while the tables are written, in the same pass.
     """
+    counted = {name: Observation(name) for name in ("gated", "novelty", "verdicts", "material")}
     searched = results.join(searches.filter("ok").select("account_id"), "account_id", "left_semi")
-    gated = cut_lineage(news.news_candidate_gate(searched, watchlist, now))
+    gated = news.news_candidate_gate(searched, watchlist, now)
+    gated = stored(gated.observe(counted["gated"], F.count("*").alias("results"), F.count_if(F.col("drop_reason").isNull()).alias("candidates")), "gated")
     candidates = gated.filter("drop_reason IS NULL")
-    novelty = cut_lineage(news.news_novelty(candidates, news.prune_news_state(state, now)))
+    known = news.prune_news_state(state, now)
+    novelty = news.news_novelty(candidates, known)
+    novelty = stored(novelty.observe(counted["novelty"], F.count_if(F.col("novelty") == "already_judged").alias("already_judged")), "novelty")
     fresh = novelty.filter("novelty = 'fresh'").withColumnRenamed("candidate_url", "link").drop("novelty", "drop_reason", "url").withColumnRenamed("link", "url")
-    verdicts = cut_lineage(news.judge_batches(fresh, judge, state=news.prune_news_state(state, now)))
+    verdicts = news.judge_batches(fresh, judge, state=known)
+    verdicts = stored(verdicts.observe(counted["verdicts"], F.count_if(F.col("judge_error").isNull()).alias("judged")), "verdicts")
     judged = news.material_events(verdicts, fresh)
-    counted = verdicts.select("account_id", "item_id", "judge_error").join(judged.select("account_id", "item_id", "material"), ["account_id", "item_id"], "left")
+    judged = stored(judged.observe(counted["material"], F.count_if(F.col("material")).alias("material")), "judged")
     new_state = news.news_state_upsert(state, judged, now)
     pending = news.news_pending(news.pending_candidates(new_state, reported, watchlist, now))
-    return NewsScan(new_state, pending, news.news_scan_summary(watchlist, searches, gated, novelty, counted))
+    counts = {name: value for observation in counted.values() for name, value in observation.get.items()}
+    return NewsScan(new_state, pending, news.news_scan_summary(watchlist, searches, verdicts.filter("judge_error IS NOT NULL"), counts))

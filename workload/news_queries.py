@@ -391,7 +391,25 @@ def _pending(spark, folder):
     return found.select("account_id", "item_id", "account_name", "first_seen_at", "event_confidence", "carried_over", "pending_beyond_limit")
 
 
-@query("news_scan_summary")
+@query(
+    "news_scan_summary",
+    f"""WITH RECURSIVE {CANDIDATES_SQL},
+    found AS (SELECT * FROM candidate WHERE source <> 'src7'),
+    worded AS (SELECT doc_id, source, lang, title, excerpt, list_sort(list_distinct(list_filter(string_split({FOLD.replace('@', 'title')}, ' '), lambda w: length(w) > 3))) AS words
+      FROM found WHERE drop_reason IS NULL),
+    open AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM worded),
+    walk AS (SELECT DISTINCT source, 0::BIGINT AS rn, NULL::BIGINT AS doc_id, NULL::BOOLEAN AS kept, []::VARCHAR[][] AS taken FROM open
+      UNION ALL SELECT source, rn, doc_id, NOT hit, CASE WHEN hit OR len(words) < 3 THEN taken ELSE list_append(taken, words) END FROM (
+        SELECT o.source, o.rn, o.doc_id, o.words, taken, len(o.words) >= 3 AND len(list_filter(taken, lambda t: len(list_intersect(t, o.words)) / least(len(t), len(o.words))::DOUBLE >= 0.7)) > 0 AS hit
+        FROM walk w JOIN open o ON o.source = w.source AND o.rn = w.rn + 1)),
+    fresh AS (SELECT doc_id, lang, title, lower(title || ' ' || excerpt) AS low FROM walk JOIN worded USING (doc_id) WHERE kept),
+    judged AS (SELECT lang <> 'fr' AND regexp_matches(low, '{news.RISK_WORDS}|{news.OPPORTUNITY_WORDS}') AND len(string_split(trim({FOLD.replace('@', 'title')}), ' ')) >= 4 AS material FROM fresh),
+    account AS (SELECT DISTINCT source FROM documents)
+    SELECT (SELECT count(*) FROM account) AS total_accounts, (SELECT count(*) FROM account WHERE source <> 'src7') AS searched, (SELECT count(*) FROM account WHERE source = 'src7') AS failed_accounts,
+      (SELECT count(*) FROM found) AS results, (SELECT count(*) FROM found WHERE drop_reason IS NULL) AS candidates, 0::BIGINT AS already_judged,
+      (SELECT count(*) FROM judged) AS judged, (SELECT count(*) FROM judged WHERE material) AS material,
+      CASE WHEN (SELECT count(*) FROM account WHERE source = 'src7') > 0 THEN 'partial' ELSE 'succeeded' END AS status""",
+)
 def _scan(spark, folder):
     """One whole scan: gate, novelty, judgement, state, pending events, summary."""
     results, watched = search_results(spark, folder), watchlist(spark, folder)
