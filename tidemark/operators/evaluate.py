@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vocabulary import SIGNAL_CATEGORIES
@@ -118,3 +119,29 @@ def pilot_evaluate(signals: DataFrame, labels: DataFrame, config: PilotConfig =
 
 def pilot_sweep(signals: DataFrame, labels: DataFrame, configs: list[PilotConfig], source_failures: int = 0, **options) -> DataFrame:
     return pilot_metrics(pilot_cases(signals, labels, configs, **options), source_failures)
+
+
+def pilot_thresholds(signals: DataFrame, labels: DataFrame, thresholds: Sequence[float], config: PilotConfig = PilotConfig(), source_failures: int = 0, **options) -> DataFrame:
+    """The metrics of one configuration at each of many thresholds, from one review.
+
+    A case is selected at all thresholds up to its score, so cases are counted once by the highest threshold they reach,
+    and counts add up from the highest one down. The last step handles one row a threshold, however many cases there are.
+    """
+    marks = sorted({float(t) for t in thresholds})
+    cases = pilot_cases(signals, labels, [replace(config, threshold=0.0)], **options)
+    by_score = cases.groupBy("score").agg(F.count_if(F.col("relevant")).alias("hits"), F.count("*").alias("cases"))
+    reached = F.size(F.filter(F.lit(marks), lambda t: t <= F.col("score")))
+    steps = by_score.groupBy(F.when(F.col("score").isNull(), 0).otherwise(reached).alias("step")).agg(F.sum("hits").alias("hits"), F.sum("cases").alias("cases"))
+    every = signals.sparkSession.range(len(marks) + 1).select(F.col("id").cast("int").alias("step")).join(steps, "step", "left").fillna(0)
+    all_steps = Window.orderBy(F.desc("step"))
+    upward = all_steps.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = all_steps.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = every.select(
+        "step", F.sum("hits").over(upward).alias("true_positives"), F.sum(F.col("cases") - F.col("hits")).over(upward).alias("false_positives"),
+        F.sum("hits").over(whole).alias("relevant"), F.sum("cases").over(whole).alias("evaluated_cases"),
+    ).filter("step > 0")
+    hits, misses = F.col("true_positives"), F.col("relevant") - F.col("true_positives")
+    return counts.select(
+        F.lit(config.name).alias("config"), F.element_at(F.lit(marks), F.col("step")).alias("threshold"), "true_positives", "false_positives", misses.alias("misses"), "evaluated_cases",
+        ratio(hits, hits + F.col("false_positives")).alias("precision"), ratio(hits, hits + misses).alias("coverage"), F.lit(source_failures).cast("bigint").alias("source_failures"),
+    )

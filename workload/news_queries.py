@@ -24,19 +24,20 @@ def located_documents(spark, folder):
     docs = read_table(spark, folder, "documents", spread=True)
     own = F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.org/"), F.col("doc_id"))
     return docs.join(pages, F.col("page_id") == F.col("doc_id"), "left").select(
-        F.col("doc_id").alias("page_id"), F.coalesce("page_url", own).alias("url"), "lang", "source", "text"
+        F.col("doc_id").alias("page_id"), F.coalesce("page_url", own).alias("url"), "lang", "source", "text", "n_chars"
     )
 
 
 def news_items(spark, folder):
-    """documents as excerpts, at the page of the same id or one of their source; the account is the site without its usual prefix."""
+    """documents as excerpts, at the page of the same id or one of their source; the account is the site without its usual prefix.
+    Times are spread by the length of the text, so that the same share of all documents lies in the window at any size."""
     site = F.regexp_replace(F.regexp_extract("url", "^https?://([^/?#]*)", 1), r"^(www|blog|m)\.", "")
     return located_documents(spark, folder).select(
         F.col("page_id").alias("item_id"), F.col("page_id").alias("input_ord"),
         F.when(F.col("source") == "src3", "elsewhere.example").otherwise(site).alias("account_id"),
         F.col("url").alias("source_url"), F.lit(None).cast("string").alias("canonical_url"),
         F.concat(phrase(F.col("page_id")), F.lit(" "), F.col("source")).alias("title"), F.col("text").alias("excerpt"),
-        F.when(F.col("lang") != "es", ts("2024-01-01") + F.make_dt_interval(hours=F.col("page_id").cast("int"))).alias("published_at"),
+        F.when(F.col("lang") != "es", ts("2024-01-01") + F.make_dt_interval(hours=(F.col("n_chars") % 600).cast("int"))).alias("published_at"),
         F.when(F.col("lang") == "fr", "  ").otherwise(F.concat(F.lit("Author "), F.col("source"))).alias("author"),
         F.when(F.col("source") == "src5", "video").when(F.col("source") == "src6", "post").otherwise("article").alias("kind"),
     )
@@ -56,8 +57,8 @@ def _contains(column, terms):
 NEWS_ITEMS_SQL = f"""
 item AS (SELECT page_id AS item_id, url, lang, source, text,
     regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^(www|blog|m)\\.', '') AS site, {sql_phrase('page_id')} || ' ' || source AS title,
-    TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INT)) AS published_at
-  FROM (SELECT doc_id AS page_id, coalesce(url, 'https://www.' || source || '.example.org/' || doc_id) AS url, lang, source, text FROM documents LEFT JOIN pages ON page_id = doc_id)),
+    TIMESTAMP '2024-01-01' + to_hours(CAST(n_chars % 600 AS INT)) AS published_at
+  FROM (SELECT doc_id AS page_id, coalesce(url, 'https://www.' || source || '.example.org/' || doc_id) AS url, lang, source, text, n_chars FROM documents LEFT JOIN pages ON page_id = doc_id)),
 gated AS (SELECT *, CASE WHEN NOT starts_with(url, 'https:') OR lang = 'es' OR source = 'src5' THEN 'malformed' WHEN lang = 'fr' THEN 'unattributed'
     WHEN source = 'src3' THEN 'not_first_party' WHEN published_at < TIMESTAMP '2024-01-02' OR published_at > TIMESTAMP '2024-01-20' THEN 'outside_window'
     WHEN NOT {_contains("lower(title || ' ' || text)", TECHNOLOGY_TERMS)} THEN 'irrelevant' ELSE 'accepted' END AS reason FROM item)"""

@@ -151,6 +151,21 @@ def _sweep(spark, folder):
     return evaluate.pilot_sweep(signals(spark, folder), pilot_labels(spark, folder), SWEEP, 2, normalize=False)
 
 
+THRESHOLDS = [k / 5 for k in range(500)]
+
+
+@query(
+    "pilot_thresholds",
+    f"""WITH {_pilot_sql([SWEEP[0]])},
+    mark AS (SELECT i::DOUBLE / 5 AS threshold FROM range(500) t(i)),
+    counted AS (SELECT 'default' AS config, m.threshold, count(*) FILTER (relevant AND score >= m.threshold) AS true_positives, count(*) FILTER (NOT relevant AND score >= m.threshold) AS false_positives,
+      count(*) FILTER (relevant AND coalesce(score < m.threshold, true)) AS misses, count(*) AS evaluated_cases FROM judged, mark m GROUP BY ALL)
+    {_METRIC_SQL.replace('FROM metric', 'FROM counted')}""",
+)
+def _thresholds(spark, folder):
+    return evaluate.pilot_thresholds(signals(spark, folder), pilot_labels(spark, folder), THRESHOLDS, SWEEP[0], 2, normalize=False)
+
+
 # --- external rollup ----------------------------------------------------------------------
 
 
