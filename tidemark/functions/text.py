@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -46,8 +46,7 @@ def computed(df: DataFrame, fields: Column) -> DataFrame:
 def _utf8_normalizer(form: str):
     @F.arrow_udf(StringType())
     def normalize(values: pa.Array) -> pa.Array:
-        texts = values.to_pylist()
-        return pa.array([t if t is None else unicodedata.normalize(form, t) for t in texts], pa.string())
+        return pc.utf8_normalize(values, form).cast(pa.string())
 
     return normalize
 

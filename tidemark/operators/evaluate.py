@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vocabulary import SIGNAL_CATEGORIES
 from tidemark.operators import ranking
 from tidemark.operators.runs import ratio
-from tidemark.session import cut_lineage
+from tidemark.session import stored
 
 # Labels of the signal categories.
 CATEGORY_LABELS = {
@@ -64,7 +64,7 @@ def pilot_cases(signals: DataFrame, labels: DataFrame, configs: list[PilotConfig
     represents an event of a kept opportunity at or above the threshold. Unselected
     irrelevant cases are called ``true_negative`` and count in no metric.
     """
-    events = cut_lineage(ranking.event_dedupe(signals, normalize))
+    events = stored(ranking.event_dedupe(signals, normalize), "events")
     as_of = ranking.newest_observation(signals) if as_of is None else as_of
     ranked = sweep_opportunities(ranking.opportunity_features(events), configs, as_of).filter("retained AND enabled")
     cases = labels.join(signals.select("signal_id", "category"), "signal_id")

@@ -40,14 +40,36 @@ def careers_rollup(accounts: DataFrame, fetches: DataFrame, records: DataFrame,
     )
 
 
-def careers_items(changes: DataFrame, observed_at, limit: int = MAX_ITEMS_PER_ACCOUNT) -> DataFrame:
-    """The most recent changed postings of each account; the limit applies before the shuffle."""
+def careers_items(changes: DataFrame, observed_at, baselines: DataFrame | None = None, limit: int = MAX_ITEMS_PER_ACCOUNT, normalize: bool = True) -> DataFrame:
+    """The most recent changed postings of each account; the limit applies before the shuffle.
+
+    Those shown are classified (``relevant``, ``rationale``). With ``baselines``, the accounts with earlier records,
+    ``first_observed`` tells the postings of accounts seen for the first time.
+    """
     job = F.coalesce("after", "before")
     items = changes.filter("change <> 'unchanged'").select("account_id", "job_id", "change", job.alias("job")).select(
         "account_id", "job_id", "change", "job.*"
     )
     order = Window.partitionBy("account_id").orderBy(F.desc(F.coalesce("posted_at", observed_at)), "job_id")
-    return items.withColumn("item_rank", F.row_number().over(order)).filter(F.col("item_rank") <= limit)
+    shown = items.withColumn("item_rank", F.row_number().over(order)).filter(F.col("item_rank") <= limit)
+    shown = job_classify(shown.withColumn("description", F.lit(None).cast("string")), normalize=normalize).drop("description", "score", "matched_terms")
+    if baselines is None:
+        return shown
+    based = baselines.select("account_id", F.lit(True).alias("based")).distinct()
+    return shown.join(based, "account_id", "left").withColumn("first_observed", F.col("based").isNull()).drop("based")
+
+
+def news_items_shown(items: DataFrame, limit: int = MAX_ITEMS_PER_ACCOUNT) -> DataFrame:
+    """The first collected news items of each account: title, url, excerpt, author, published_at, kind and their rank.
+
+    ``items``: account_id, input_ord, title, url, excerpt, author, published_at, observed_at, kind. Missing texts are
+    empty, a missing time of publication is that of the observation, and whatever is no company post is an article.
+    """
+    order = Window.partitionBy("account_id").orderBy("input_ord", "url")
+    shown = items.withColumn("item_rank", F.row_number().over(order)).filter(F.col("item_rank") <= limit)
+    filled = [F.coalesce(name, F.lit("")).alias(name) for name in ("title", "url", "excerpt", "author")]
+    kind = F.when(F.col("kind") == "company_post", "post").otherwise("article").alias("kind")
+    return shown.select("account_id", "item_rank", *filled, F.coalesce("published_at", "observed_at").alias("published_at"), kind)
 
 
 def news_rollup(accounts: DataFrame, items: DataFrame, failures: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import as_col, clean, contains_any, let
-from tidemark.session import cut_lineage
+from tidemark.session import stored
 from tidemark.functions.vocabulary import (
     CATEGORY_THEMES,
     HIRING_THEME_WORDS,
@@ -292,7 +292,7 @@ def finding_score() -> Column:
 
 def findings(signals: DataFrame, config: RankingConfig = RankingConfig(), as_of: Column | None = None, normalize: bool = True) -> DataFrame:
     """Representatives of the retained opportunities, with their score and source URL."""
-    events = cut_lineage(event_dedupe(signals, normalize))
+    events = stored(event_dedupe(signals, normalize), "events")
     as_of = newest_observation(signals) if as_of is None else as_of
     ranked = rank_opportunities(opportunity_score(opportunity_features(events), config, as_of), config)
     kept = events.join(ranked.filter("retained").select("account_id", "theme", "opportunity_id"), ["account_id", "theme"])
@@ -322,7 +322,7 @@ def digest_findings(found: DataFrame, limit: int = MAX_DIGEST_ACCOUNTS) -> DataF
     of the few that are shown comes from counting findings before each of them,
     so no global sort or single-partition window is needed.
     """
-    found = cut_lineage(found.select("account_id", "signal_id", "account_name", "title", "severity", "finding_score", "observed_at", "url"))
+    found = stored(found.select("account_id", "signal_id", "account_name", "title", "severity", "finding_score", "observed_at", "url"), "findings")
     best = (
         found.filter(F.col("url").isNotNull())
         .groupBy("account_id")
@@ -361,7 +361,3 @@ def digest_totals(found: DataFrame, limit: int = MAX_DIGEST_ACCOUNTS, total_acco
         "covered_accounts", total.cast("bigint").alias("total_accounts"), "shown",
         (F.col("linked_findings") - F.col("shown")).alias("further_findings"), "unlinked_findings", F.lit(label).alias("status_label"),
     )
-
-
-def with_config(config: RankingConfig, **changes) -> RankingConfig:
-    return replace(config, **changes)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vocabulary import JOB_TAXONOMY, NON_IT_TERMS
 from tidemark.operators import changes
-from tidemark.session import cut_lineage
+from tidemark.session import stored
 from tidemark.sources.tables import read_table
 from workload.registry import query
-from workload.views import phrase, sql_iso, sql_phrase, sql_stable_id
+from workload.views import QUARANTINE, phrase, sql_iso, sql_phrase, sql_stable_id
 
 
 def acct(column: str):
@@ -300,7 +300,7 @@ fresh AS (SELECT * FROM keyed k WHERE l_returnflag IN ('R', 'N') AND account_id
 
 def _fresh_jobs(spark, folder):
     # identified once and written; both snapshots are read from there
-    rows = cut_lineage(changes.with_job_identity(postings(spark, folder), normalize=False))
+    rows = stored(changes.with_job_identity(postings(spark, folder), normalize=False), "postings")
     previous = previous_postings(rows)
     return changes.new_jobs(current_postings(rows), previous, previous.select("account_id"))
 
@@ -320,7 +320,7 @@ def _classified_sql(source: str) -> str:
     score = " + ".join(f"CASE WHEN {_sql_has('txt', words)} THEN {weight} ELSE 0 END" for _, words, weight in JOB_TAXONOMY)
     return f"""
     texted AS (SELECT *, ' ' || lower(title || ' ' || department || ' ' || description) || ' ' AS txt FROM {source}),
-    tested AS (SELECT *, regexp_matches(txt, 'ignore\\s+(all\\s+)?(previous|prior|above)\\s+instructions?|reveal\\s+(your|the)\\s+(prompt|instructions?)') AS suspicious,
+    tested AS (SELECT *, regexp_matches(txt, '{QUARANTINE}') AS suspicious,
       least(100, {score}) AS raw_score, {_sql_has('txt', NON_IT_TERMS)} AS non_it, {matched} AS found FROM texted),
     classified AS (SELECT *, CASE WHEN suspicious THEN 0 ELSE raw_score END AS score, NOT suspicious AND NOT non_it AND raw_score >= 20 AS relevant,
       CASE WHEN suspicious THEN '' ELSE array_to_string(found, ', ') END AS terms FROM tested),

@@ -9,7 +9,7 @@ from tidemark.operators import gates, news, stories
 from tidemark.plans.news_scan import news_scan
 from tidemark.sources.tables import read_table
 from workload.registry import query
-from workload.views import phrase, sql_iso, sql_phrase, sql_stable_id
+from workload.views import QUARANTINE, phrase, sql_iso, sql_phrase, sql_stable_id
 
 
 def ts(text: str):
@@ -121,7 +121,7 @@ def _classify_sql() -> str:
       SELECT *, list_sort(list_transform(list_filter([{entries}], lambda h: h.n > 0), lambda h: {{'r': -h.n, 'cat': h.cat, 'label': h.label, 'words': h.words, 'n': h.n}})) AS hits
       FROM (SELECT *, lower(txt) AS low FROM texted))),
     sure AS (SELECT *, least(0.99::DOUBLE, 0.45::DOUBLE + n * 0.16::DOUBLE + CASE WHEN n > n2 THEN 0.08::DOUBLE ELSE 0 END) AS conf FROM classified),
-    judged AS (SELECT *, coalesce(conf >= 0.7 AND NOT regexp_matches(txt, '(?i)ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions?|reveal\s+(?:your|the)\s+(?:prompt|instructions?)'), false) AS ok,
+    judged AS (SELECT *, coalesce(conf >= 0.7 AND NOT regexp_matches(txt, '{QUARANTINE}'), false) AS ok,
       greatest(1, instr(low, best.words[1]) - 100) AS start_at FROM sure)"""
 
 
@@ -149,7 +149,7 @@ _SIG_ID = sql_stable_id("signal", "account_id", "'it_company_news'", "'company_n
     "news_signals",
     f"""WITH {_TEXTED}, {_classify_sql()},
     placed AS (SELECT *, 'acct-' || lang AS account_id, doc_id IN (SELECT doc_id FROM labels) AS stored,
-      source NOT IN ('src1', 'src2') AND NOT regexp_matches(txt, '(?i)ignore\\s+(?:all\\s+)?(?:previous|prior|above)\\s+instructions?|reveal\\s+(?:your|the)\\s+(?:prompt|instructions?)') AS persistable FROM judged),
+      source NOT IN ('src1', 'src2') AND NOT regexp_matches(txt, '{QUARANTINE}') AS persistable FROM judged),
     out AS (SELECT *, CASE WHEN NOT persistable THEN 'suppressed' WHEN stored THEN 'skipped_existing' WHEN NOT ok THEN 'unclassified' ELSE 'signal' END AS outcome FROM placed)
     SELECT account_id, doc_id AS item_id, outcome, CASE WHEN outcome IN ('signal', 'unclassified') THEN {_OBS_ID} END AS observation_id,
       CASE WHEN outcome = 'signal' THEN {_SIG_ID} END AS signal_id, CASE WHEN outcome = 'signal' THEN best.cat END AS news_category,

@@ -210,20 +210,49 @@ def _external(spark, folder):
     return _rollup(spark, folder)
 
 
-@query("external_status", f"WITH {ROLLUP_SQL} SELECT 'partial' AS careers_status, 'partial' AS news_status, count(*) AS accounts, 'partial' AS status FROM careers")
+@query(
+    "external_status",
+    f"""WITH {ROLLUP_SQL}, each AS (
+      SELECT CASE WHEN count(*) FILTER (careers_status NOT IN ('unsupported', 'unavailable')) = 0 THEN 'unavailable' WHEN count(*) FILTER (careers_status <> 'succeeded') > 0 THEN 'partial' ELSE 'succeeded' END AS careers_status,
+        CASE WHEN count(*) FILTER (news_status <> 'succeeded') > 0 THEN 'partial' ELSE 'succeeded' END AS news_status, count(*) AS accounts FROM careers JOIN news USING (account_id))
+    SELECT *, CASE WHEN careers_status = 'unavailable' AND news_status = 'unavailable' THEN 'unavailable' WHEN careers_status <> 'succeeded' OR news_status <> 'succeeded' THEN 'partial' ELSE 'succeeded' END AS status FROM each""",
+)
 def _external_status(spark, folder):
     return external.external_status(_rollup(spark, folder))
 
 
 @query(
     "external_items",
-    f"""WITH {ROLLUP_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY coalesce(posted_at, TIMESTAMP '1998-01-01') DESC, job_id) AS item_rank FROM diff WHERE change <> 'unchanged')
-    SELECT account_id, job_id, change, title, posted_at, item_rank FROM placed WHERE item_rank <= 10""",
+    f"""WITH {ROLLUP_SQL}, placed AS (SELECT diff.*, coalesce(c.department, p.department) AS department, '' AS description, diff.account_id NOT IN (SELECT account_id FROM prev) AS first_observed,
+        row_number() OVER (PARTITION BY diff.account_id ORDER BY coalesce(diff.posted_at, TIMESTAMP '1998-01-01') DESC, diff.job_id) AS item_rank
+      FROM diff LEFT JOIN curr_last c USING (account_id, job_id) LEFT JOIN prev_last p USING (account_id, job_id) WHERE change <> 'unchanged'),
+    shown AS (SELECT * FROM placed WHERE item_rank <= 10), {_classified_sql('shown').replace('texted', 'shown_texted').replace('tested', 'shown_tested').replace('classified', 'shown_classified').replace('reasoned', 'shown_reasoned')}
+    SELECT account_id, job_id, change, title, posted_at, item_rank, relevant, rationale, first_observed FROM shown_reasoned""",
 )
 def _items(spark, folder):
-    _, _, diff, _ = _collections(spark, folder)
-    found = external.careers_items(diff, F.lit("1998-01-01").cast("timestamp"))
-    return found.select("account_id", "job_id", "change", "title", "posted_at", F.col("item_rank").cast("bigint").alias("item_rank"))
+    _, _, diff, previous = _collections(spark, folder)
+    found = external.careers_items(diff, F.lit("1998-01-01").cast("timestamp"), previous.select("account_id"), normalize=False)
+    return found.select("account_id", "job_id", "change", "title", "posted_at", F.col("item_rank").cast("bigint").alias("item_rank"), "relevant", "rationale", "first_observed")
+
+
+@query(
+    "external_news_items",
+    f"""SELECT 'acct-' || source AS account_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS item_rank, {sql_phrase('doc_id')} AS title, 'https://news.example.net/' || doc_id AS url,
+      coalesce(text, '') AS excerpt, CASE WHEN lang = 'fr' THEN '' ELSE 'Author ' || lang END AS author,
+      CASE WHEN lang = 'de' THEN TIMESTAMP '2024-01-20' ELSE TIMESTAMP '2024-01-01' + to_hours(CAST(n_chars % 600 AS INT)) END AS published_at, CASE WHEN source = 'src6' THEN 'post' ELSE 'article' END AS kind
+    FROM documents QUALIFY item_rank <= 10""",
+)
+def _news_items(spark, folder):
+    """The ten news items that are shown of each account, whole texts as excerpts."""
+    docs = read_table(spark, folder, "documents")
+    items = docs.select(
+        F.concat(F.lit("acct-"), F.col("source")).alias("account_id"), F.col("doc_id").alias("input_ord"), phrase(F.col("doc_id")).alias("title"),
+        F.concat(F.lit("https://news.example.net/"), F.col("doc_id")).alias("url"), F.col("text").alias("excerpt"),
+        F.when(F.col("lang") != "fr", F.concat(F.lit("Author "), F.col("lang"))).alias("author"),
+        F.when(F.col("lang") != "de", F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("n_chars") % 600).cast("int"))).alias("published_at"),
+        F.lit("2024-01-20").cast("timestamp").alias("observed_at"), F.when(F.col("source") == "src6", "company_post").otherwise("article").alias("kind"),
+    )
+    return external.news_items_shown(items).withColumn("item_rank", F.col("item_rank").cast("bigint"))
 
 
 # --- feeds --------------------------------------------------------------------------------

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.vocabulary import INSTRUCTION_PATTERNS
 from tidemark.sources.tables import read_table
 
+# all patterns of instruction-like text, inside an SQL string
+QUARANTINE = "|".join(INSTRUCTION_PATTERNS).replace("'", "''")
+
 # Titles of model records; the prose of the given tables has no such vocabulary.
 PHRASES = [
     "Cloud migration to kubernetes and serverless finished",
