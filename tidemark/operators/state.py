@@ -146,51 +146,50 @@ def checkpoint_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 # --- retention --------------------------------------------------------------------
 
 
-def newest_per_collection(records: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """Exactly the newest N records of each collection.
-
-    ``records``: collection, record_id, order_key (BIGINT, larger is newer). The
-    cut is found like an n-th element: counts per coarse slice of the order key,
-    then finer slices of the slice where the limit falls, down to slices of equal
-    keys and of hashed ids. Each step is one aggregate with few result rows; no
-    task ever sorts a collection. Equal keys are kept by the hash of their id.
+#: A histogram slice of order keys that are microseconds: a second. Slices are counted by the day first.
+SLICE_WIDTH = 1_000_000
+SLICES_A_DAY = 86_400
+#: Parts in which the rows of the slice at the cut are ranked before they are ranked together.
+CUT_PARTS = 256
+
+
+def newest_per_collection(records: DataFrame, limits: Mapping[str, int] | None = None, widths: Mapping[str, int] | None = None) -> DataFrame:
+    """Exactly the newest N records of each collection, in two scans.
+
+    ``records``: collection, record_id, order_key (BIGINT, larger is newer; NULL is the oldest); ``widths``: order keys a
+    slice, for collections whose keys are no microseconds. The first scan counts rows by slice, combined on the map side;
+    in that small table the limit is found in a day and then in a slice. The second scan keeps what is newer
+    than the slice, and ranks what is in it: in parts, each cut to what is still wanted, and those together. No task sorts
+    a collection, even if all its rows have one key. Equal keys are kept by the hash of their id.
     """
     limits = RETENTION_COUNTS if limits is None else limits
-    quota = F.lit(None).cast("bigint")
+    wanted, width = F.lit(None).cast("bigint"), F.lit(SLICE_WIDTH)
     for name, limit in limits.items():
-        quota = F.when(F.col("collection") == name, F.lit(limit).cast("bigint")).otherwise(quota)
-    digest = F.md5("record_id")
-    slices = {
-        "s_day": -F.floor(F.col("order_key") / 86_400_000_000),
-        "s_second": -F.floor(F.col("order_key") / 1_000_000),
-        "s_key": -F.col("order_key"),
-        "s_hash": F.substring(digest, 1, 4),
-    }
-    keyed = records.filter(F.col("collection").isin(*limits)).withColumns(slices)
-    cut: DataFrame | None = None
-    levels: list[str] = []
-    for level in slices:
-        scope = keyed.withColumn("quota", quota) if cut is None else keyed.join(F.broadcast(cut), ["collection", *levels])
-        levels.append(level)
-        counts = scope.groupBy("collection", *levels, "quota").agg(F.count("*").alias("n"))
+        wanted = F.when(F.col("collection") == name, F.lit(limit).cast("bigint")).otherwise(wanted)
+        width = F.when(F.col("collection") == name, F.lit((widths or {}).get(name, SLICE_WIDTH))).otherwise(width)
+    key = F.coalesce("order_key", F.lit(-(2**62)))
+    keyed = records.filter(F.col("collection").isin(*limits)).withColumn("slice", -F.floor(key / width))
+    slices = stored(keyed.groupBy("collection", "slice").agg(F.count("*").alias("n")), "slices").withColumn("day", F.floor(F.col("slice") / SLICES_A_DAY))
+
+    def first_reached(counts: DataFrame, level: str) -> DataFrame:
+        """The step in which a collection reaches its quota, and how many of its rows are wanted."""
         running = F.sum("n").over(Window.partitionBy("collection").orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         reached = counts.withColumn("upto", running).filter(F.col("upto") >= F.col("quota"))
-        first = F.min(F.struct(*levels, (F.col("quota") - F.col("upto") + F.col("n")).alias("quota")))
-        # one row per limited collection by construction, so the broadcast is bounded by the number of limits
-        cut = reached.groupBy("collection").agg(first.alias("c")).select("collection", "c.*")
-    place = F.struct(*levels)
-    bound = cut.select("collection", place.alias("cut_place"), "quota")
-    judged = keyed.join(F.broadcast(bound), "collection", "left").withColumn("place", place)
-    before = judged.filter(F.col("cut_place").isNull() | (F.col("place") < F.col("cut_place"))).select(*records.columns)
-    # rows at the cut share their key and four hash digits: 1/65536 of the rows of one instant
-    order = Window.partitionBy("collection").orderBy(digest, "record_id")
-    inside = (
-        judged.filter(F.col("place") == F.col("cut_place"))
-        .withColumn("rn", F.row_number().over(order))
-        .filter(F.col("rn") <= F.col("quota"))
-        .select(*records.columns)
-    )
-    return before.unionByName(inside)
+        step = F.min(F.struct(level, (F.col("quota") - F.col("upto") + F.col("n")).alias("quota")))
+        return reached.groupBy("collection").agg(step.alias("c")).select("collection", "c.*")
+
+    days = slices.groupBy("collection", "day").agg(F.sum("n").alias("n")).withColumn("quota", wanted)
+    inside = slices.join(first_reached(days, "day"), ["collection", "day"]).select("collection", "slice", "n", "quota")
+    # one row per limited collection, so the broadcast is bounded by the number of limits
+    cut = stored(first_reached(inside, "slice").withColumnRenamed("slice", "cut"), "cut")
+
+    near = keyed.join(F.broadcast(cut), "collection", "left").filter(F.col("cut").isNull() | (F.col("slice") <= F.col("cut")))
+    near = near.withColumns({"at": F.coalesce(F.col("slice") == F.col("cut"), F.lit(False)), "part": F.pmod(F.xxhash64("record_id"), F.lit(CUT_PARTS)), "digest": F.md5("record_id"), "key": key})
+    order = [F.desc("key"), "digest", "record_id"]
+    for parts in (["part"], [F.when(F.col("at"), 0).otherwise(F.col("part"))]):
+        rank = F.row_number().over(Window.partitionBy("collection", "at", *parts).orderBy(*order))
+        near = near.withColumn("rank", rank).filter(~F.col("at") | (F.col("rank") <= F.col("quota")))
+    return near.select(*records.columns)
 
 
 def retention_by_age(records: DataFrame, uses: DataFrame, now: Column, days: int = 90) -> DataFrame:

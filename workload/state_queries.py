@@ -166,7 +166,8 @@ def _retain_count(spark, folder):
         .unionByName(part("events", "checkpoints", F.concat(F.lit("event-"), F.col("event_id")), F.unix_micros("ts")))
     )
     limits = {"accounts": 1_000, "runs": 1_000, "signals": 50_000, "snapshots": 10_000, "checkpoints": 5_000}
-    return state.newest_per_collection(records, limits)
+    # ids count by ones, times by microseconds
+    return state.newest_per_collection(records, limits, {"accounts": 1, "snapshots": 1})
 
 
 AGE_SQL = """
