@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -46,7 +47,10 @@ def computed(df: DataFrame, fields: Column) -> DataFrame:
 def _utf8_normalizer(form: str):
     @F.arrow_udf(StringType())
     def normalize(values: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(values, form).cast(pa.string())
+        # Arrow's own kernel leaves NFKC decomposed, so the Unicode database does it, once for each distinct text
+        named = pc.dictionary_encode(values)
+        texts = [unicodedata.normalize(form, t) for t in named.dictionary.to_pylist()]
+        return pa.array(texts, pa.string()).take(named.indices)
 
     return normalize
 
