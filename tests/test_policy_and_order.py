@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import gates, news, state
+from tidemark.operators import changes, gates, news, state
 
 NOW = datetime(2026, 1, 1)
 FRESH = "account_id STRING, item_id STRING, input_ord BIGINT, title STRING, publisher STRING, published_at TIMESTAMP, excerpt STRING"
@@ -70,3 +70,24 @@ def test_the_policy_follows_links_to_their_end(spark):
     assert sorted((r.record_id, r.reason, r.depth) for r in found) == [
         ("acct", "scope", 0), ("e1", "linked", 1), ("loop", "linked", 3), ("r1", "linked", 1), ("r2", "age", 0), ("x1", "linked", 2),
     ]
+
+
+def test_contracts_of_projects_and_postings(spark):
+    rows = [("a", "p1", "One"), ("a", "p2", "Two"), ("a", " p2", "Two again"), ("a", "", "No id"), ("a", None, "Null id"), ("a", "p3", " "), ("b", "p2", "Fine")]
+    current = spark.createDataFrame(rows, "account_id STRING, project_id STRING, name STRING")
+    nothing = current.limit(0)
+    headers = spark.createDataFrame([("a",), ("b",)], "account_id STRING")
+
+    def found(contract):
+        return sorted((r.account_id, r.project_id or "-") for r in changes.new_projects(current, nothing, nothing, headers, contract).collect())
+
+    assert len(found("ignore")) == 7 and found("quarantine") == [("a", "p1"), ("b", "p2")]
+    with pytest.raises(ValueError, match="contract breached"):
+        found("strict")
+    with pytest.raises(ValueError, match="contract must be"):
+        found("lax")
+    jobs = spark.createDataFrame([("a", "j1", ["x"]), ("a", "j1", ["y"]), ("a", "j2", ["z"]), ("b", "j1", ["x"])], "account_id STRING, job_identity STRING, job_aliases ARRAY<STRING>")
+    kept = changes.new_jobs(jobs, jobs.limit(0), headers, "quarantine").collect()
+    assert sorted((r.account_id, r.job_identity) for r in kept) == [("a", "j2"), ("b", "j1")]
+    with pytest.raises(ValueError, match="contract breached"):
+        changes.new_jobs(jobs, jobs.limit(0), headers, "strict")

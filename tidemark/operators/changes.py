@@ -124,13 +124,37 @@ def project_violations(projects: DataFrame) -> DataFrame:
     return repeated.select("account_id", "project_id", "rows", F.explode(codes).alias("violation"))
 
 
-def new_projects(current: DataFrame, previous: DataFrame, known: DataFrame, headers: DataFrame) -> DataFrame:
+def _held_to(contract: str, rows: DataFrame, breaches: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows under a contract: ``ignore`` takes all, ``quarantine`` leaves out those that breach it, ``strict`` raises.
+
+    ``keys`` names the columns of ``breaches`` that point to rows, and how rows spell them.
+    """
+    if contract not in ("ignore", "quarantine", "strict"):
+        raise ValueError("contract must be ignore, quarantine or strict")
+    if contract == "strict":
+        found = breaches.limit(3).collect()
+        if found:
+            raise ValueError(f"contract breached: {[row.asDict() for row in found]}")
+    if contract != "quarantine":
+        return rows
+    bad = breaches.select(*[F.col(name).alias(f"_bad_{name}") for name in keys]).distinct()
+    same = None
+    for name, spelt in keys.items():
+        one = spelt.eqNullSafe(F.col(f"_bad_{name}"))
+        same = one if same is None else same & one
+    return rows.join(bad, same, "left_anti")
+
+
+def new_projects(current: DataFrame, previous: DataFrame, known: DataFrame, headers: DataFrame, contract: str = "ignore") -> DataFrame:
     """Projects of ``current`` that are new to an account with a baseline.
 
+    ``contract`` says what happens to projects of :func:`project_violations` (all rows of a repeated id among them).
+
     ``headers`` lists the accounts whose previous collection succeeded (also with
     zero projects); an account without header and without known ids only sets its
     baseline. ``known`` keeps older ids, so restored projects stay silent.
     """
+    current = _held_to(contract, current, project_violations(current), {"account_id": F.col("account_id"), "project_id": trim_all("project_id")})
     keys = ["account_id", "project_id"]
     seen = previous.select(keys).unionByName(known.select(keys)).distinct()
     based = headers.select("account_id").unionByName(known.select("account_id")).distinct()
@@ -272,13 +296,16 @@ def duplicate_job_identities(identified: DataFrame) -> DataFrame:
     return identified.groupBy("account_id", "job_identity").agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
-def new_jobs(current: DataFrame, previous: DataFrame, headers: DataFrame) -> DataFrame:
+def new_jobs(current: DataFrame, previous: DataFrame, headers: DataFrame, contract: str = "ignore") -> DataFrame:
     """Identified postings none of whose aliases occurs in the previous snapshot of the account.
 
+    ``contract`` says what happens to postings of :func:`duplicate_job_identities`.
+
     The alias test is a hash semi join on (account, alias) against distinct
     aliases; it never compares postings pairwise. Accounts without a previous
     snapshot (``headers``) only set their baseline.
     """
+    current = _held_to(contract, current, duplicate_job_identities(current), {name: F.col(name) for name in ("account_id", "job_identity")})
     based = current.join(headers.select("account_id").distinct(), "account_id", "left_semi")
     known = previous.select("account_id", F.explode("job_aliases").alias("alias")).distinct()
     aliases = based.select("account_id", "job_identity", F.explode("job_aliases").alias("alias"))
