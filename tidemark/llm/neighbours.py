@@ -26,8 +26,10 @@ APART = 1000.0
 #: Unit vectors are at most this far apart; a search that gets so far looks at every vector that is left.
 FARTHEST = 2.0
 BLOCK = 4096
-#: Queries that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Queries that are one row of the search.
+QUERY_BLOCK = 1024
+#: Blocks of the index that a task holds at a time.
+GROUP_BLOCKS = 16
 SEED = 20240
 BLOCK_ROWS = "dim int, ids binary, vectors binary, places binary, order binary"
 
@@ -175,7 +177,9 @@ def build_index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     wanted = _usable_rows(vectors, vec_id, embedding)
     parts = max(1, -(-wanted.count() // block))
     dealt = wanted.repartition(parts, "vec_id").sortWithinPartitions("dim", "vec_id", "vector")
-    return written(dealt.mapInArrow(_index_batches(2 * block), BLOCK_ROWS), "vectors", **{"parquet.block.size": str(16 << 20)})
+    # a part is one block as a rule: more if the vectors differ in length or ids hash unevenly
+    blocks = dealt.mapInArrow(_index_batches(2 * block), BLOCK_ROWS).withColumn("part", F.spark_partition_id())
+    return written(blocks, "vectors", **{"parquet.block.size": str(16 << 20)})
 
 
 def _usable_rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -183,75 +187,85 @@ def _usable_rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return kept.select(vectors[vec_id].cast("long").alias("vec_id"), F.size(vectors[embedding]).alias("dim"), vectors[embedding].cast("array<double>").alias("vector"))
 
 
-def _search_batches(queries, k: int):
-    """queries: broadcast list of (dim, ids, vectors, bounds)."""
+def _search_batches(k: int):
+    """Rows sorted by group and kind: a group's blocks (kind 0) are held, its queries (kind 1) stream past them.
+
+    What one block finds bounds the search of the next, so that a group yields k rows a query at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                index = Index.read(row)
-                for dim, ids, vectors, bounds in queries.value:
-                    if dim != row["dim"]:
-                        continue
-                    scaled, norms = unit(vectors)
-                    places = (scaled / norms[:, None]) @ directions(dim).T
-                    out: tuple[list, list, list] = ([], [], [])
-                    for number, own in enumerate(ids.tolist()):
-                        near, scores = index.search(own, scaled[number], norms[number], places[number], bounds[number], k)
-                        for held, value in zip(out, (np.full(len(near), own), near, scores), strict=True):
-                            held.append(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
+                if row["grp"] != group:
+                    group, held = row["grp"], []
+                if row["kind"] == 0:
+                    held.append((row["dim"], Index.read(row)))
+                    continue
+                indexes = [index for dim, index in held if dim == row["dim"]]
+                if indexes:
+                    yield _searched(indexes, row, k)
 
     return run
 
 
-def _bound_batches(pilot, k: int):
-    """Adds to each query a distance within which the pilot block has k vectors."""
+def _searched(indexes: list[Index], row: dict, k: int) -> pa.RecordBatch:
+    ids = np.frombuffer(row["ids"], np.int64)
+    bounds = np.frombuffer(row["places"], np.float64)
+    scaled, norms = unit(np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dim"]))
+    places = (scaled / norms[:, None]) @ directions(row["dim"]).T
+    out: tuple[list, list, list] = ([], [], [])
+    for number, own in enumerate(ids.tolist()):
+        bound = bounds[number]
+        near, scores = np.zeros(0, np.int64), np.zeros(0)
+        for index in indexes:
+            more, found = index.search(own, scaled[number], norms[number], places[number], bound, k)
+            near, scores = np.concatenate([near, more]), np.concatenate([scores, found])
+            best = np.lexsort((near, -scores))[:k]
+            near, scores = near[best], scores[best]
+            if len(near) == k:
+                bound = min(bound, math.sqrt(max(0.0, 2 - 2 * scores[-1])))
+        for held, value in zip(out, (np.full(len(near), own), near, scores), strict=True):
+            held.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = {row["dim"]: Index.read(row) for row in pilot.value}
-        for batch in batches:
-            for ids, vectors in _blocks_by_dim(iter([batch]), batch.num_rows):
-                scaled, norms = unit(vectors)
-                index = blocks.get(vectors.shape[1])
-                bounds = np.full(len(ids), np.inf)
-                if index is not None:
-                    places = (scaled / norms[:, None]) @ directions(vectors.shape[1]).T
-                    for number, own in enumerate(ids.tolist()):
-                        _, scores = index.search(own, scaled[number], norms[number], places[number], math.inf, k)
-                        if len(scores) == k:
-                            bounds[number] = math.sqrt(max(0.0, 2 - 2 * scores[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([vectors.shape[1]] * len(ids), pa.int32()), pa.array(ids), pa.array(list(vectors), pa.list_(pa.float64())), pa.array(bounds)], names=["dim", "vec_id", "vector", "bound"])
 
-    return run
+_NEAR = pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_QUERY_SCHEMA = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("bounds", pa.binary()), ("near", pa.list_(_NEAR))])
+QUERY_ROWS = "dim int, ids binary, vectors binary, bounds binary, near array<struct<query_id: long, vec_id: long, score: double>>"
 
 
-def _chunks(queries: DataFrame, most: int) -> Iterator[list[tuple]]:
-    held: list = []
-    for row in queries.toLocalIterator():
-        held.append(row)
-        if len(held) == most:
-            yield _by_dim(held)
-            held = []
-    if held:
-        yield _by_dim(held)
+def _query_batches(pilot, k: int):
+    """Blocks of queries, each query with the pilot block's k nearest and the distance within which they are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = {row["dim"]: Index.read(row) for row in pilot.value}
+        for ids, vectors in _blocks_by_dim(batches, QUERY_BLOCK):
+            dim = vectors.shape[1]
+            index = blocks.get(dim)
+            bounds = np.full(len(ids), np.inf)
+            near: list[dict] = []
+            if index is not None:
+                scaled, norms = unit(vectors)
+                places = (scaled / norms[:, None]) @ directions(dim).T
+                for number, own in enumerate(ids.tolist()):
+                    found, scores = index.search(own, scaled[number], norms[number], places[number], math.inf, k)
+                    if len(scores) == k:
+                        bounds[number] = math.sqrt(max(0.0, 2 - 2 * scores[-1]))
+                    near += [{"query_id": own, "vec_id": v, "score": s} for v, s in zip(found.tolist(), scores.tolist(), strict=True)]
+            row = {"dim": dim, "ids": ids.tobytes(), "vectors": vectors.tobytes(), "bounds": bounds.tobytes(), "near": near}
+            yield pa.RecordBatch.from_pylist([row], schema=_QUERY_SCHEMA)
 
-def _by_dim(rows: list) -> list[tuple]:
-    out = []
-    for dim in sorted({r["dim"] for r in rows}):
-        own = [r for r in rows if r["dim"] == dim]
-        out.append((dim, np.array([r["vec_id"] for r in own], np.int64), np.array([r["vector"] for r in own]), np.array([r["bound"] for r in own])))
-    return out
+    return run
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine for each row where ``queries`` holds.
 
-    Every usable vector is indexed, in blocks; queries go to all blocks, a bounded number of them at a time. One
-    pilot block gives each query a first bound; all other blocks are searched within it. Nearest first, equals by
-    the smaller vec_id; a row is no neighbour of itself.
+    Every usable vector is indexed, in blocks. A group of at most GROUP_BLOCKS blocks is held by one task, and the
+    queries, in blocks of their own, are sent to each group; neither passes through the driver. One pilot block gives
+    each query a first bound, and neighbours that stay unless nearer ones are found. Nearest first, equals by the
+    smaller vec_id; a row is no neighbour of itself.
 
     Vectors that are null, empty or zero, or have a null, infinite or NaN component, and rows without an id, take no
     part. Vectors of another length than the query's are no candidates. Rows of one id count once (the least
@@ -259,17 +273,23 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
     """
     spark = vectors.sparkSession
     index = build_index(vectors, vec_id, embedding, block)
-    pilots = index.orderBy(F.length("ids").desc()).limit(1).collect()
+    pilots = index.orderBy(F.length("ids").desc()).limit(1).drop("part").collect()
     pilot = spark.sparkContext.broadcast([r.asDict() for r in pilots])
     asked = _usable_rows(vectors.where(queries), vec_id, embedding).repartition("vec_id").sortWithinPartitions("dim", "vec_id", "vector")
-    asked = written(asked.mapInArrow(_bound_batches(pilot, k), "dim int, vec_id long, vector array<double>, bound double").dropDuplicates(["vec_id", "dim"]), "queries")
-    found = None
-    for chunk in _chunks(asked, QUERY_BLOCK):
-        shared = spark.sparkContext.broadcast(chunk)
-        part = written(index.mapInArrow(_search_batches(shared, k), "query_id long, vec_id long, score double"), "near")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = written(asked.mapInArrow(_query_batches(pilot, k), QUERY_ROWS), "queries")
+
+    parts = (index.agg(F.max("part")).first()[0] or 0) + 1
+    groups = max(-(-parts // GROUP_BLOCKS), min(parts, 2 * spark.sparkContext.defaultParallelism))
+    held = index.select(F.pmod("part", F.lit(groups)).alias("grp"), F.lit(0).alias("kind"), "dim", "ids", "vectors", "places", "order")
+    sent = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("kind"), "dim", "ids", "vectors",
+        F.col("bounds").alias("places"), F.lit(None).cast("binary").alias("order"),
+    )
+    met = held.unionByName(sent).repartition(groups, "grp").sortWithinPartitions("grp", "kind")
+    found = met.mapInArrow(_search_batches(k), "query_id long, vec_id long, score double")
+    first = asked.select(F.explode("near").alias("x")).select("x.*")
+    # the pilot block is searched again with its group
+    found = written(found.unionByName(first), "near").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
