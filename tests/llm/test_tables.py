@@ -125,6 +125,21 @@ def test_shards_are_even_and_part_only_heavy_copies(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
 
 
+def test_shards_of_equal_rows(spark):
+    """Rows equal in id and text are numbered in parts, by several tasks, and no boundary moves with the size of pieces."""
+    rows = [(5, "the same")] * 3_000 + [(k, f"text {k}") for k in range(1_000)]
+    got = {n: sharding.shard_by_bytes(documents(spark, rows).repartition(8), 10, piece_rows=n) for n in (50, 1_000_000)}
+    for found in got.values():
+        check_shards(rows, found.collect(), 10)
+    a, b = (Counter((r["doc_id"], r["text_crc32"], r["shard"]) for r in found.collect()) for found in got.values())
+    assert a == b
+    keyed = documents(spark, rows[:3_000]).select("doc_id", sharding.sort_key(F.col("text"), F.col("doc_id").cast("long")).alias("key"), F.pmod(F.monotonically_increasing_id(), F.lit(sharding.PARTS)).alias("part"))
+    same = keyed.selectExpr("key AS piece", "key", "part", "doc_id", "1 AS size", "1 AS text_crc32", "true AS heavy")
+    places = sharding._places(same, True)
+    assert sorted(r["place"] for r in places.collect()) == list(range(same.count()))
+    assert places.groupBy("piece", "part").count().count() > 1
+
+
 # ---- secrets
 
 

@@ -18,6 +18,10 @@ PART_COPIES = 0.02
 TEXT_DIGITS = 16
 #: A piece of the key range with more rows than this is divided further, so that a task sorts no more.
 PIECE_ROWS = 1_000_000
+#: Rows of one key, which cannot be divided by it, are dealt to this many parts that are numbered by themselves.
+PARTS = 64
+#: Up to this many pieces (some ten megabytes) are broadcast; beyond it Spark joins them.
+BROADCAST_PIECES = 100_000
 #: Hexadecimal digits of the first probes (4096 of them). A refinement has 16 probes, set where a piece's keys part.
 FIRST_DIGITS = 3
 
@@ -41,15 +45,13 @@ class Histogram:
         """Digits of the next probes inside a piece: one more than all its keys share."""
         return len(commonprefix(self.pieces[prefix][2:])) + 1
 
-    def undecided(self, shards: int, tolerance: float, piece_rows: int) -> set[str]:
-        """Pieces that hold a wanted boundary farther than the tolerance from both their ends, and large ones."""
+    def undecided(self, shards: int, tolerance: float) -> set[str]:
+        """Pieces that hold a wanted boundary farther than the tolerance from both their ends."""
         rows = self.ordered()
         total = sum(size for _, size, _, _, _ in rows)
         ideal, below, target, out = total / shards, 0, 1, set()
-        for prefix, size, count, low, high in rows:
+        for prefix, size, _, low, high in rows:
             limit = PART_COPIES if low[:TEXT_DIGITS] == high[:TEXT_DIGITS] else tolerance
-            if count > piece_rows and low != high:
-                out.add(prefix)
             while target < shards and target * ideal < below + size:
                 near = min(target * ideal - below, below + size - target * ideal)
                 if near > limit * ideal and low != high:
@@ -58,8 +60,12 @@ class Histogram:
             below += size
         return out
 
-    def placed(self, shards: int) -> list[tuple[str, int, int]]:
-        """(prefix, shard, rows of the shard before it): each wanted boundary moved to the nearest piece boundary."""
+    def large(self, piece_rows: int) -> set[str]:
+        """Pieces with more rows than a task should sort, if their keys differ."""
+        return {prefix for prefix, (_, count, low, high) in self.pieces.items() if count > piece_rows and low != high}
+
+    def placed(self, shards: int) -> dict[str, int]:
+        """The shard of each piece: each wanted boundary moved to the nearest piece boundary."""
         rows = self.ordered()
         total = sum(size for _, size, _, _, _ in rows)
         edges = [0]
@@ -71,11 +77,23 @@ class Histogram:
             while at + 1 < len(edges) and abs(edges[at + 1] - want) <= abs(edges[at] - want):
                 at += 1
             cuts.append(at)
-        out, shard, before = [], 0, 0
-        for number, (prefix, _, count, _, _) in enumerate(rows):
+        out, shard = {}, 0
+        for number, (prefix, _, _, _, _) in enumerate(rows):
             while shard < shards - 1 and cuts[shard] <= number:
-                shard, before = shard + 1, 0
-            out.append((prefix, shard, before))
+                shard += 1
+            out[prefix] = shard
+        return out
+
+    def numbered(self, shard_of: dict[str, int], piece_rows: int) -> list[tuple[str, int, int, bool]]:
+        """(prefix, shard, rows of the shard before it, too many rows) of all pieces, which lie in those with a shard."""
+        owners = iter(sorted(shard_of))
+        owner, out, shard, before = next(owners, ""), [], None, 0
+        for prefix, _, count, _, _ in self.ordered():
+            while not prefix.startswith(owner):
+                owner = next(owners)
+            if shard_of[owner] != shard:
+                shard, before = shard_of[owner], 0
+            out.append((prefix, shard, before, count > piece_rows))
             before += count
         return out
 
@@ -86,35 +104,56 @@ def _count(pieces: DataFrame) -> dict:
     return {r["piece"]: (r["size"], r["rows"], r["low"], r["high"]) for r in counted.collect()}
 
 
-def _filed(keyed: DataFrame, pieces: DataFrame, lengths: set[int]) -> DataFrame:
-    """Rows with the one piece whose prefix their key has; ``pieces`` has as many rows as there are probes."""
-    prefixes = F.array(*[F.substring("key", 1, n) for n in sorted(lengths)])
-    return keyed.select("*", F.explode(prefixes).alias("piece")).join(F.broadcast(pieces), "piece")
+def _filed(keyed: DataFrame, pieces: list[tuple], schema: str) -> DataFrame:
+    """Rows with the one piece whose prefix their key has; ``pieces`` are (piece, ...)."""
+    prefixes = F.array(*[F.substring("key", 1, n) for n in sorted({len(x[0]) for x in pieces} or {1})])
+    table = keyed.sparkSession.createDataFrame(pieces, schema)
+    table = F.broadcast(table) if len(pieces) <= BROADCAST_PIECES else table
+    return keyed.select("*", F.explode(prefixes).alias("piece")).join(table, "piece")
+
 
+def _refined(keyed: DataFrame, found: Histogram, wanted: set[str]) -> None:
+    """One round: exact counts below the probes inside the wanted pieces, which take their place."""
+    held = _filed(keyed, [(x, found.probes(x)) for x in sorted(wanted)], "piece string, digits int")
+    refined = _count(held.withColumn("piece", F.substring(F.col("key"), F.lit(1), F.col("digits"))))
+    for prefix in wanted:
+        del found.pieces[prefix]
+    found.pieces |= refined
 
-def histogram(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE, piece_rows: int = PIECE_ROWS) -> Histogram:
+
+def histogram(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> Histogram:
     """Rounds of exact counts below more and more probes, until every splitter meets the tolerance.
 
     Each round refines only the pieces that need it; their prefixes, and the counts, are all the driver sees.
     """
     found = Histogram(_count(keyed.withColumn("piece", F.substring("key", 1, FIRST_DIGITS))))
-    while wanted := found.undecided(shards, tolerance, piece_rows):
-        probes = keyed.sparkSession.createDataFrame([(x, found.probes(x)) for x in sorted(wanted)], "piece string, digits int")
-        held = _filed(keyed, probes, {len(x) for x in wanted})
-        refined = _count(held.withColumn("piece", F.substring(F.col("key"), F.lit(1), F.col("digits"))))
-        for prefix in wanted:
-            del found.pieces[prefix]
-        found.pieces |= refined
+    while wanted := found.undecided(shards, tolerance):
+        _refined(keyed, found, wanted)
     return found
 
 
+def _places(located: DataFrame, heavy: bool) -> DataFrame:
+    """Adds ``place``, from 0 inside a piece. Rows of a ``heavy`` piece, all equal, are numbered part by part: the
+    part's rows by themselves, after the exact counts of the parts before it."""
+    located = located.withColumn("part", F.when(F.col("heavy"), F.col("part")).otherwise(0))
+    own = F.row_number().over(Window.partitionBy("piece", "part").orderBy("key", "doc_id", "size", "text_crc32")) - 1
+    placed = located.withColumn("place", own)
+    if not heavy:
+        return placed
+    # at most PARTS rows a heavy piece
+    counts = located.where("heavy").groupBy("piece", "part").agg(F.count("*").alias("n"))
+    ahead = counts.select("piece", "part", (F.sum("n").over(Window.partitionBy("piece").orderBy("part")) - F.col("n")).alias("ahead"))
+    return placed.join(ahead, ["piece", "part"], "left").withColumn("place", F.col("place") + F.coalesce("ahead", F.lit(0)))
+
+
 def shard_by_bytes(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of nearly equal bytes, slots gapless from 0 in each.
 
     size is the text's UTF-8 bytes plus 16. Rows are in the order of a hash of their text, then of their id: equal
     texts stay together unless a boundary within the tolerance would have to part them. One exchange puts the rows
     of each piece of the key range together; a slot is the number of rows in the shard's earlier pieces plus the
-    place in its own, so no task holds a whole shard.
+    place in its own, so no task holds a whole shard. Boundaries do not depend on ``piece_rows``: larger pieces are
+    divided after they have their shard, and rows equal in id and text, which no key divides, are dealt to parts.
 
     A null text has no bytes and the checksum of an empty one; a null id is a key of its own; repeated rows take
     slots of their own. With fewer distinct keys than shards some shards stay empty. An empty table gives none.
@@ -124,10 +163,11 @@ def shard_by_bytes(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: s
         docs[doc_id].cast("long").alias("doc_id"), (F.octet_length(as_text(content)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(as_text(content).cast("binary")).alias("text_crc32"), sort_key(content, docs[doc_id].cast("long")).alias("key"),
     )
-    keyed = written(keyed, "keyed")
-    found = histogram(keyed, shards, tolerance, piece_rows)
-    placed = found.placed(shards)
-    pieces = docs.sparkSession.createDataFrame(placed, "piece string, shard int, before long")
-    located = _filed(keyed, pieces, {len(x) for x, _, _ in placed} or {1})
-    place = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id", "size", "text_crc32"))
-    return located.withColumn("slot", F.col("before") + place - 1).select("doc_id", "size", "text_crc32", "shard", "slot")
+    keyed = written(keyed.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "keyed")
+    found = histogram(keyed, shards, tolerance)
+    shard_of = found.placed(shards)
+    while wanted := found.large(piece_rows):
+        _refined(keyed, found, wanted)
+    pieces = found.numbered(shard_of, piece_rows)
+    located = _filed(keyed, pieces, "piece string, shard int, before long, heavy boolean")
+    return _places(located, any(heavy for _, _, _, heavy in pieces)).withColumn("slot", F.col("before") + F.col("place")).select("doc_id", "size", "text_crc32", "shard", "slot")
