@@ -273,7 +273,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
     """
     spark = vectors.sparkSession
     index = build_index(vectors, vec_id, embedding, block)
-    pilots = index.orderBy(F.length("ids").desc()).limit(1).drop("part").collect()
+    # the largest block, found by its numbers, so that no other one is sent to the driver
+    largest = index.select("part", "dim", F.length("ids").alias("n")).orderBy(F.desc("n"), "part", "dim").limit(1).collect()
+    pilots = [r for x in largest for r in index.where((F.col("part") == x["part"]) & (F.col("dim") == x["dim"]) & (F.length("ids") == x["n"])).drop("part").take(1)]
     pilot = spark.sparkContext.broadcast([r.asDict() for r in pilots])
     asked = _usable_rows(vectors.where(queries), vec_id, embedding).repartition("vec_id").sortWithinPartitions("dim", "vec_id", "vector")
     asked = written(asked.mapInArrow(_query_batches(pilot, k), QUERY_ROWS), "queries")
@@ -285,7 +287,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_
         F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(1).alias("kind"), "dim", "ids", "vectors",
         F.col("bounds").alias("places"), F.lit(None).cast("binary").alias("order"),
     )
-    met = held.unionByName(sent).repartition(groups, "grp").sortWithinPartitions("grp", "kind")
+    met = held.unionByName(sent).repartitionById(groups, "grp").sortWithinPartitions("grp", "kind")
     found = met.mapInArrow(_search_batches(k), "query_id long, vec_id long, score double")
     first = asked.select(F.explode("near").alias("x")).select("x.*")
     # the pilot block is searched again with its group
