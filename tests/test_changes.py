@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -105,6 +105,45 @@ def test_json_feeds_diff_and_failures(spark):
     assert {r.change for r in changes.careers_changes(same, second, previous).collect()} == {"unchanged"}
 
 
+def test_collection_tags_each_response(spark):
+    good, page = '[{"id": "1", "title": "Dev", "url": "/j/1"}]', "<a id='2' href='/j/2'>Ops</a>"
+    rows = [
+        ("json", 200, "application/json", good, None), ("bare", 200, None, " \n" + good, None), ("page", 200, "text/html", page, None), ("wrong", 200, "application/json", page, "declared"),
+        ("empty", 200, None, None, None), ("same", 304, None, None, None), ("refused", 403, None, good, None), ("down", 503, None, good, None), ("never", None, None, None, None),
+    ]
+    given = spark.createDataFrame(rows, "account_id STRING, http_status INT, content_type STRING, body STRING, source_system STRING")
+    given = given.withColumns({"url": F.lit("https://jobs.example.com/list"), "observed_at": F.lit(AT)})
+    found = feeds.careers_collect(given)
+    got = {r.account_id: (r.fetch_status, r.source_system, r.error_code, r.retryable, None if r.jobs is None else len(r.jobs)) for r in found.collect()}
+    assert got == {
+        "json": ("ok", "ats_feed", None, False, 1), "bare": ("ok", "ats_feed", None, False, 1), "page": ("ok", "careers_page", None, False, 1),
+        "wrong": ("unsupported", "declared", "malformed", False, None), "empty": ("unsupported", "careers_page", "malformed", False, None),
+        "same": ("not_modified", "ats_feed", None, False, None), "refused": ("unsupported", "careers_page", "unsupported", False, None),
+        "down": ("failed", "careers_page", "source_unavailable", True, None), "never": ("failed", "careers_page", "source_unavailable", True, None),
+    }
+    jobs = feeds.collected_jobs(found)
+    assert sorted((r.account_id, r.job_id, r.input_ord) for r in jobs.collect()) == [("bare", "1", 0), ("json", "1", 0), ("page", "2", 0)]
+    # a malformed body keeps the records there are and changes nothing
+    previous = jobs.filter("account_id = 'json'").withColumn("account_id", F.explode(F.array(F.lit("wrong"), F.lit("page"))))
+    kept = {(r.account_id, r.job_id, r.carried) for r in changes.careers_carry_forward(found, jobs, previous).collect()}
+    assert kept == {("bare", "1", False), ("json", "1", False), ("page", "2", False), ("wrong", "1", True)}
+    diff = changes.careers_changes(found, jobs, previous)
+    assert {(r.account_id, r.job_id, r.change) for r in diff.collect()} == {("bare", "1", "added"), ("json", "1", "added"), ("page", "1", "removed"), ("page", "2", "added")}
+    assert feeds.careers_collect(given.limit(0)).count() == 0
+
+
+def test_items_rank_by_the_jobs_own_time(spark):
+    fields = "account_id STRING, job_id STRING, input_ord BIGINT, title STRING, department STRING, location STRING, url STRING, posted_at TIMESTAMP, observed_at TIMESTAMP"
+
+    def seen(job, hours):
+        return ("a", job, 0, job, "d", "l", "u", None, AT + timedelta(hours=hours))
+
+    previous = spark.createDataFrame([seen("removed", 5), seen("same", 1)], fields)
+    current = spark.createDataFrame([seen("late", 9), seen("early", 2), seen("same", 8)], fields)
+    diff = changes.careers_diff(previous, current)
+    assert [r.job_id for r in external.careers_items(diff, normalize=False).orderBy("item_rank").collect()] == ["late", "removed", "early"]
+
+
 def test_html_pages(spark):
     html = """<a href="/x">no id</a><a class=c data-id='7' href='/j/7'><b>Dev</b> &amp; Ops</a>
     <script type="application/ld+json">{bad</script><script type="application/ld+json">[{"@type":"JobPosting","id":"7","title":"Old","url":"/o"},{"@graph":[{"@type":"JobPosting","title":"LD","url":"/ld"}]}]</script>"""

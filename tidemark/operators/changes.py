@@ -218,11 +218,18 @@ def careers_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """added / removed / changed / unchanged per (account_id, job_id).
 
     Both sides hold one row per key after :func:`last_per_job`, so the full outer
-    join cannot multiply rows.
+    join cannot multiply rows. If both have ``observed_at``, the result has that of
+    the job it shows; it is no part of the comparison.
     """
-    old = last_per_job(previous).select("account_id", "job_id", F.struct(*JOB_FIELDS).alias("before"))
-    new = last_per_job(current).select("account_id", "job_id", F.struct(*JOB_FIELDS).alias("after"))
-    return old.join(new, ["account_id", "job_id"], "full_outer").withColumn(
+    timed = "observed_at" in previous.columns and "observed_at" in current.columns
+    seen = [F.col("observed_at")] if timed else []
+    old = last_per_job(previous).select("account_id", "job_id", F.struct(*JOB_FIELDS).alias("before"), *[c.alias("_old_seen") for c in seen])
+    new = last_per_job(current).select("account_id", "job_id", F.struct(*JOB_FIELDS).alias("after"), *[c.alias("_new_seen") for c in seen])
+    joined = old.join(new, ["account_id", "job_id"], "full_outer")
+    if timed:
+        shown = F.when(F.col("after").isNull(), F.col("_old_seen")).otherwise(F.col("_new_seen"))
+        joined = joined.withColumn("observed_at", shown).drop("_old_seen", "_new_seen")
+    return joined.withColumn(
         "change",
         F.when(F.col("before").isNull(), "added")
         .when(F.col("after").isNull(), "removed")
@@ -250,8 +257,9 @@ def careers_changes(fetches: DataFrame, fresh: DataFrame, previous: DataFrame) -
     ok = status.filter("fetch_status = 'ok'")
     changed = careers_diff(previous.join(ok, "account_id", "left_semi"), fresh.join(ok, "account_id", "left_semi"))
     same = last_per_job(previous).join(status.filter("fetch_status = 'not_modified'"), "account_id", "left_semi")
+    seen = [c for c in changed.columns if c == "observed_at"]
     return changed.unionByName(
-        same.select("account_id", "job_id", F.struct(*JOB_FIELDS).alias("before"), F.struct(*JOB_FIELDS).alias("after"), F.lit("unchanged").alias("change"))
+        same.select("account_id", "job_id", F.struct(*JOB_FIELDS).alias("before"), F.struct(*JOB_FIELDS).alias("after"), *seen, F.lit("unchanged").alias("change"))
     )
 
 

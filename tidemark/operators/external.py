@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.vocabulary import MAX_ITEMS_PER_ACCOUNT
@@ -40,17 +40,23 @@ def careers_rollup(accounts: DataFrame, fetches: DataFrame, records: DataFrame,
     )
 
 
-def careers_items(changes: DataFrame, observed_at, baselines: DataFrame | None = None, limit: int = MAX_ITEMS_PER_ACCOUNT, normalize: bool = True) -> DataFrame:
+def careers_items(changes: DataFrame, observed_at: Column | None = None, baselines: DataFrame | None = None, limit: int = MAX_ITEMS_PER_ACCOUNT, normalize: bool = True) -> DataFrame:
     """The most recent changed postings of each account; the limit applies before the shuffle.
 
+    A posting without a date counts as of its own ``observed_at``, which :func:`careers_diff` carries, and where
+    ``changes`` have none as of the one given for all.
     Those shown are classified (``relevant``, ``rationale``). With ``baselines``, the accounts with earlier records,
     ``first_observed`` tells the postings of accounts seen for the first time.
     """
     job = F.coalesce("after", "before")
-    items = changes.filter("change <> 'unchanged'").select("account_id", "job_id", "change", job.alias("job")).select(
-        "account_id", "job_id", "change", "job.*"
+    own = [c for c in changes.columns if c == "observed_at"]
+    if not own and observed_at is None:
+        raise ValueError("changes without observed_at need one for all")
+    items = changes.filter("change <> 'unchanged'").select("account_id", "job_id", "change", *own, job.alias("job")).select(
+        "account_id", "job_id", "change", *own, "job.*"
     )
-    order = Window.partitionBy("account_id").orderBy(F.desc(F.coalesce("posted_at", observed_at)), "job_id")
+    times = [F.col("posted_at"), *[F.col(c) for c in own], *([] if observed_at is None else [observed_at])]
+    order = Window.partitionBy("account_id").orderBy(F.desc(F.coalesce(*times)), "job_id")
     shown = items.withColumn("item_rank", F.row_number().over(order)).filter(F.col("item_rank") <= limit)
     shown = job_classify(shown.withColumn("description", F.lit(None).cast("string")), normalize=normalize).drop("description", "score", "matched_terms")
     if baselines is None:

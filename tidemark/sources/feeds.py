@@ -19,6 +19,8 @@ DEPARTMENT_KEYS = ["department", "team", "function"]
 POSTED_KEYS = ["postedAt", "posted_at", "createdAt", "created_at", "updatedAt", "updated_at", "datePosted"]
 ARTICLE_TYPES = ["article", "newsarticle", "blogposting"]
 
+JOBS = "array<struct<job_id: string, title: string, department: string, location: string, url: string, posted_at: timestamp, observed_at: timestamp>>"
+
 
 def _path(key: str) -> str:
     return f"$['{key}']"
@@ -125,15 +127,14 @@ def _kept(jobs: Column) -> Column:
     return F.filter(jobs, lambda job: job.isNotNull())
 
 
-def _rejects(feeds: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
-    return feeds.select(key).join(jobs.select(key).distinct(), key, "left_anti").withColumn("reason", F.lit("malformed"))
+def _rejects(read: DataFrame, key: str) -> DataFrame:
+    return read.filter(F.size("jobs") == 0).select(key, F.lit("malformed").alias("reason"))
 
 
-def careers_extract_json(feeds: DataFrame, key: str = "account_id") -> tuple[DataFrame, DataFrame]:
-    """(job rows, malformed feeds) of JSON feeds (key, url, body, observed_at).
+def json_jobs(body: Column, url: Column, observed_at: Column) -> Column:
+    """Jobs of a JSON feed, empty for an unreadable one.
 
-    The list is the body itself or the first known list key; rows lacking title,
-    URL or any id fall, a feed without a valid row is malformed.
+    The list is the body itself or the first known list key; entries lacking title, URL or any id fall.
     """
     def listing(doc: Column) -> Column:
         return F.coalesce(
@@ -141,11 +142,16 @@ def careers_extract_json(feeds: DataFrame, key: str = "account_id") -> tuple[Dat
             *[let(_get(doc, k), lambda found: F.when(_is(found, "ARRAY"), F.try_variant_get(found, "$", "array<variant>"))) for k in LIST_KEYS],
         )
 
-    entries = let(F.try_parse_json("body"), listing)
-    found = F.transform(entries, lambda item: _job(item, F.col("url"), F.col("observed_at")))
-    rows = feeds.select(F.col(key).alias("feed_key"), F.posexplode(_kept(found)).alias("input_ord", "job"))
+    jobs = _kept(F.transform(let(F.try_parse_json(body), listing), lambda item: _job(item, url, observed_at)))
+    return F.coalesce(jobs, F.array().cast(JOBS))
+
+
+def careers_extract_json(feeds: DataFrame, key: str = "account_id") -> tuple[DataFrame, DataFrame]:
+    """(job rows, malformed feeds) of JSON feeds (key, url, body, observed_at); a feed without a valid entry is malformed."""
+    read = feeds.select(key, json_jobs(F.col("body"), F.col("url"), F.col("observed_at")).alias("jobs"))
+    rows = read.select(F.col(key).alias("feed_key"), F.posexplode("jobs").alias("input_ord", "job"))
     jobs = rows.select(F.col("feed_key").alias(key), F.col("input_ord").cast("bigint").alias("input_ord"), "job.*")
-    return jobs, _rejects(feeds, jobs, key)
+    return jobs, _rejects(read, key)
 
 
 def decode_html(text: Column) -> Column:
@@ -176,37 +182,72 @@ def _ld_candidates(body: Column) -> Column:
     return F.flatten(F.transform(docs, objects))
 
 
-def careers_extract_html(pages: DataFrame, key: str = "account_id") -> tuple[DataFrame, DataFrame]:
-    """(job rows, malformed pages) of careers pages (key, url, body, observed_at).
-
-    JSON-LD postings come first, then links that carry an id attribute; the last
-    record of a job id wins.
-    """
-    body = F.col("body")
+def html_jobs(body: Column, url: Column, observed_at: Column) -> Column:
+    """Jobs of a careers page: JSON-LD postings, then links that carry an id attribute."""
     postings = F.filter(_ld_candidates(body), lambda item: F.coalesce(_text(_get(item, "@type")) == "JobPosting", F.lit(False)))
-    ld = F.transform(postings, lambda item: _job(item, F.col("url"), F.col("observed_at")))
-    from_ld = pages.select(F.col(key).alias("page_key"), F.posexplode(_kept(ld)).alias("pos", "job")).select(
-        F.col("page_key").alias(key), F.lit(0).alias("part"), "pos", "job.*"
-    )
     anchor = F.lit(r"""(?i)<a\b([^>]*?)href=["']([^"']+)["']([^>]*)>([\s\S]*?)</a>""")
     links = F.arrays_zip(*[F.regexp_extract_all(body, anchor, g).alias(n) for g, n in ((1, "a"), (2, "href"), (3, "b"), (4, "inner"))])
-    link_rows = pages.select(key, F.col("url").alias("page_url"), "observed_at", F.posexplode(links).alias("pos", "link"))
-    attributes = F.concat_ws(" ", "link.a", "link.b")
-    job_id = F.regexp_extract(attributes, r"""(?i)(?:data-job-id|data-id|id)=["']([^"']+)["']""", 1)
-    inner = F.regexp_replace(F.col("link.inner"), "<[^>]*>", " ")
-    for pattern, plain in (("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')):
-        inner = F.regexp_replace(inner, pattern, plain)
     missing = F.lit(None).cast("string")
-    from_links = link_rows.select(
-        key, F.lit(1).alias("part"), "pos", F.nullif(job_id, F.lit("")).alias("job_id"), collapse(inner).alias("title"),
-        missing.alias("department"), missing.alias("location"),
-        absolute_url(trim_all("link.href"), F.col("page_url")).alias("url"),
-        F.lit(None).cast("timestamp").alias("posted_at"), "observed_at",
-    ).filter((F.length("title") >= 2) & F.col("job_id").isNotNull() & F.col("url").isNotNull())
-    found = from_ld.unionByName(from_links)
+
+    def linked(link: Column) -> Column:
+        attributes = F.concat_ws(" ", link["a"], link["b"])
+        job_id = F.regexp_extract(attributes, r"""(?i)(?:data-job-id|data-id|id)=["']([^"']+)["']""", 1)
+        inner = F.regexp_replace(link["inner"], "<[^>]*>", " ")
+        for pattern, plain in (("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')):
+            inner = F.regexp_replace(inner, pattern, plain)
+        fields = F.struct(
+            F.nullif(job_id, F.lit("")).alias("job_id"), collapse(inner).alias("title"), missing.alias("department"), missing.alias("location"),
+            absolute_url(trim_all(link["href"]), url).alias("url"), F.lit(None).cast("timestamp").alias("posted_at"), observed_at.alias("observed_at"),
+        )
+        return let(fields, lambda job: F.when((F.length(job["title"]) >= 2) & job["job_id"].isNotNull() & job["url"].isNotNull(), job))
+
+    jobs = F.concat(_kept(F.transform(postings, lambda item: _job(item, url, observed_at))), _kept(F.transform(links, linked)))
+    return F.coalesce(jobs, F.array().cast(JOBS))
+
+
+def careers_extract_html(pages: DataFrame, key: str = "account_id") -> tuple[DataFrame, DataFrame]:
+    """(job rows, malformed pages) of careers pages (key, url, body, observed_at); the last record of a job id wins."""
+    read = pages.select(key, html_jobs(F.col("body"), F.col("url"), F.col("observed_at")).alias("jobs"))
+    found = read.select(F.col(key).alias("page_key"), F.posexplode("jobs").alias("pos", "job")).select(F.col("page_key").alias(key), "pos", "job.*")
     rest = ["title", "department", "location", "url", "posted_at", "observed_at"]
-    jobs = found.groupBy(key, "job_id").agg(F.max_by(F.struct(*rest), F.struct("part", "pos")).alias("j")).select(key, "job_id", "j.*")
-    return jobs, _rejects(pages, jobs, key)
+    jobs = found.groupBy(key, "job_id").agg(F.max_by(F.struct(*rest), "pos").alias("j")).select(key, "job_id", "j.*")
+    return jobs, _rejects(read, key)
+
+
+def careers_collect(responses: DataFrame) -> DataFrame:
+    """What each account's response comes to: fetch_status, source_system, error_code, retryable and its ``jobs``.
+
+    ``responses``: account_id, url, http_status, content_type, body, observed_at, source_system (NULL if not declared).
+    A body is JSON by its content type or its first character, else a page. A body without a valid posting is
+    ``unsupported`` with the code malformed; 401 and 403 are unsupported too; 304 is ``not_modified``; any other
+    status outside 200 to 299, or none, is ``failed`` and may be tried again. Only ``ok`` rows have jobs, in input
+    order. One pass: each body is read once, rejects and jobs come from the same row.
+    """
+    status = F.col("http_status")
+    fetched = F.coalesce((status >= 200) & (status < 300), F.lit(False))
+    body, url, observed_at = F.coalesce("body", F.lit("")), F.col("url"), F.col("observed_at")
+    is_json = F.coalesce(F.lower("content_type").contains("json"), F.lit(False)) | body.rlike(r"^\s*[\[{]")
+    read = F.when(fetched & is_json, json_jobs(body, url, observed_at)).when(fetched, html_jobs(body, url, observed_at))
+    named = F.when(status == 304, "ats_feed").when(fetched & is_json, "ats_feed").otherwise("careers_page")
+
+    def outcome(jobs: Column) -> Column:
+        found = F.coalesce(F.size(jobs) > 0, F.lit(False))
+        code = F.when(status == 304, None).when(fetched & ~found, "malformed").when(status.isin(401, 403), "unsupported").when(~fetched, "source_unavailable")
+        return F.struct(
+            F.when(status == 304, "not_modified").when(found, "ok").when(fetched | F.coalesce(status.isin(401, 403), F.lit(False)), "unsupported").otherwise("failed").alias("fetch_status"),
+            # what was not read keeps the system it was declared as
+            F.coalesce("source_system", F.when(fetched & ~found, "careers_page").otherwise(named)).alias("source_system"),
+            code.alias("error_code"), F.coalesce(code == "source_unavailable", F.lit(False)).alias("retryable"), F.when(found, jobs).alias("jobs"),
+        )
+
+    # a generator is a barrier: filters on the outcome do not read the body again
+    return responses.select("account_id", F.inline(F.array(let(read, outcome))))
+
+
+def collected_jobs(collected: DataFrame) -> DataFrame:
+    """Job rows of :func:`careers_collect`: account_id, input_ord and the job's fields."""
+    rows = collected.select("account_id", F.posexplode("jobs").alias("input_ord", "job"))
+    return rows.select("account_id", F.col("input_ord").cast("bigint").alias("input_ord"), "job.*")
 
 
 def _attributes(tag: Column) -> Column:

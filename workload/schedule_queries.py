@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes, evaluate, external, ranking, schedule
+from tidemark.session import stored
 from tidemark.sources import feeds
 from tidemark.sources.tables import read_table
 from workload.change_queries import FETCHES_SQL, POSTINGS_SQL, _classified_sql, acct, current_postings, fetches, postings, previous_postings
@@ -327,6 +328,64 @@ def _html(spark, folder):
     return jobs.select("account_id", "job_id", "title", "url", "posted_at")
 
 
+def answered(given):
+    """Feeds or pages as fetched: some refused, some not modified, some failed."""
+    key = F.abs(F.col("account_id"))
+    status = (
+        F.when(key % 13 == 0, 403).when(key % 13 == 1, 304).when(key % 13 == 2, 503).when(key % 13 == 3, F.lit(None).cast("int")).when(key % 13 == 4, 204).otherwise(200)
+    )
+    return given.withColumns({
+        "http_status": status, "content_type": F.when((F.col("account_id") >= 0) & (key % 2 == 0), "Application/JSON; charset=utf-8"),
+        "source_system": F.when(key % 7 == 0, "declared"),
+    })
+
+
+_COLLECTED_SQL = f"""{_FEED_SQL},
+given AS (SELECT o_orderkey AS account_id, o_orderdate::TIMESTAMP AS observed_at, good, TRUE AS listed, CASE WHEN good THEN 2 ELSE 0 END AS n_jobs FROM feed
+  UNION ALL SELECT -page_id - 1, TIMESTAMP '2024-03-01', NOT contains(url, '/es/'), FALSE, CASE WHEN contains(url, '/es/') THEN 0 WHEN contains(url, '/de/') THEN 2 ELSE 3 END FROM pages),
+tried AS (SELECT *, abs(account_id) % 13 AS k, abs(account_id) % 13 >= 4 AS fetched FROM given),
+collected AS (SELECT account_id, observed_at, listed, CASE WHEN k = 1 THEN 'not_modified' WHEN fetched AND good THEN 'ok' WHEN fetched OR k = 0 THEN 'unsupported' ELSE 'failed' END AS fetch_status,
+  CASE WHEN abs(account_id) % 7 = 0 THEN 'declared' WHEN k = 1 OR (fetched AND good AND listed) THEN 'ats_feed' ELSE 'careers_page' END AS source_system,
+  CASE WHEN k = 1 OR (fetched AND good) THEN NULL WHEN fetched THEN 'malformed' WHEN k = 0 THEN 'unsupported' ELSE 'source_unavailable' END AS error_code,
+  k IN (2, 3) AS retryable, CASE WHEN fetched THEN n_jobs ELSE 0 END AS n_jobs FROM tried)"""
+
+
+@query("careers_collect", f"WITH {_COLLECTED_SQL} SELECT account_id, fetch_status, source_system, error_code, retryable, n_jobs FROM collected")
+def _collected(spark, folder):
+    """The outcome of each response, from the pass that also reads its jobs."""
+    # pages are accounts below zero
+    pages = career_pages(spark, folder).withColumn("account_id", -F.col("account_id") - 1)
+    found = feeds.careers_collect(answered(job_feeds(spark, folder).unionByName(pages)))
+    return found.select("account_id", "fetch_status", "source_system", "error_code", "retryable", F.coalesce(F.size("jobs"), F.lit(0)).alias("n_jobs"))
+
+
+@query(
+    "careers_collected_items",
+    f"""WITH {_COLLECTED_SQL},
+    old AS (SELECT account_id, 'A' || account_id AS job_id, observed_at - INTERVAL 1 DAY AS seen FROM given WHERE listed
+      UNION ALL SELECT account_id, 'gone', observed_at - INTERVAL 2 DAY FROM given WHERE listed),
+    new AS (SELECT c.account_id, j.job_id, coalesce(j.posted_at, c.observed_at) AS seen FROM collected c JOIN job j USING (account_id) WHERE fetch_status = 'ok' AND listed),
+    both_sides AS (SELECT n.account_id, n.job_id, n.seen, CASE WHEN o.job_id IS NULL THEN 'added' ELSE 'changed' END AS change FROM new n LEFT JOIN old o USING (account_id, job_id)
+      UNION ALL SELECT account_id, job_id, seen, 'removed' FROM old JOIN collected USING (account_id) WHERE fetch_status = 'ok' AND (account_id, job_id) NOT IN (SELECT (account_id, job_id) FROM new))
+    SELECT account_id, job_id, change, row_number() OVER (PARTITION BY account_id ORDER BY seen DESC, job_id) AS item_rank FROM both_sides""",
+)
+def _collected_items(spark, folder):
+    """What the feeds changed against the records of a day before: a malformed feed changes nothing, removed jobs rank by their own time."""
+    # jobs and states come from one pass
+    given = answered(job_feeds(spark, folder))
+    collected = stored(feeds.careers_collect(given), "collected")
+    missing = F.lit(None).cast("string")
+    ago = [(F.concat(F.lit("A"), F.col("account_id")), 1), (F.lit("gone"), 2)]
+    previous = given.select("account_id", F.explode(F.array(*[
+        F.struct(F.lit(0).cast("bigint").alias("input_ord"), job_id.alias("job_id"), F.lit("Earlier").alias("title"), missing.alias("department"), missing.alias("location"),
+                 F.lit("https://jobs.example.com/").alias("url"), F.lit(None).cast("timestamp").alias("posted_at"), (F.col("observed_at") - F.make_dt_interval(days=F.lit(days))).alias("observed_at"))
+        for job_id, days in ago
+    ])).alias("job")).select("account_id", "job.*")
+    diff = changes.careers_changes(collected, feeds.collected_jobs(collected), previous)
+    items = external.careers_items(diff, normalize=False)
+    return items.select("account_id", "job_id", "change", F.col("item_rank").cast("bigint").alias("item_rank"))
+
+
 def article_pages(spark, folder):
     """pages whose head says who published them when - for English and French ones."""
     head = F.concat(
