@@ -265,3 +265,14 @@ def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark, corpus):
     assert sorted(((r["doc_id"], r["text"]) for r in first.collect()), key=str) == sorted(want, key=str)
     clean = corpus_pipeline.drop_contaminated(spark, docs, corpus).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in clean), key=str) == sorted(((k, t) for k, t in rows if t != spoiled), key=str)
+
+
+def test_mixture_totals_keep_targets_that_nothing_serves(spark):
+    rows = [("a", 10, 3), ("a", 10, 1), ("b", 50, 1), ("b", 50, 0), (None, 5, 2)]
+    mixture = spark.createDataFrame(rows, "__domain string, __n long, __copies int")
+    found = {r["domain"]: (r["documents"], r["tokens"], round(r["share"], 3), r["target"], r["reached"]) for r in mixing.mixture_totals(mixture, {"a": 2.0, "b": 1.0, "c": 1.0}).collect()}
+    assert found == {"a": (2, 40, 0.4, 0.5, False), "b": (2, 50, 0.5, 0.25, False), "c": (0, 0, 0.0, 0.25, False), None: (1, 10, 0.1, 0.0, False)}
+    empty = mixing.mixture_totals(mixture.limit(0), {"a": 1.0}).collect()
+    assert [(r["domain"], r["tokens"], r["share"], r["target"]) for r in empty] == [("a", 0, 0.0, 1.0)]
+    even = mixing.mixture_totals(mixture.where("__domain is not null"), {"a": 4.0, "b": 5.0})
+    assert all(r["reached"] for r in even.collect())

@@ -159,3 +159,30 @@ def mixed(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str,
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     rows = rows.withColumns({"__domain": F.get(names, F.array_position(F.col("__p"), F.array_max("__p")).cast("int") - 1), "__share": F.array_max("__p"), "__rate": rate})
     return rows.withColumn("__copies", F.floor(F.col("__rate") + chance).cast("int")).drop("__p")
+
+
+def mixture_totals(mixture: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """(domain, documents, tokens, share, target, reached): what a mixture of :func:`mixed` holds beside its targets.
+
+    One row for each domain that documents are predicted to be of or that has a target. tokens are those of the
+    copies taken, counted for the likeliest domain; share and target are of all of them. A target that no document
+    can serve, because no label names its domain, has no tokens and a share of 0 here; it is not dropped. reached says
+    that the share is within a tenth of the target. Documents without a domain are one row of null. A mixture
+    without tokens has shares of 0, and one without rows only its targets.
+    """
+    weight = sum(targets.values())
+    if weight <= 0 or min(targets.values()) < 0:
+        raise ValueError("targets must be nonnegative weights")
+    wanted = mixture.sparkSession.createDataFrame([(d, w / weight) for d, w in sorted(targets.items())], "wanted string, target double")
+    taken = F.col("__copies") * F.col("__n")
+    held = mixture.groupBy(F.col("__domain").alias("domain")).agg(F.count("*").alias("documents"), F.sum(taken).alias("tokens"))
+    whole = mixture.agg(F.sum(taken).alias("whole"))
+    # one row a domain from here on
+    both = held.join(wanted, F.col("domain") == F.col("wanted"), "full_outer").select(
+        F.coalesce("domain", "wanted").alias("domain"), *[F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("documents", "tokens")], F.coalesce("target", F.lit(0.0)).alias("target"),
+    )
+    total = F.coalesce(whole.scalar(), F.lit(0))
+    share = F.when(total > 0, F.col("tokens") / total).otherwise(0.0)
+    return both.withColumn("share", share).withColumn("reached", F.abs(F.col("share") - F.col("target")) <= F.col("target") * 0.1).select(
+        "domain", "documents", "tokens", "share", "target", "reached"
+    )
