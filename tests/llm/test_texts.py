@@ -123,6 +123,17 @@ def test_substrings_of_few_words(spark, window, anchor, vocabulary):
     assert counted(got.drop("factors").collect()) == Counter(plain_removal(rows, window))
 
 
+def test_repeated_passages_that_others_begin_with(spark):
+    # two texts share a passage to its end, a third only its beginning: the phrase is found twice and ends a match as well
+    rng = random.Random(4)
+    rows = []
+    for k in range(0, 90, 3):
+        passage = sentence(rng, 60, 100_000)
+        rows += [(k, passage), (k + 1, f"z{k} {passage}" if k % 2 else passage), (k + 2, " ".join(passage.split()[: rng.randrange(36, 60)]) + f" u{k}")]
+    got = substrings.remove_duplicate_spans(documents(spark, rows)).drop("factors").collect()
+    assert counted(got) == Counter(plain_removal(rows, 35))
+
+
 def test_factors_point_to_equal_words(spark):
     rng = random.Random(9)
     passage = sentence(rng, 50, 1000)

@@ -122,13 +122,15 @@ def _edge_batches(window: int):
                 owner = np.repeat(np.arange(len(part)), np.diff(edges.offsets.to_numpy()))
                 rows = edges.flatten()
                 a, b, anchor = (rows.field(x).to_numpy() for x in ("a", "b", "anchor"))
+                lone = rows.field("lone").to_numpy(zero_copy_only=False)
                 sizes = b - a + 1
                 starts = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - a, sizes)
-                owner, anchor = np.repeat(owner, sizes), np.repeat(anchor, sizes)
+                owner, anchor, lone = (np.repeat(x, sizes) for x in (owner, anchor, lone))
                 hashes = runs.hashes(starts + runs.words.first[owner], window)
                 keys = part.select(["k1", "k2"]).take(pa.array(owner))
                 yield pa.RecordBatch.from_arrays(
-                    [*keys.columns, pa.array(starts, pa.int32()), pa.array(anchor, pa.int64()), _signed(hashes)], names=["k1", "k2", "a", "anchor", "window"],
+                    [*keys.columns, pa.array(starts, pa.int32()), pa.array(anchor, pa.int64()), _signed(hashes), pa.array(lone, pa.bool_())],
+                        names=["k1", "k2", "a", "anchor", "window", "lone"],
                 )
 
     return run
@@ -221,13 +223,14 @@ def duplicate_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
 
     # where matches end; of equal phrases one stands for all
     ends = rest.where((F.col("n") == 1) | (F.col("ref") == _reference()))
-    ends = written(ends.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "anchor")).alias("edges")), "ends")
-    windows = written(texts.join(ends, ["k1", "k2"]).mapInArrow(_edge_batches(window), "k1 long, k2 long, a int, anchor long, window long"), "windows")
+    ends = written(ends.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b", "anchor", (F.col("n") == 1).alias("lone"))).alias("edges")), "ends")
+    windows = written(texts.join(ends, ["k1", "k2"]).mapInArrow(_edge_batches(window), "k1 long, k2 long, a int, anchor long, window long, lone boolean"), "windows")
     # copies of a text are one place
     place = F.xxhash64("k1", "k2", "a")
     twice = windows.groupBy("anchor", "window").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.min(_reference()).alias("ref"))
     twice = written(twice.where("one <> other").select("anchor", "window", "ref"), "twice")
-    edge = windows.join(twice, ["anchor", "window"]).select("k1", "k2", "a", F.col("a").alias("b"), "ref")
+    # phrases found twice match whole: their windows are in the index of ends, not among the spans, which never overlap
+    edge = windows.where("lone").join(twice, ["anchor", "window"]).select("k1", "k2", "a", F.col("a").alias("b"), "ref")
     return alike.unionByName(whole).unionByName(edge)
 
 
