@@ -38,6 +38,24 @@ def test_events_recurrence_and_corroboration(spark):
     assert sorted(e.representative_id for e in events) == ["s2", "s3"]
 
 
+def test_signals_are_built_once_for_a_score(spark):
+    times = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            times.add(batch.num_rows)
+            yield batch
+
+    rows = frame(spark, *[signal(n, days=n) for n in range(1, 5)])
+    seen = rows.mapInArrow(counted, SIGNALS)
+    scored = ranking.score_signals(seen)
+    assert {r.latest_at for r in scored.collect()} == {NOW - timedelta(days=1)}
+    assert times.value == 4
+    # the key is shuffled as bytes and comes out as text
+    event = ranking.event_dedupe(rows).orderBy("representative_id").first()
+    assert event.event_key == ranking.with_event_key(rows).filter("signal_id = 's1'").first().event_key
+
+
 def test_rank_cap_and_omitted(spark):
     rows = [signal(1), signal(2, category="consumption_growth"), signal(3, category="it_hiring"), signal(4, category="it_company_news", title="Results")]
     ranked = ranking.rank_opportunities(ranking.score_signals(frame(spark, *rows)), ranking.RankingConfig(max_opportunities=2))

@@ -64,8 +64,9 @@ def pilot_cases(signals: DataFrame, labels: DataFrame, configs: list[PilotConfig
     represents an event of a kept opportunity at or above the threshold. Unselected
     irrelevant cases are called ``true_negative`` and count in no metric.
     """
-    events = stored(ranking.event_dedupe(signals, normalize), "events")
-    as_of = ranking.newest_observation(signals) if as_of is None else as_of
+    events = stored(ranking.event_dedupe(signals, normalize).drop("event_key"), "events")
+    # events keep their newest signal
+    as_of = ranking.newest_observation(events) if as_of is None else as_of
     ranked = sweep_opportunities(ranking.opportunity_features(events), configs, as_of).filter("retained AND enabled")
     cases = labels.join(signals.select("signal_id", "category"), "signal_id")
     placed = (
