@@ -232,7 +232,9 @@ def retention_policy(records: DataFrame, uses: DataFrame, scope: DataFrame, link
     reason = F.when(F.col("out"), "scope").when(old, "age")
     judged = stored(aged.join(left, "record_id", "left").select("record_id", "kind", reason.alias("reason")), "judged")
     found = judged.filter("reason IS NOT NULL").select("record_id", "reason", F.lit(0).alias("depth"))
-    edges = stored(links.select("parent_id", "child_id").distinct(), "links")
+    # a link to what goes by itself leads to nothing new; the rounds read the others only
+    ends = links.select("parent_id", "child_id").join(found.select(F.col("record_id").alias("child_id")), "child_id", "left_anti")
+    edges = stored(ends.distinct(), "links")
     newest, depth = found, 0
     while True:
         depth += 1
@@ -241,7 +243,7 @@ def retention_policy(records: DataFrame, uses: DataFrame, scope: DataFrame, link
         if newest.isEmpty():
             break
         found = found.unionByName(newest)
-    return found.join(records.select("record_id", "kind"), "record_id").select("record_id", "kind", "reason", "depth")
+    return found.join(judged.select("record_id", "kind"), "record_id").select("record_id", "kind", "reason", "depth")
 
 
 # --- delivery ledger ---------------------------------------------------------------
