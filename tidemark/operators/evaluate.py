@@ -8,10 +8,10 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import computed
 from tidemark.functions.vocabulary import SIGNAL_CATEGORIES
 from tidemark.operators import ranking
 from tidemark.operators.runs import ratio
-from tidemark.session import stored
 
 # Labels of the signal categories.
 CATEGORY_LABELS = {
@@ -37,55 +37,97 @@ class PilotConfig:
             raise ValueError("a configuration needs a name")
 
 
-def sweep_opportunities(features: DataFrame, configs: list[PilotConfig], as_of: Column) -> DataFrame:
-    """Ranked opportunities of every configuration.
+def _with_opportunity(events: DataFrame) -> DataFrame:
+    """Adds to each event whether it is the first one of its opportunity, and the features of its opportunity (account and theme), as :func:`ranking.opportunity_features` has them.
 
-    Features do not depend on weights, so the signals are aggregated once; the
-    few configurations are an array literal that is exploded per opportunity.
+    Windows over rows that already lie together by account: one sort, no exchange. Systems are counted by their place in
+    the order, so that no list of them is kept.
     """
-    entries = []
-    for config in configs:
-        score = ranking.score_column(config.ranking, as_of)["score"]
-        entries.append(F.struct(
-            F.lit(config.name).alias("config"), F.lit(float(config.threshold)).alias("threshold"),
-            F.lit(config.enabled).alias("enabled"), F.lit(config.ranking.max_opportunities).alias("cap"), score.alias("score"),
-        ))
-    scored = features.withColumn("opportunity_id", F.concat_ws(":", F.lit("opportunity"), "account_id", "theme")).select(
-        "*", F.inline(F.array(*entries))
+    mine = Window.partitionBy("account_id", "theme")
+    place = F.struct("observed_at", (-F.col("first_ord")).alias("r"))
+    system = F.dense_rank().over(mine.orderBy(F.asc_nulls_last("source_system")))
+    first = F.row_number().over(mine.orderBy(F.asc_nulls_last("source_system"))) == 1
+    return events.withColumns({"system": F.when(F.col("source_system").isNotNull(), system), "first": first}).select(
+        "account_id", "theme", "representative_id", "first",
+        F.max_by("category", place).over(mine).alias("latest_category"),
+        F.max(place).over(mine)["observed_at"].alias("latest_at"),
+        F.max("magnitude").over(mine).alias("max_magnitude"),
+        (F.sum("confidence").over(mine) / F.count("confidence").over(mine)).alias("mean_confidence"),
+        F.coalesce(F.max("system").over(mine), F.lit(0)).cast("bigint").alias("systems"),
+        F.count("*").over(mine).alias("events"),
+        F.sum("signals").over(mine).alias("signals"),
     )
-    ranked = ranking.rank_opportunities(scored, by=("config",))
-    return ranked.withColumn("retained", F.col("opportunity_rank") <= F.col("cap"))
 
 
-def pilot_cases(signals: DataFrame, labels: DataFrame, configs: list[PilotConfig], as_of: Column | None = None, normalize: bool = True) -> DataFrame:
+def placed_signals(signals: DataFrame, configs: list[PilotConfig], as_of: Column, normalize: bool = True) -> DataFrame:
+    """(signal_id, account_id, theme, kept): representatives of events whose opportunity a configuration keeps.
+
+    ``kept`` has the number and the score of each configuration that is enabled and ranks the opportunity within its cap.
+    Signals meet by account, once: events, features and ranks follow from there without another exchange. An account
+    has at most as many opportunities as there are themes, so its scores are a short list; its events are rows, and
+    spill. Of the event key 128 bits travel.
+    """
+    facts = ranking.event_facts(signals, normalize).withColumn("key", F.substring("key", 1, 16)).repartition("account_id")
+    chosen = F.max(F.struct("observed_at", (-F.col("input_ord")).alias("r"), "signal_id", "source_system", "confidence", "magnitude"))
+    events = (
+        facts.groupBy("account_id", "theme", "category", "key")
+        .agg(chosen.alias("rep"), F.count("*").alias("signals"), F.min("input_ord").alias("first_ord"))
+        .select("account_id", "theme", "category", F.col("rep.signal_id").alias("representative_id"), "rep.observed_at", "rep.source_system", "rep.confidence", "rep.magnitude", "signals", "first_ord")
+    )
+    scores = F.array(*[ranking.score_column(c.ranking, as_of)["score"] for c in configs])
+    scored = _with_opportunity(events).select("account_id", "theme", "representative_id", "first", F.struct("theme", "events", scores.alias("scores")).alias("mine"))
+    scored = scored.withColumn("others", F.collect_list(F.when(F.col("first"), F.col("mine"))).over(Window.partitionBy("account_id")))
+
+    def rank(n: int) -> Column:
+        """The place by score and events, both from the highest (null last), then by theme."""
+        def height(o: Column) -> Column:
+            return F.struct(o["scores"][n], o["events"])
+
+        def ahead(o: Column) -> Column:
+            own = F.col("mine")
+            return (height(o) > height(own)) | (height(o).eqNullSafe(height(own)) & (o["theme"] < own["theme"]))
+
+        return F.size(F.filter("others", ahead)) + 1
+
+    entries = [F.when(rank(n) <= c.ranking.max_opportunities, F.struct(F.lit(n).alias("n"), F.col("mine.scores")[n].alias("score"))) for n, c in enumerate(configs) if c.enabled]
+    kept = F.array_compact(F.array(*entries)) if entries else F.array().cast("array<struct<n: int, score: double>>")
+    # a null account has no opportunity to be found by
+    found = computed(scored.filter(F.col("account_id").isNotNull()), F.struct(kept.alias("kept"))).filter(F.size("kept") > 0)
+    return found.select(F.col("representative_id").alias("signal_id"), "account_id", "theme", "kept")
+
+
+def pilot_cases(
+    signals: DataFrame, labels: DataFrame, configs: list[PilotConfig], as_of: Column | None = None, normalize: bool = True, named: DataFrame | None = None
+) -> DataFrame:
     """One row per configuration and labelled signal.
 
     ``labels``: case_id, signal_id, relevant. A case is selected when its signal
     represents an event of a kept opportunity at or above the threshold. Unselected
     irrelevant cases are called ``true_negative`` and count in no metric.
+
+    ``named``: the signals that labels can name, where they are known for less than a look at all (signal_id, category).
     """
-    events = stored(ranking.event_dedupe(signals, normalize).drop("event_key"), "events")
-    # events keep their newest signal
-    as_of = ranking.newest_observation(events) if as_of is None else as_of
-    ranked = sweep_opportunities(ranking.opportunity_features(events), configs, as_of).filter("retained AND enabled")
-    cases = labels.join(signals.select("signal_id", "category"), "signal_id")
-    placed = (
-        events.select("account_id", "theme", F.col("representative_id").alias("signal_id"))
-        .join(cases.select("signal_id").distinct(), "signal_id", "left_semi")
-        .join(ranked.select("account_id", "theme", "config", "opportunity_id", "score"), ["account_id", "theme"])
-        .select("config", "signal_id", "opportunity_id", "score")
-    )
+    as_of = ranking.newest_observation(signals) if as_of is None else as_of
+    cases = labels.join((signals if named is None else named).select("signal_id", "category"), "signal_id")
+    # dealt by signal before the configurations are told apart
+    placed = placed_signals(signals, configs, as_of, normalize).repartition("signal_id")
+    placed = placed.select(F.col("signal_id").alias("placed_id"), "account_id", "theme", F.inline("kept"))
     settings = F.array(*[
         F.struct(
-            F.lit(c.name).alias("config"), F.lit(float(c.threshold)).alias("threshold"),
+            F.lit(c.name).alias("config"), F.lit(k).alias("k"), F.lit(float(c.threshold)).alias("threshold"),
             ranking.choose(F.col("category"), {k: c.labels.get(k, k) for k in SIGNAL_CATEGORIES}).alias("label"),
         )
-        for c in configs
+        for k, c in enumerate(configs)
     ])
     every = cases.select("*", F.inline(settings))
     selected = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
+    # a difference, as an equality would be a second key to deal the rows by
+    same = (F.col("signal_id") == F.col("placed_id")) & (F.col("k") - F.col("n") == 0)
+    opportunity = F.when(F.col("n").isNotNull(), F.concat_ws(":", F.lit("opportunity"), "account_id", "theme"))
+    rest = [c for c in cases.columns if c != "signal_id"]
     return (
-        every.join(placed, ["config", "signal_id"], "left")
+        every.join(placed, same, "left")
+        .select("config", "signal_id", *rest, "threshold", "label", opportunity.alias("opportunity_id"), "score")
         .withColumn("selected", selected)
         .withColumn(
             "outcome",
