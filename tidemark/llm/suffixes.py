@@ -21,8 +21,9 @@ from tidemark.llm.common import as_text, forget, small_batches, text_slices, wri
 
 WINDOW = 100
 ANCHOR = 32
-#: Text bytes that a task cuts at a time; a longer text is cut by itself, in about 60 bytes of memory for each of its own.
-CUT_BYTES = 2 << 20
+#: Text bytes that a task cuts at a time, few enough for a processor's cache; a longer text is cut by itself, in about 60
+#: bytes of memory for each of its own.
+CUT_BYTES = 1 << 18
 #: Bytes of pieces that are sorted together, and that are merged together.
 SHARD_BYTES = 1 << 18
 UNIT_BYTES = 1 << 20
@@ -254,14 +255,17 @@ def _merge_unit(rows: pa.Table, window: int) -> pa.RecordBatch:
     own = np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])
     many = np.repeat(rows.column("many").to_numpy(zero_copy_only=False), counts)
 
-    shards, cuts = [], np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD_BYTES, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(pieces)], strict=True):
-        shards.append((a, Transform(pieces[a:b], window)))
-    found, begins = merged_repeats([x for _, x in shards], window)
-    string = np.concatenate([x.string + a for a, x in shards])[found]
-    spot = upto[string] + np.concatenate([x.place for _, x in shards])[found]
+    # windows of one piece differ, as its anchor is at another place in each: a piece alone at its anchor meets nothing
+    opens = _opens(rows.column("anchor").to_numpy())
+    meeting = np.flatnonzero(~(opens[:-1] & opens[1:]))
+    shards, cuts = [], np.flatnonzero(np.diff(np.cumsum(sizes[meeting]) // SHARD_BYTES, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(meeting)], strict=False):
+        shards.append((meeting[a:b], Transform([pieces[x] for x in meeting[a:b].tolist()], window)))
     earliest = own.copy()
+    found, begins = merged_repeats([x for _, x in shards], window) if shards else (np.zeros(0, np.int64), None)
     if len(found):
+        string = np.concatenate([at.take(x.string) for at, x in shards])[found]
+        spot = upto[string] + np.concatenate([x.place for _, x in shards])[found]
         least = np.minimum.reduceat(own[spot], begins)
         earliest[spot] = np.repeat(least, np.diff(np.concatenate([begins, [len(spot)]])))
         many[spot] = True
