@@ -1,10 +1,17 @@
 """The review of rankings and the novelty of postings, each with one meeting by account."""
 
 import random
+from datetime import datetime, timedelta
+
+import pytest
 
 from tests.test_changes import jobs
 from tests.test_signals_and_state import frame, signal
 from tidemark.operators import changes, evaluate, ranking
+from tidemark.session import prepare
+from tidemark.sources.tables import TABLE_SCHEMAS
+from workload import queries, schedule_queries, views  # noqa: F401
+from workload.registry import QUERIES
 
 
 def dealings(spark, make):
@@ -90,3 +97,42 @@ def test_new_jobs_with_nulls_and_repeated_rows(spark):
     headers = spark.createDataFrame([("a",), ("a",), (None,)], "account_id STRING")
     found = sorted(r.title for r in changes.new_jobs(current, previous, headers).collect())
     assert found == ["known, but nobody", "no alias", "null aliases", "twice", "twice"]
+
+
+def pilot_tables(spark, folder, last_order):
+    """Repeated line items, orders and labels, null keys; the newest line item is of ``last_order``."""
+    pick = random.Random(3)
+    day = datetime(2024, 1, 1)
+    items = []
+    for k in range(120):
+        row = (pick.randrange(12), pick.randrange(8), pick.randrange(3), pick.randrange(1, 8), float(pick.randrange(1, 50)), 1.0, 0.05, pick.choice([0.0, 0.08]), pick.choice("ANR"), pick.choice("OF"), day + timedelta(days=pick.randrange(4)))
+        items += [row] * pick.choice([1, 1, 1, 2])
+    items += [(None, 1, 1, 1, *row[4:]), (1, None, 1, 1, *row[4:]), (1, 1, None, 1, *row[4:]), (1, 1, 1, None, *row[4:]), (1, 2, -5, 1, *row[4:])]
+    items.append((last_order, 1, 1, 2, *row[4:10], day + timedelta(days=9)))
+    orders = [(k, k % 3, "F", 1.0, day, "1-URGENT") for k in range(12)] + [(2, 1, "F", 1.0, day, "2-HIGH"), (3, 0, "F", 1.0, day, "1-URGENT"), (4, None, "F", 1.0, day, None), (None, 1, "F", 1.0, day, "2-HIGH")]
+    labels = [(0, 1, 0), (1, 0, 0), (2, 1, 0), (2, 0, 1), (3, None, 0), (4, 1, 0), (4, 1, 0), (None, 1, 0), (900, 1, 0)]
+    for name, rows in (("lineitem", items), ("orders", orders), ("labels", labels)):
+        spark.createDataFrame(rows, TABLE_SCHEMAS[name]).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+@pytest.mark.parametrize("last_order", [5, 77])
+def test_pilot_queries_deal_labelled_signals_once(spark, tmp_path, last_order):
+    folder = str(tmp_path)
+    pilot_tables(spark, folder, last_order)
+    prepare(spark)
+    every = views.signals(spark, folder).cache()
+    # the newest line item decides only with an order
+    assert every.agg({"observed_at": "max"}).first()[0].day == (10 if last_order == 5 else 4)
+    part = schedule_queries.labelled_part("signal_id").try_cast("bigint")
+    named = every.select("signal_id", part.alias("doc_id")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    labels = named.selectExpr("signal_id as case_id", "signal_id", "quality = 1 as relevant")
+    columns = ["signal_id", "category", "relevant", "opportunity_id", "score", "selected", "outcome"]
+    expected = evaluate.pilot_cases(every, labels, [schedule_queries.SWEEP[1]], normalize=False).select(columns)
+    found = QUERIES["pilot_cases"](spark, folder)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    assert found.where("score is not null").count() > 0
+    # no side is small here: labelled items and orders by their keys, items by part, signals by account and cases by signal, each once
+    assert dealings(spark, lambda: QUERIES["pilot_cases"](spark, folder)) == 14
+    config = schedule_queries.SWEEP[1]
+    row = QUERIES["pilot_evaluate"](spark, folder).first()
+    assert row == evaluate.pilot_metrics(expected.selectExpr(f"'{config.name}' as config", "outcome"), 2).first()

@@ -48,7 +48,7 @@ def _with_opportunity(events: DataFrame) -> DataFrame:
     system = F.dense_rank().over(mine.orderBy(F.asc_nulls_last("source_system")))
     first = F.row_number().over(mine.orderBy(F.asc_nulls_last("source_system"))) == 1
     return events.withColumns({"system": F.when(F.col("source_system").isNotNull(), system), "first": first}).select(
-        "account_id", "theme", "representative_id", "first",
+        "account_id", "theme", "representative_id", "wanted", "first",
         F.max_by("category", place).over(mine).alias("latest_category"),
         F.max(place).over(mine)["observed_at"].alias("latest_at"),
         F.max("magnitude").over(mine).alias("max_magnitude"),
@@ -59,23 +59,26 @@ def _with_opportunity(events: DataFrame) -> DataFrame:
     )
 
 
-def placed_signals(signals: DataFrame, configs: list[PilotConfig], as_of: Column, normalize: bool = True) -> DataFrame:
+def placed_signals(signals: DataFrame, configs: list[PilotConfig], as_of: Column, normalize: bool = True, wanted: str | None = None) -> DataFrame:
     """(signal_id, account_id, theme, kept): representatives of events whose opportunity a configuration keeps.
 
+    ``wanted`` names a boolean column of the signals: all of them decide, those where it is true are returned.
+
     ``kept`` has the number and the score of each configuration that is enabled and ranks the opportunity within its cap.
     Signals meet by account, once: events, features and ranks follow from there without another exchange. An account
     has at most as many opportunities as there are themes, so its scores are a short list; its events are rows, and
     spill. Of the event key 128 bits travel.
     """
-    facts = ranking.event_facts(signals, normalize).withColumn("key", F.substring("key", 1, 16)).repartition("account_id")
-    chosen = F.max(F.struct("observed_at", (-F.col("input_ord")).alias("r"), "signal_id", "source_system", "confidence", "magnitude"))
+    facts = ranking.event_facts(signals, normalize, (wanted,) if wanted else ()).withColumn("key", F.substring("key", 1, 16)).repartition("account_id")
+    asked = (F.col(wanted) if wanted else F.lit(True)).alias("wanted")
+    chosen = F.max(F.struct("observed_at", (-F.col("input_ord")).alias("r"), "signal_id", "source_system", "confidence", "magnitude", asked))
     events = (
         facts.groupBy("account_id", "theme", "category", "key")
         .agg(chosen.alias("rep"), F.count("*").alias("signals"), F.min("input_ord").alias("first_ord"))
-        .select("account_id", "theme", "category", F.col("rep.signal_id").alias("representative_id"), "rep.observed_at", "rep.source_system", "rep.confidence", "rep.magnitude", "signals", "first_ord")
+        .select("account_id", "theme", "category", F.col("rep.signal_id").alias("representative_id"), "rep.observed_at", "rep.source_system", "rep.confidence", "rep.magnitude", "rep.wanted", "signals", "first_ord")
     )
     scores = F.array(*[ranking.score_column(c.ranking, as_of)["score"] for c in configs])
-    scored = _with_opportunity(events).select("account_id", "theme", "representative_id", "first", F.struct("theme", "events", scores.alias("scores")).alias("mine"))
+    scored = _with_opportunity(events).select("account_id", "theme", "representative_id", "wanted", "first", F.struct("theme", "events", scores.alias("scores")).alias("mine"))
     scored = scored.withColumn("others", F.collect_list(F.when(F.col("first"), F.col("mine"))).over(Window.partitionBy("account_id")))
 
     def rank(n: int) -> Column:
@@ -92,12 +95,12 @@ def placed_signals(signals: DataFrame, configs: list[PilotConfig], as_of: Column
     entries = [F.when(rank(n) <= c.ranking.max_opportunities, F.struct(F.lit(n).alias("n"), F.col("mine.scores")[n].alias("score"))) for n, c in enumerate(configs) if c.enabled]
     kept = F.array_compact(F.array(*entries)) if entries else F.array().cast("array<struct<n: int, score: double>>")
     # a null account has no opportunity to be found by
-    found = computed(scored.filter(F.col("account_id").isNotNull()), F.struct(kept.alias("kept"))).filter(F.size("kept") > 0)
+    found = computed(scored.filter(F.col("account_id").isNotNull() & F.col("wanted")), F.struct(kept.alias("kept"))).filter(F.size("kept") > 0)
     return found.select(F.col("representative_id").alias("signal_id"), "account_id", "theme", "kept")
 
 
 def pilot_cases(
-    signals: DataFrame, labels: DataFrame, configs: list[PilotConfig], as_of: Column | None = None, normalize: bool = True, named: DataFrame | None = None
+    signals: DataFrame, labels: DataFrame, configs: list[PilotConfig], as_of: Column | None = None, normalize: bool = True, named: DataFrame | None = None, wanted: str | None = None
 ) -> DataFrame:
     """One row per configuration and labelled signal.
 
@@ -106,11 +109,13 @@ def pilot_cases(
     irrelevant cases are called ``true_negative`` and count in no metric.
 
     ``named``: the signals that labels can name, where they are known for less than a look at all (signal_id, category).
+    Labels that carry the ``category`` of their signal are not looked up. ``wanted`` names a boolean column of the
+    signals that is true for all that labels name; the others decide as well, but do not travel to the labels.
     """
     as_of = ranking.newest_observation(signals) if as_of is None else as_of
-    cases = labels.join((signals if named is None else named).select("signal_id", "category"), "signal_id")
+    cases = labels if "category" in labels.columns else labels.join((signals if named is None else named).select("signal_id", "category"), "signal_id")
     # dealt by signal before the configurations are told apart
-    placed = placed_signals(signals, configs, as_of, normalize).repartition("signal_id")
+    placed = placed_signals(signals, configs, as_of, normalize, wanted).repartition("signal_id")
     placed = placed.select(F.col("signal_id").alias("placed_id"), "account_id", "theme", F.inline("kept"))
     settings = F.array(*[
         F.struct(
