@@ -87,6 +87,13 @@ def test_links_of_large_buckets(spark, block):
     assert got == dict(zip(signed, want, strict=True))
 
 
+def test_signatures_are_not_broadcast(spark):
+    # sized like their prints, they would be, where the prints are few enough
+    table = spark.createDataFrame([(k * 0x9E3779B97F4A7C1 % (1 << 62),) for k in range(50)], "print long")
+    plan = simhash.links(table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long").repartition(7)
     nodes = spark.createDataFrame([(k, k + 5) for k in [*range(301), 1000, 1001, 2000]], "node long, smallest long")

@@ -20,6 +20,8 @@ MOST_BITS = 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints of one bucket that a single run compares; larger buckets are compared block against block.
 BLOCK = 1024
+#: Fingerprints whose signatures, 67 each, one task makes and counts.
+TASK_PRINTS = 8192
 
 
 def fingerprint_slice(texts: pa.Array, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -169,7 +171,7 @@ def links(prints: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataF
     decided where they are counted. Only larger ones are gathered; one with more than ``block`` members is dealt
     to the pairs of its blocks, so no task holds more than two blocks of it, whatever its size.
     """
-    keyed = signatures(prints)
+    keyed = signatures(prints.repartition(1 + prints.count() // TASK_PRINTS, "print"))
     buckets = keyed.groupBy("key").agg(
         F.count("*").alias("n"), F.min("print").alias("a"), F.max("print").alias("b"), F.min("side").alias("low"), F.max("side").alias("high"),
     ).where("n > 1 and (low < high or (shiftright(key, 22) & 31) = 0)")
@@ -178,7 +180,8 @@ def links(prints: DataFrame, most: int = MOST_BITS, block: int = BLOCK) -> DataF
 
     many = buckets.where("n > 2").select("key", "n")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = keyed.join(many, "key").select(
+    # Spark sizes the signatures like the prints that they are made of, and would broadcast all of them
+    members = keyed.hint("merge").join(many, "key").select(
         "key", "side", "print", blocks.alias("blocks"), F.pmod(F.xxhash64("print"), blocks).cast("int").alias("own"),
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
