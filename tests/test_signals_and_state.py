@@ -1,3 +1,5 @@
+import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -81,6 +83,33 @@ def test_digest_findings_one_per_account(spark):
     assert (totals.shown, totals.further_findings, totals.status_label) == (3, 2, "Status: PARTIAL — 1 source failure")
 
 
+def test_findings_leave_only_what_they_read(spark, monkeypatch):
+    """Steps that are over lie on disk neither as shuffles nor as tables."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = files.getAllFiles()
+        return {x for x in (found.apply(k).getName() for k in range(found.length())) if x.startswith("shuffle_")}
+
+    made, keep = {}, ranking.stored
+
+    def stored(df, label):
+        table = keep(df, label)
+        made[label] = [x.removeprefix("file://") for x in table.inputFiles()]
+        return table
+
+    monkeypatch.setattr(ranking, "stored", stored)
+    before = shuffles()
+    found = ranking.findings(frame(spark, signal(1), signal(2, account="b"), signal(3, category="it_hiring")))
+    for _ in range(50):  # they are removed in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert found.count() == 3 and list(made) == ["events", "kept"]
+    assert not any(map(os.path.exists, made["events"])) and all(map(os.path.exists, made["kept"]))
+
+
 def test_pilot_metrics(spark):
     rows = [signal(1), signal(2, account="b", severity="info", confidence=0.1, days=90, category="it_hiring", system="careers_page"), signal(3, account="c"), signal(4, account="d")]
     labels = spark.createDataFrame([("c1", "s1", True), ("c2", "s2", True), ("c3", "s3", True), ("c4", "s4", False)], "case_id STRING, signal_id STRING, relevant BOOLEAN")
